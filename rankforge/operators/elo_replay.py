@@ -104,6 +104,15 @@ def _rows(keys: dict, kind: str, length: int, **cols) -> pa.Table:
     return pa.table(arrays, names=names)
 
 
+def _two_tables(run):
+    """Spark reads the arity of a cogroup function; hand it a plain one."""
+
+    def call(games: pa.Table, players: pa.Table) -> pa.Table:
+        return run(games, players)
+
+    return call
+
+
 def _winner_counts(points: np.ndarray) -> tuple[int, int, int]:
     return int((points == 1.0).sum()), int((points == 0.0).sum()), int((points == 0.5).sum())
 
@@ -251,7 +260,7 @@ def elo_replay(
     right = small_players.withColumn("_part", part)
     tables.append(
         left.groupBy(*by, "_part").cogroup(right.groupBy(*by, "_part")).applyInArrow(
-            replay, _schema(by, games)
+            _two_tables(replay), _schema(by, games)
         )
     )
     if n_large:
@@ -452,9 +461,10 @@ def _replay_large(
             placed = state.withColumns(
                 {"_lo": F.least("_block", other).cast("int"), "_hi": F.greatest("_block", other).cast("int")}
             )
+            block_replay = _BlockReplay(by, r_no, k_of, record)
             out = used.filter(F.col("_step") == step).drop("_step").groupBy(*meeting).cogroup(
                 placed.groupBy(*meeting)
-            ).applyInArrow(_BlockReplay(by, r_no, k_of, record), schema)
+            ).applyInArrow(_two_tables(block_replay), schema)
             out = cut_lineage(out)
             state = out.filter(F.col("kind") == "item").select(*state.columns)
             stats = out.filter(F.col("kind") == "stat").select(

@@ -614,7 +614,8 @@ def elo_sweep_4d(spark, sf):
 def elo_sweep_2d(spark, sf):
     grid = {"k_start": (16, 32, 64), "k_end": (2, 8)}
     swept = elo_sweep(
-        T.events_verdicts(spark, sf), T.events_items(spark, sf), grid, optimizer_base()
+        T.events_verdicts(spark, sf), T.events_items(spark, sf), grid,
+        optimizer_base().with_(max_rounds=200),
     )
     return best_setting(swept)
 
