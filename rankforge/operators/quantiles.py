@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from rankforge.session import measured
 
+# groups up to this many rows are small enough for the built-in per-group value map
+DIRECT_ROWS = 500_000
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float] | None = None,
-    by: list[str] | None = None, accuracy: int = 10_000,
+    by: list[str] | None = None, accuracy: int = 10_000, direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """One row per group with one column per named probability.
 
@@ -20,7 +22,8 @@ def exact_quantiles(
     rows / accuracy; five times that is kept as margin). A second pass counts the
     rows below each bracket and sums equal values inside it; the wanted order
     statistics are read off those few values, so the result is exact while no task
-    ever keeps more than about 10 / accuracy of a group's distinct values.
+    ever keeps more than about 10 / accuracy of a group's distinct values. If no group
+    exceeds ``direct_rows``, the second pass is the built-in ``percentile`` instead.
     NULL and NaN are left out. Groups without values give no row.
     """
     probs = probs or QUARTILES
@@ -42,19 +45,28 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
     )
     width = len(names)
+    # below this size the margin is less than the two rows interpolation may need
+    few = F.col("_n") <= accuracy
     brackets = measured(
         sketch.select(
             *keys, "_n",
             *[
-                (F.col("_min") if lows[i] == 0.0 else F.col("_q")[i]).alias(f"_lo{i}")
+                (F.col("_min") if lows[i] == 0.0 else F.when(few, F.col("_min")).otherwise(F.col("_q")[i])).alias(f"_lo{i}")
                 for i in range(width)
             ],
             *[
-                (F.col("_max") if highs[i] == 1.0 else F.col("_q")[width + i]).alias(f"_hi{i}")
+                (F.col("_max") if highs[i] == 1.0 else F.when(few, F.col("_max")).otherwise(F.col("_q")[width + i])).alias(f"_hi{i}")
                 for i in range(width)
             ],
         )
     )
+    largest = brackets.agg(F.max("_n")).first()[0] or 0
+    if largest <= direct_rows:
+        cuts = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
+        direct = base.groupBy(*keys).agg(cuts.alias("_q")).select(
+            *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
+        )
+        return direct if by else direct.drop("_all")
     framed = base.join(brackets, keys)
     below = framed.groupBy(*keys).agg(
         *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(width)]

@@ -115,7 +115,7 @@ CTE: dict[str, str] = {
     ),
     "events_pairs0": paired("events_lab", "a.event_id < b.event_id"),
     "events_pairs": f"""
-      select *, case when u < 0.6 then 'train' when u < 0.8 then 'val' else 'test' end split
+      select * exclude (u), case when u < 0.6 then 'train' when u < 0.8 then 'val' else 'test' end split
       from (select *, {uni("prompt || '_split'")} u from events_pairs0)""",
     "orders_graded": graded("orders_pairs"),
     "events_graded": graded("events_pairs", "split"),
