@@ -19,10 +19,11 @@ from rankforge.operators.elo_rules import (
 )
 from rankforge.operators.evaluate import pearson
 from rankforge.operators.ordering import row_index
-from rankforge.session import cut_lineage, measured, scratch_path
+from rankforge.session import cut_lineage, measured, output_partitions, scratch_path
 
 GROUP = ["dataset", "item"]
 GROUP_VERDICTS = 2_000_000
+VERDICTS_PER_TASK = 500_000
 SETTINGS_PER_TASK = 48
 
 _ROUND_FIELDS = [
@@ -69,7 +70,8 @@ def _prepare(verdicts: DataFrame, items: DataFrame, by: list[str], seed: int):
         *[F.col(c).alias(c) for c in by], F.col("response_id").cast("string").alias("response_id"),
         F.col("norm_response").cast("double").alias("truth"),
     )
-    return games, players
+    # counted and replayed: written once, so that scoring behind it runs once
+    return cut_lineage(games), players
 
 
 def _schema(by: list[str], source: DataFrame) -> T.StructType:
@@ -246,18 +248,22 @@ def elo_replay(
         raise ValueError("a comparison history needs a single parameter set")
     games, players = _prepare(verdicts, items, by, seed)
     sizes = games.groupBy(*by).agg(F.count("*").alias("_n"))
-    large = measured(sizes.filter(F.col("_n") > group_verdicts))
+    n_groups, total, largest = sizes.agg(F.count("*"), F.sum("_n"), F.max("_n")).first()
     tables = []
-    n_large = large.count()
+    n_large = (largest or 0) > group_verdicts
     small_games, small_players = games, players
     if n_large:
+        large = measured(sizes.filter(F.col("_n") > group_verdicts))
         small_games = games.join(large, by, "left_anti")
         small_players = players.join(large, by, "left_anti")
     parts = math.ceil(len(settings) / SETTINGS_PER_TASK)
     replay = _GroupReplay(by, settings, "_part", ratings, fits, comparisons)
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
-    left = small_games.withColumn("_part", part)
-    right = small_players.withColumn("_part", part)
+    # few groups with long replays: spread them, do not let small inputs be merged
+    work = max((total or 0) * parts / VERDICTS_PER_TASK, min(n_groups * parts * 2, 1000))
+    tasks = output_partitions(verdicts.sparkSession, work, 1)
+    left = small_games.withColumn("_part", part).repartition(tasks, *by, "_part")
+    right = small_players.withColumn("_part", part).repartition(tasks, *by, "_part")
     tables.append(
         left.groupBy(*by, "_part").cogroup(right.groupBy(*by, "_part")).applyInArrow(
             _two_tables(replay), _schema(by, games)

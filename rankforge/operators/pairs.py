@@ -9,10 +9,11 @@ from rankforge.functions.hashing import key_hash, order_number, uniform
 from rankforge.functions.verdicts import winner_of
 from rankforge.operators.columns import GROUP_KEYS, all_present, digest, require_columns
 from rankforge.operators.ordering import lowest_by_hash, row_index
-from rankforge.session import measured
+from rankforge.session import measured, output_partitions
 
 HOT_GROUP_ROWS = 20_000
 BLOCK_ROWS = 4_000
+PAIRS_PER_TASK = 1_000_000
 
 
 def generate_pairs(
@@ -22,33 +23,40 @@ def generate_pairs(
     """Every unordered pair of rows that agree on all (non-NULL) keys, once.
 
     The side that is smaller in the orientation order is response1: ``hash`` orders by
-    md5 of the id, a column or expression orders by that, with the id to break ties.
+    the md5 of the id, a column or expression orders by that, with the id to break ties.
 
-    The exchange carries the digest of the keys instead of their texts. A group above
+    The exchange carries the digest of the keys instead of their texts, and its number
+    of partitions follows the number of pairs to come, not the size of the input. A group above
     ``hot_group_rows`` is cut into blocks; its rows are copied once per partner block,
     so that the join key (group, left block, right block) spreads one group over
     blocks**2 tasks. The output is the same with or without blocks.
     """
     require_columns(df, ["ID", "response", "label", *keys])
-    order = key_hash("ID") if isinstance(orientation, str) and orientation == "hash" else orientation
+    hashed = isinstance(orientation, str) and orientation == "hash"
+    order = key_hash("ID") if hashed else orientation
     if isinstance(order, str):
         order = F.col(order)
+    # leading 60 bits of the md5 as a number compare faster than the hex text
+    number = order_number(order) if hashed else order
     rows = df.filter(all_present(keys)).select(
-        *keys, digest(*keys).alias("_g"),
-        F.struct(order.alias("o"), F.col("ID").cast("string").alias("id")).alias("_ord"),
+        *keys, digest(*keys).alias("_g"), number.alias("_ord"),
         F.coalesce(F.col("ID").cast("string"), F.lit("")).alias("id"),
         F.coalesce("response", F.lit("")).alias("response"),
         F.col("label").cast("double").alias("label"),
     )
-    hot = measured(
-        rows.groupBy("_g").agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_group_rows)
-        .select("_g", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
-    )
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))
+    total, largest = sizes.agg(
+        F.sum(F.col("_n").cast("double") * (F.col("_n") - 1) / 2), F.max("_n")
+    ).first()
+    parts = output_partitions(df.sparkSession, total or 0, PAIRS_PER_TASK)
     on = ["_g"]
     right_cols = ["_g", "_ord", "id", "response", "label"]
     left, right = rows, rows.select(*right_cols)
-    if hot.limit(1).count():
+    if (largest or 0) > hot_group_rows:
+        hot = measured(
+            sizes.filter(F.col("_n") > hot_group_rows)
+            .select("_g", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
+        )
         on = ["_g", "_lb", "_rb"]
         blocks = F.coalesce("_blocks", F.lit(1))
         marked = rows.join(hot, "_g", "left").withColumn("_blocks", blocks).withColumn(
@@ -62,13 +70,14 @@ def generate_pairs(
     a = left.select(
         *keys, *on, F.col("_ord").alias("_o1"), F.col("response").alias("response1"),
         F.col("id").alias("response1_id"), F.col("label").alias("norm_response1"),
-    )
+    ).repartition(parts, *on)
     b = right.select(
         *on, F.col("_ord").alias("_o2"), F.col("response").alias("response2"),
         F.col("id").alias("response2_id"), F.col("label").alias("norm_response2"),
-    )
+    ).repartition(parts, *on)
     matched = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    pairs = a.alias("l").join(b.alias("r"), matched + [F.col("_o1") < F.col("_o2")])
+    tied = (F.col("_o1") == F.col("_o2")) & (F.col("response1_id") < F.col("response2_id"))
+    pairs = a.alias("l").join(b.alias("r"), matched + [(F.col("_o1") < F.col("_o2")) | tied])
     return pairs.select(
         *keys, "response1", "response2", "response1_id", "response2_id", "norm_response1",
         "norm_response2",

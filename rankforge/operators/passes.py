@@ -35,9 +35,9 @@ def pass_table(
     base = scored.withColumns(
         {
             "_greedy": F.array(*greedy), "_scaled": F.array(*scaled), "_top": argmax(logits),
-            "pass_index": F.explode(F.sequence(F.lit(0), F.lit(n_passes))),
+            "_true": encode_label(F.col("winner")),
         }
-    )
+    ).withColumn("pass_index", F.explode(F.sequence(F.lit(0), F.lit(n_passes))))
     first = F.col("pass_index") == 0
     base = base.withColumn("_p", F.when(first, F.col("_greedy")).otherwise(F.col("_scaled")))
     probs = [F.col("_p")[i] for i in range(3)]
@@ -48,7 +48,7 @@ def pass_table(
         F.lit(run_id).alias("run_id"), F.lit(timestamp_utc).alias("timestamp_utc"),
         F.lit(split_name).alias("split_name"), "source_row_index", "response1_id",
         "response2_id", F.col("winner").alias("true_winner"),
-        encode_label(F.col("winner")).alias("true_label_id"),
+        F.col("_true").alias("true_label_id"),
         F.when(first, "greedy").otherwise("stochastic").alias("pass_type"), "pass_index",
         F.when(first, 1.0).otherwise(float(temperature)).alias("temperature"),
         F.lit("temperature_logits").alias("stochastic_method"), *LOGITS,
@@ -90,6 +90,8 @@ def majority_vote(passes: DataFrame, key: str = "source_row_index") -> DataFrame
         ],
         F.count_if(~drawn).alias("greedy_rows"), F.count_if(drawn).alias("stochastic_rows"),
         F.count_if(drawn & ~F.col("pred_winner").isin(*LABELS)).alias("unknown_votes"),
+        F.count_if(~drawn & F.col("is_correct")).alias("greedy_hits"),
+        F.count_if(drawn & F.col("is_correct")).alias("drawn_hits"),
     )
     counts = [F.col(f"votes_{name}") for name in LABELS]
     top = F.greatest(*counts)
@@ -116,11 +118,7 @@ def pass_summary(passes: DataFrame, key: str = "source_row_index", strict: bool
     Two aggregations: per sample, then over samples. With ``strict`` a sample with
     conflicting truth or an unknown predicted label fails the job.
     """
-    hits = passes.groupBy(key).agg(
-        F.count_if((F.col("pass_type") == "greedy") & F.col("is_correct")).alias("greedy_hits"),
-        F.count_if((F.col("pass_type") == "stochastic") & F.col("is_correct")).alias("drawn_hits"),
-    )
-    votes = majority_vote(passes, key).join(hits, key)
+    votes = majority_vote(passes, key)
     if strict:
         bad = F.col("truth_conflict") | (F.col("unknown_votes") > 0)
         ok = F.when(bad, F.raise_error(F.lit("conflicting truth or unknown label"))).otherwise(True)

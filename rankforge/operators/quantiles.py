@@ -19,9 +19,9 @@ def exact_quantiles(
     """One row per group with one column per named probability.
 
     A sketch first brackets each order statistic (its rank error is at most
-    rows / accuracy; five times that is kept as margin). A second pass counts the
-    rows below each bracket and sums equal values inside it; the wanted order
-    statistics are read off those few values, so the result is exact while no task
+    rows / accuracy; five times that is kept as margin). A second pass sums equal values
+    inside the brackets and counts the rows between them; the wanted order statistics
+    are read off the running counts, so the result is exact while no task
     ever keeps more than about 10 / accuracy of a group's distinct values. If no group
     exceeds ``direct_rows``, the second pass is the built-in ``percentile`` instead.
     NULL and NaN are left out. Groups without values give no row.
@@ -68,56 +68,43 @@ def exact_quantiles(
         )
         return direct if by else direct.drop("_all")
     framed = base.join(brackets, keys)
-    below = framed.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(width)]
+    v = F.col("_v")
+    inside = F.lit(False)
+    for i in range(width):
+        inside = inside | v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+    # rows outside all brackets are only counted, at the bracket end below them
+    end_below = F.greatest(
+        F.lit(float("-inf")), *[F.when(F.col(f"_hi{i}") < v, F.col(f"_hi{i}")) for i in range(width)]
     )
-    hits = F.filter(
-        F.array(
-            *[
-                F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), i)
-                for i in range(width)
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
-    inside = (
-        framed.withColumn("_i", F.explode(hits))
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count("*").alias("_c"))
+    entries = (
+        framed.select(
+            *keys, "_n", inside.alias("_in"), F.when(inside, v).otherwise(end_below).alias("_at")
+        )
+        .groupBy(*keys, "_at", "_in")
+        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     )
-    running = Window.partitionBy(*keys, "_i").orderBy("_v")
-    inside = inside.withColumn("_to", F.sum("_c").over(running)).withColumn(
+    running = Window.partitionBy(*keys).orderBy("_at", F.desc("_in"))
+    ranked = entries.withColumn("_to", F.sum("_c").over(running)).withColumn(
         "_from", F.col("_to") - F.col("_c")
     )
-    ranks = brackets.select(*keys, "_n").join(below, keys).select(
-        *keys,
-        F.posexplode(
-            F.array(
-                *[
-                    F.struct(
-                        F.col(f"_below{i}").alias("below"),
-                        ((F.col("_n") - 1) * F.lit(probs[names[i]])).alias("rank"),
-                    )
-                    for i in range(width)
-                ]
-            )
-        ).alias("_i", "_w"),
-    ).select(*keys, "_i", "_w.below", "_w.rank")
-    steps = inside.join(ranks, [*keys, "_i"])
-    lower, upper = F.floor("rank"), F.ceil("rank")
 
-    def holds(k):
-        at = k - F.col("below")
-        return (F.col("_from") <= at) & (at < F.col("_to"))
+    def at_rank(rank):
+        held = F.col("_in") & (F.col("_from") <= rank) & (rank < F.col("_to"))
+        return F.max(F.when(held, F.col("_at")))
 
-    picked = steps.groupBy(*keys, "_i").agg(
-        F.max(F.when(holds(lower), F.col("_v"))).alias("lo"),
-        F.max(F.when(holds(upper), F.col("_v"))).alias("hi"),
-        F.max(F.col("rank") - lower).alias("d"),
-    )
-    value_at = F.col("lo") * (1 - F.col("d")) + F.col("hi") * F.col("d")
-    out = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)]
+    picks = {}
+    for name in names:
+        rank = (F.col("_n") - 1) * F.lit(probs[name])
+        picks[f"_low_{name}"] = at_rank(F.floor(rank))
+        picks[f"_high_{name}"] = at_rank(F.ceil(rank))
+        picks[f"_d_{name}"] = F.max(rank - F.floor(rank))
+    picked = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in picks.items()])
+    out = picked.select(
+        *keys,
+        *[
+            (F.col(f"_low_{n}") * (1 - F.col(f"_d_{n}")) + F.col(f"_high_{n}") * F.col(f"_d_{n}")).alias(n)
+            for n in names
+        ],
     )
     return out if by else out.drop("_all")
 

@@ -64,3 +64,12 @@ def measured(df: DataFrame) -> DataFrame:
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     kept.count()
     return kept
+
+
+def output_partitions(spark: SparkSession, work: float, per_task: int) -> int:
+    """Partitions for a shuffle whose tasks do far more work than their input shows.
+
+    AQE merges small shuffle blocks by input bytes; an explicit number is left alone.
+    """
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, int(-(-work // per_task)))
