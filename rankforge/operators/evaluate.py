@@ -155,7 +155,7 @@ def student_t_tail(r: float, n: int) -> float:
     """
     if n is None or r is None or math.isnan(r) or n < 2:
         return float("nan")
-    if n == 2:
+    if n == 2 or r == 0.0:
         return 1.0
     df = n - 2
     if abs(r) >= 1.0:
