@@ -187,8 +187,8 @@ def first_occurrence_items(pairs: DataFrame, by: list[str] | None = None) -> Dat
     """Item table of a pair table: one row per response id (within ``by``).
 
     The response1 side goes before the response2 side, then the smaller texts decide.
-    The best row is kept by a struct minimum with map-side combine, so an id that
-    occurs in very many pairs costs no sort.
+    A distinct comes first: it runs as a hash aggregation before the shuffle, so an id
+    that occurs in very many pairs leaves each task once, unsorted.
     """
     keys = list(by if by is not None else [c for c in ("dataset", "item") if c in pairs.columns])
 
@@ -203,7 +203,7 @@ def first_occurrence_items(pairs: DataFrame, by: list[str] | None = None) -> Dat
             ).alias("_r"),
         )
 
-    both = side(1).unionByName(side(2))
+    both = side(1).unionByName(side(2)).distinct()
     first = both.groupBy(*keys, "response_id").agg(F.min("_r").alias("_r"))
     return first.select(*keys, "response_id", "_r.*").drop("side")
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.hashing import key_hash, uniform
-from rankforge.functions.verdicts import argmax, draw, encode_label, softmax, value_of
+from rankforge.functions.verdicts import (
+    argmax, decode_label, draw, encode_label, softmax, value_of,
+)
 from rankforge.operators.columns import require_columns
 from rankforge.operators.score import LOGITS
 from rankforge.schemas import LABELS
@@ -81,9 +83,11 @@ def majority_vote(passes: DataFrame, key: str = "source_row_index") -> DataFrame
     A sample without drawn passes has three zero votes and so counts as a tied A.
     """
     drawn = F.col("pass_type") == "stochastic"
+    # label numbers instead of names: numeric states keep the aggregation hash-based
+    truth = encode_label(F.col("true_winner"))
     votes = passes.groupBy(key).agg(
-        F.min("true_winner").alias("true_winner"),
-        (F.min("true_winner") != F.max("true_winner")).alias("truth_conflict"),
+        decode_label(F.min(truth)).alias("true_winner"),
+        (F.min(truth) != F.max(truth)).alias("truth_conflict"),
         *[
             F.count_if(drawn & (F.col("pred_winner") == name)).alias(f"votes_{name}")
             for name in LABELS
@@ -100,7 +104,7 @@ def majority_vote(passes: DataFrame, key: str = "source_row_index") -> DataFrame
     return votes.withColumns(
         {
             "majority_winner": won, "is_tie": tied,
-            "majority_correct": (won == F.col("true_winner")).cast("int"),
+            "majority_correct": F.coalesce(won == F.col("true_winner"), F.lit(False)).cast("int"),
         }
     )
 
