@@ -100,6 +100,16 @@ def round_order(h: np.ndarray, round_number: int) -> np.ndarray:
     return np.argsort(z, kind="stable")
 
 
+def stable_order(ids: np.ndarray) -> np.ndarray:
+    """Stable argsort of non-negative ids, 16 bits at a time (numpy sorts those by radix)."""
+    order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(ids) and ids.max() > 0xFFFF:
+        order = order[np.argsort((ids[order] >> 16).astype(np.uint16), kind="stable")]
+    if len(ids) and ids.max() > 0xFFFFFFFF:
+        order = order[np.argsort(ids[order] >> 32, kind="stable")]
+    return order
+
+
 def independent_batches(a: np.ndarray, b: np.ndarray, n_items: int) -> Iterator[np.ndarray]:
     """Split games, given in play order, into batches without a common player.
 
@@ -109,22 +119,31 @@ def independent_batches(a: np.ndarray, b: np.ndarray, n_items: int) -> Iterator[
     games = len(a)
     players = np.empty(2 * games, dtype=np.int64)
     players[0::2], players[1::2] = a, b
-    queue = np.argsort(players, kind="stable") // 2  # games per player, in play order
+    queue = stable_order(players) // 2  # games per player, in play order
     ends = np.cumsum(np.bincount(players, minlength=n_items))
     at = np.concatenate(([0], ends[:-1]))
     queue = np.append(queue, games)  # sentinel read by players that are done
     nxt = np.where(at < ends, queue[np.minimum(at, 2 * games)], games)
-    candidates = np.unique(nxt[nxt < games])
-    while len(candidates):
-        ready = candidates[
-            (nxt[a[candidates]] == candidates) & (nxt[b[candidates]] == candidates)
-        ]
+    both = a + b
+    asked = np.zeros(n_items, dtype=np.int64)  # last step at which a player moved on
+    moved, step = np.arange(n_items), 1
+    asked[moved] = step
+    while len(moved):
+        game = nxt[moved]
+        open_ = game < games
+        game, player = game[open_], moved[open_]
+        other = both[game] - player
+        # met by both players in this step: count it for the first side only
+        once = (asked[other] != step) | (player == a[game])
+        ready = game[(nxt[other] == game) & once]
+        if not len(ready):
+            return
         yield ready
         moved = np.concatenate((a[ready], b[ready]))
+        step += 1
+        asked[moved] = step
         at[moved] += 1
         nxt[moved] = np.where(at[moved] < ends[moved], queue[at[moved]], games)
-        candidates = np.unique(nxt[moved])
-        candidates = candidates[candidates < games]
 
 
 def play_round(
