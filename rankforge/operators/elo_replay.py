@@ -410,8 +410,10 @@ def _replay_large(
     The items of a group are dealt into an even number of blocks. A round walks through
     a round-robin schedule: in each step every block meets one other (or itself), so the
     block meetings of a step share no item and run in parallel, and playing the steps in
-    turn is one particular sequential order of all verdicts of the round. A meeting
-    holds about ``limit`` / 2 verdicts or fewer, however large the group is. Verdicts
+    turn is one particular sequential order of all verdicts of the round. With verdicts
+    spread evenly over the items, a meeting holds about ``limit`` / 2 of them however
+    large the group is; one item in very many verdicts makes its block's meetings larger,
+    as its games depend on each other and have to be played in turn. Verdicts
     are written once, partitioned by step; ratings are checkpointed after every step.
     The driver sees one row per large group and parameter set per round.
     """
