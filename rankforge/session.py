@@ -48,6 +48,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write to the shared folder and read back; also the path, for ``drop_scratch``.
+
+    The schema is handed to the reader, so an empty result needs no file to read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a superseded scratch table that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise reliably in the shared folder and forget the plan behind it."""
     checkpoint_dir(df.sparkSession)
