@@ -3,14 +3,15 @@
 Two documents link when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of distinct
 word shingles. The plan, without a step that emits all pairs of a group:
 
-1. Documents with the same set become one set (key: md5 of the sorted shingle hashes).
-2. A set whose hash-order prefix shares no shingle with another set's cannot have a
-   partner; the rest, usually few, fetch their shingles.
-3. Among these, shingles of many sets move to the back of the order and the prefix is
-   taken anew, so that common passages do not make candidates. Any one order is exact.
-4. Sets of the same prefix and size form a group. Members of a group are verified
+1. Shingles are counted within a window of each document's lowest hashes. The most
+   frequent ones go to the back of the order, so that common passages do not make
+   candidates; any one order of all shingles is exact, so their number may be bounded.
+2. Documents with the same set become one set (key: md5 of the sorted shingle hashes).
+   A set whose prefix in that order holds no shingle of a second document cannot have a
+   partner; the rest fetch their shingles.
+3. Sets of the same prefix and size form a group. Members of a group are verified
    against one of them, groups that share a prefix shingle through a leader of that
-   shingle; links found so are united. Then every pair of groups that share a prefix
+   shingle; links found so are united. Then every pair of sets that share a prefix
    shingle, fit in size and still lie in different components is expanded and verified.
    Pairs already united need no verification, as only reachability is asked for.
 """
@@ -27,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected_components
+from rankforge.llm.linking import apart, leader_pairs, remaining_pairs
 from rankforge.llm.textops import list_array, shingle_hashes, text_runs, word_hashes
 from rankforge.session import write_scratch
 
-#: A shingle found in more sets than this goes to the back of the order (speed only).
-COMMON_SETS = 64
-#: Rounds of leader verification before the exact expansion (speed only).
-LEADER_ROUNDS = 2
+#: A shingle of more documents than this may go to the back of the order (speed only).
+COMMON_DOCUMENTS = 64
+#: At most so many shingles, the most frequent, do: 8 bytes each in every task (speed only).
+COMMON_SHINGLES = 100_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -48,13 +50,36 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The order of all prefixes: common shingles last, then by hash."""
+    if not len(common):
+        return shingles
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    return shingles[np.argsort(common[at] == shingles, kind="stable")]
+
+
+def _window_size(n: int, percent: int) -> int:
+    """Shingles of lowest hash that are counted: the prefix and half as many for reserve."""
+    return _prefix_size(n, percent) * 3 // 2
+
+
+def _count(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        windows = [np.zeros(0, np.uint64)]
+        for _, _, data, offsets in text_runs(batch.column("text")):
+            windows += [s[: _window_size(len(s), percent)] for s in _sets(data, offsets, width)]
+        found, often = np.unique(np.concatenate(windows), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(often)], ["h", "c"])
+
+
+def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``beyond`` holds the prefix shingles that lie outside the counted window."""
     for batch in batches:
-        texts = batch.column("text")
-        for first, end, data, offsets in text_runs(texts):
+        for first, end, data, offsets in text_runs(batch.column("text")):
             sets = _sets(data, offsets, width)
-            heads = [s[: _prefix_size(len(s), percent)] for s in sets]
-            flat = np.concatenate(heads).view(np.int64)
+            heads = [_ordered(s, common)[: _prefix_size(len(s), percent)] for s in sets]
+            last = [s[min(len(s), max(1, _window_size(len(s), percent))) - 1] if len(s) else 0 for s in sets]
+            outer = [h[h > b] for h, b in zip(heads, last, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": batch.column("row").slice(first, end - first),
@@ -62,47 +87,33 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
                     "digest": batch.column("digest").slice(first, end - first),
                     "n": pa.array([len(s) for s in sets], type=pa.int64()),
                     "key": pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], type=pa.binary()),
-                    "prefix": list_array(flat, np.array([len(h) for h in heads])),
+                    "prefix": _lists(heads),
+                    "beyond": _lists(outer),
                 }
             )
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return list_array(np.concatenate(rows).astype(np.uint64).view(np.int64), np.array([len(r) for r in rows]))
+
+
+def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_runs(batch.column("text")):
             sets = _sets(data, offsets, width)
-            flat = np.concatenate(sets).view(np.int64)
+            heads = [_ordered(s, common)[: _prefix_size(len(s), percent)] for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
                     "set_id": batch.column("set_id").slice(first, end - first),
-                    "tokens": list_array(flat, np.array([len(s) for s in sets])),
+                    "n": pa.array([len(s) for s in sets], type=pa.int64()),
+                    "digest": pa.array([hashlib.md5(h.tobytes()).digest() for h in heads], type=pa.binary()),
+                    "prefix": _lists(heads),
+                    "tokens": _lists(sets),
                 }
             )
 
 
-def _reorder(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Prefixes in the order (common, hash); ``common`` lists the set's common shingles."""
-    for batch in batches:
-        rows = zip(batch.column("tokens"), batch.column("common"), strict=True)
-        heads, digests = [], []
-        for tokens, common in rows:
-            own = tokens.values.to_numpy(zero_copy_only=False)
-            late = np.isin(own, common.values.to_numpy(zero_copy_only=False)) if common.is_valid else np.zeros(len(own), bool)
-            head = own[np.argsort(late, kind="stable")][: _prefix_size(len(own), percent)]
-            heads.append(head)
-            digests.append(hashlib.md5(head.tobytes()).digest())
-        sizes = np.array([len(h) for h in heads], dtype=np.int64)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "set_id": batch.column("set_id"),
-                "n": batch.column("n"),
-                "digest": pa.array(digests, type=pa.binary()),
-                "prefix": list_array(np.concatenate(heads) if heads else np.zeros(0, np.int64), sizes, pa.int64()),
-            }
-        )
-
-
-def _fits(a: Column, b: Column, percent: int) -> Column:
+def _fits(percent: int, a: Column, b: Column) -> Column:
     """Sizes that a linked pair can have."""
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
@@ -114,14 +125,14 @@ class _Join:
         self.tokens, self.percent = tokens, percent
         self.links: list[DataFrame] = []
 
-    def verify(self, pairs: DataFrame, name: str) -> None:
+    def verify(self, pairs: DataFrame) -> None:
         """Keep the pairs (a, b) of sets that link."""
         one = self.tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"))
         two = self.tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
         union = F.size("ta") + F.size("tb") - both
         sure = pairs.join(one, "a").join(two, "b").filter(F.lit(100) * both >= F.lit(self.percent) * union)
-        self.links.append(write_scratch(sure.select("a", "b"), name)[0])
+        self.links.append(write_scratch(sure.select("a", "b"), "links")[0])
 
     def components(self) -> DataFrame:
         found = self.links[0]
@@ -130,38 +141,6 @@ class _Join:
         return write_scratch(connected_components(found), "components")[0]
 
 
-def _candidates_by_leader(post: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each group of a shingle with one leader of it, another in every turn."""
-    rank = F.xxhash64("gid", F.lit(turn))
-    lead = post.groupBy("h").agg(F.min(F.struct(rank.alias("r"), "gid", "n")).alias("lead"))
-    met = post.join(lead, "h").filter(F.col("gid") != F.col("lead.gid"))
-    met = met.filter(_fits(F.col("n"), F.col("lead.n"), percent))
-    return met.select(F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b")).distinct()
-
-
-def _united(post: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(h, gid, n, set_id, comp) of every member of a group under each prefix shingle."""
-    own = members.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
-    own = own.select("gid", "set_id", F.coalesce("component", "set_id").alias("comp"))
-    return post.join(own, "gid")
-
-
-def _candidates_left(post: DataFrame, members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets that share a prefix shingle, fit in size and are not yet united.
-
-    Components, not members, meet under a shingle first; only pairs of different
-    components are expanded.
-    """
-    held = _united(post, members, comp)
-    spots = held.select("h", "comp").distinct()
-    left, right = spots.withColumnRenamed("comp", "ca"), spots.withColumnRenamed("comp", "cb")
-    met = left.join(right, "h").filter(F.col("ca") < F.col("cb"))
-    one = held.select("h", F.col("comp").alias("ca"), F.col("set_id").alias("sa"), F.col("n").alias("na"))
-    two = held.select("h", F.col("comp").alias("cb"), F.col("set_id").alias("sb"), F.col("n").alias("nb"))
-    wide = met.join(one, ["h", "ca"]).join(two, ["h", "cb"]).filter(_fits(F.col("na"), F.col("nb"), percent))
-    return wide.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
-
-
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -172,55 +151,50 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     documents; a null doc_id is kept and never is a component_id unless alone. Other
     columns are ignored.
     """
-    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
-    shape = f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest bigint, n bigint, key binary, prefix array<bigint>"
-    described, _ = write_scratch(
-        texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_describe, width=width, percent=percent), shape),
-        "described",
+    place = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))
+    texts = docs.select("doc_id", "text", F.md5(place).alias("digest"))
+    counted = docs.select("text").mapInArrow(partial(_count, width=width, percent=percent), "h bigint, c bigint")
+    several, _ = write_scratch(counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"), "several")
+    top = several.filter(F.col("c") > COMMON_DOCUMENTS).orderBy(F.desc("c"), "h").limit(COMMON_SHINGLES).select("h")
+    common = np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
+    how = {"width": width, "percent": percent, "common": common}
+
+    shape = (
+        f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, "
+        "n bigint, key binary, prefix array<bigint>, beyond array<bigint>"
     )
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    described, _ = write_scratch(numbered.mapInArrow(partial(_describe, **how), shape), "described")
     some = described.filter("n > 0")
     sets, _ = write_scratch(some.groupBy("key").agg(F.min("row").alias("set_id")), "sets")
     reps = some.join(sets.select(F.col("set_id").alias("row")), "row")
 
+    shared = several.select("h").union(some.select(F.explode("beyond").alias("h"))).distinct()
     post = reps.select(F.col("row").alias("set_id"), F.explode("prefix").alias("h"))
-    shared = post.groupBy("h").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi")
-    hopeful = post.join(shared.select("h"), "h", "left_semi").select("set_id").distinct()
-    wanted = reps.select("doc_id", "digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
+    hopeful = post.join(shared, "h", "left_semi").select("set_id").distinct()
+    wanted = reps.select("digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
     # alike rows of one (doc_id, text) fall to the one set they share
-    fetched = texts.alias("t").join(
-        wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
-    )
-    fetched = fetched.select("set_id", "t.text").dropDuplicates(["set_id"])
-    tokens, _ = write_scratch(fetched.mapInArrow(partial(_tokens, width=width), "set_id bigint, tokens array<bigint>"), "tokens")
-
-    join = _Join(tokens, percent)
-    each = tokens.select("set_id", F.explode("tokens").alias("h"))
-    common, _ = write_scratch(each.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > COMMON_SETS).select("h"), "common")
-    late = each.join(common, "h").groupBy("set_id").agg(F.collect_list("h").alias("common"))
-    ordered = tokens.join(late, "set_id", "left").withColumn("n", F.size("tokens").cast("bigint"))
-    prefixes, _ = write_scratch(
-        ordered.select("set_id", "n", "tokens", "common").mapInArrow(
-            partial(_reorder, percent=percent), "set_id bigint, n bigint, digest binary, prefix array<bigint>"
-        ),
-        "prefixes",
-    )
-    groups = prefixes.groupBy("n", "digest").agg(F.min("set_id").alias("gid"))
-    members, _ = write_scratch(prefixes.join(groups, ["n", "digest"]).select("gid", "set_id", "n"), "members")
-    heads = prefixes.join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
+    fetched = texts.drop("doc_id").join(wanted, "digest").dropDuplicates(["digest"])
+    shape = "set_id bigint, n bigint, digest binary, prefix array<bigint>, tokens array<bigint>"
+    tokens, _ = write_scratch(fetched.select("set_id", "text").mapInArrow(partial(_fetch, **how), shape), "tokens")
+
+    groups = tokens.groupBy("n", "digest").agg(F.min("set_id").alias("gid"))
+    members, _ = write_scratch(tokens.select("set_id", "n", "digest").join(groups, ["n", "digest"]).drop("digest"), "members")
+    heads = tokens.select("set_id", "n", "prefix").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
     post = heads.select(F.col("set_id").alias("gid"), "n", F.explode("prefix").alias("h"))
     busy = post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     post, _ = write_scratch(post.join(busy, "h", "left_semi"), "postings")
 
-    join.verify(members.filter("gid != set_id").select(F.col("gid").alias("a"), F.col("set_id").alias("b")), "inner")
-    for turn in range(LEADER_ROUNDS):
-        pairs = _candidates_by_leader(post, turn, percent)
-        if turn:
-            pairs = _apart(pairs, join.components())
-        join.verify(pairs, "leaders")
-    # groups without a shared shingle can still hold members that differ among themselves
-    alone = members.groupBy("gid").agg(F.count("*").alias("c")).filter("c > 2").select("gid")
-    inner = members.join(alone, "gid").select("gid", "n", F.col("gid").alias("h"))
-    join.verify(_candidates_left(post.select("gid", "n", "h").union(inner.distinct()), members.drop("n"), join.components(), percent), "rest")
+    fits = partial(_fits, percent)
+    join = _Join(tokens.select("set_id", "tokens"), percent)
+    inner = members.filter("gid != set_id").select(F.col("gid").alias("a"), F.col("set_id").alias("b"))
+    join.verify(inner.union(leader_pairs(post, 0, fits)))
+    join.verify(apart(leader_pairs(post, 1, fits), join.components()))
+    # members of a group meet under every shingle of its prefix, and under its id in case it shares none
+    own = members.select("gid", "set_id").join(join.components().withColumnRenamed("node", "set_id"), "set_id", "left")
+    own = own.select("gid", F.col("set_id").alias("id"), F.coalesce("component", "set_id").alias("comp"))
+    spots = post.select("gid", "n", "h").union(inner.join(members.select("gid", "n").distinct().withColumnRenamed("gid", "a"), "a").select("a", "n", "a").distinct())
+    join.verify(remaining_pairs(spots.join(own, "gid").select("h", "id", "n", "comp"), fits))
     comp = join.components()
 
     owner = described.select("doc_id", "n", "key").join(sets, "key", "left")
@@ -235,15 +209,6 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     )
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends are not yet in one component."""
-    one = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    return both.filter(apart).select("a", "b")
-
-
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest doc_id.
 
