@@ -1,6 +1,7 @@
 """Candidate pairs from shared keys, without emitting all pairs of a key.
 
-``post`` is a table (h, gid, n): element ``gid`` of size ``n`` carries key ``h``.
+``post`` is a table (h, gid, n, need): element ``gid`` of size ``n`` carries key ``h``,
+and a partner shares at least the smaller ``need`` of the two among their keys.
 ``fits`` tells whether two sizes can belong to a link.
 """
 
@@ -15,12 +16,19 @@ Fits = Callable[[Column, Column], Column]
 
 
 def leader_pairs(post: DataFrame, turn: int, fits: Fits) -> DataFrame:
-    """(a, b): every element of a key with one leader of the key, another in every turn."""
+    """(a, b): elements and the leaders of their keys, another leader in every turn.
+
+    Leaders are a way to unite large groups in few pairs, not a complete search: a pair
+    counts if it meets under half of the keys it needs, so that chance meetings go.
+    """
     rank = F.xxhash64("gid", F.lit(turn))
-    lead = post.groupBy("h").agg(F.min(F.struct(rank.alias("r"), "gid", "n")).alias("lead"))
+    lead = post.groupBy("h").agg(F.min(F.struct(rank.alias("r"), "gid", "n", "need")).alias("lead"))
     met = post.join(lead, "h").filter(F.col("gid") != F.col("lead.gid"))
     met = met.filter(fits(F.col("n"), F.col("lead.n")))
-    return met.select(F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b")).distinct()
+    pairs = met.groupBy(F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(F.least("need", "lead.need")).alias("need")
+    )
+    return pairs.filter(2 * F.col("shared") >= F.col("need")).select("a", "b")
 
 
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -32,15 +40,20 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(held: DataFrame, fits: Fits) -> DataFrame:
-    """(a, b): all pairs under a key whose ends are not yet united.
+    """(a, b): all pairs that share the keys they need and are not yet united.
 
-    ``held`` is (h, id, n, comp). Components, not members, meet under a key first, and
-    only different ones are expanded; so a large united group costs one row here.
+    ``held`` is (h, id, n, need, comp). Components, not members, meet under a key first,
+    and only different ones are expanded; so a large united group costs one row here.
     """
     spots = held.select("h", "comp").distinct()
     left, right = spots.withColumnRenamed("comp", "ca"), spots.withColumnRenamed("comp", "cb")
     met = left.join(right, "h").filter(F.col("ca") < F.col("cb"))
-    one = held.select("h", F.col("comp").alias("ca"), F.col("id").alias("ia"), F.col("n").alias("na"))
-    two = held.select("h", F.col("comp").alias("cb"), F.col("id").alias("ib"), F.col("n").alias("nb"))
-    wide = met.join(one, ["h", "ca"]).join(two, ["h", "cb"]).filter(fits(F.col("na"), F.col("nb")))
-    return wide.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+
+    def side(x: str) -> DataFrame:
+        return held.select("h", *[F.col(c).alias(f"{c[0]}{x}" if c != "need" else f"need{x}") for c in ("comp", "id", "n", "need")])
+
+    wide = met.join(side("a"), ["h", "ca"]).join(side("b"), ["h", "cb"]).filter(fits(F.col("na"), F.col("nb")))
+    pairs = wide.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(F.least("needa", "needb")).alias("need")
+    )
+    return pairs.filter(F.col("shared") >= F.col("need")).select("a", "b")

@@ -3,17 +3,18 @@
 Two documents link when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of distinct
 word shingles. The plan, without a step that emits all pairs of a group:
 
-1. Shingles are counted within a window of each document's lowest hashes. The most
-   frequent ones go to the back of the order, so that common passages do not make
-   candidates; any one order of all shingles is exact, so their number may be bounded.
-2. Documents with the same set become one set (key: md5 of the sorted shingle hashes).
-   A set whose prefix in that order holds no shingle of a second document cannot have a
-   partner; the rest fetch their shingles.
-3. Sets of the same prefix and size form a group. Members of a group are verified
-   against one of them, groups that share a prefix shingle through a leader of that
-   shingle; links found so are united. Then every pair of sets that share a prefix
-   shingle, fit in size and still lie in different components is expanded and verified.
-   Pairs already united need no verification, as only reachability is asked for.
+1. Documents with the same set become one set (key: md5 of the sorted shingle hashes).
+2. Two linked sets share at least ``need`` shingles within windows of both: the prefix
+   (all but the required overlap, and one) and half as many more, in any one order of
+   shingles. A set whose window by hash holds fewer shingles of a second document than
+   that cannot have a partner; the rest, usually few, fetch their shingles.
+3. Among these, frequent shingles go to the back of the order, so that common passages
+   do not make candidates. Any order is exact, so their number may be bounded.
+4. Sets of the same window and size form a group. Members of a group are verified
+   against one of them, groups that share window shingles through a leader of the
+   shingle; links found so are united. Then every pair of sets that share enough, fit in
+   size and still lie in different components is expanded and verified. Pairs already
+   united need no verification, as only reachability is asked for.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]
     return [np.unique(s) for s in np.split(shingles, np.cumsum(sizes)[:-1])]
 
 
-def _prefix_size(n: int, percent: int) -> int:
-    """Shingles of a set of n of which a partner must hold at least one."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+def _window(n: int, percent: int) -> tuple[int, int]:
+    """(length of the window, shingles that a partner must share within it) of a set of n."""
+    prefix = n - -(-percent * n // 100) + 1 if n else 0
+    return prefix * 3 // 2, prefix * 3 // 2 - prefix + 1
 
 
 def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -58,56 +60,39 @@ def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     return shingles[np.argsort(common[at] == shingles, kind="stable")]
 
 
-def _window_size(n: int, percent: int) -> int:
-    """Shingles of lowest hash that are counted: the prefix and half as many for reserve."""
-    return _prefix_size(n, percent) * 3 // 2
-
-
-def _count(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        windows = [np.zeros(0, np.uint64)]
-        for _, _, data, offsets in text_runs(batch.column("text")):
-            windows += [s[: _window_size(len(s), percent)] for s in _sets(data, offsets, width)]
-        found, often = np.unique(np.concatenate(windows), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(often)], ["h", "c"])
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return list_array(np.concatenate(rows).view(np.int64), np.array([len(r) for r in rows]))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``beyond`` holds the prefix shingles that lie outside the counted window."""
+def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_runs(batch.column("text")):
             sets = _sets(data, offsets, width)
-            heads = [_ordered(s, common)[: _prefix_size(len(s), percent)] for s in sets]
-            last = [s[min(len(s), max(1, _window_size(len(s), percent))) - 1] if len(s) else 0 for s in sets]
-            outer = [h[h > b] for h, b in zip(heads, last, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": batch.column("row").slice(first, end - first),
                     "doc_id": batch.column("doc_id").slice(first, end - first),
                     "digest": batch.column("digest").slice(first, end - first),
                     "n": pa.array([len(s) for s in sets], type=pa.int64()),
+                    "need": pa.array([_window(len(s), percent)[1] for s in sets], type=pa.int64()),
                     "key": pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], type=pa.binary()),
-                    "prefix": _lists(heads),
-                    "beyond": _lists(outer),
+                    "window": _lists([s[: _window(len(s), percent)[0]] for s in sets]),
                 }
             )
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    return list_array(np.concatenate(rows).astype(np.uint64).view(np.int64), np.array([len(r) for r in rows]))
-
-
 def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_runs(batch.column("text")):
             sets = _sets(data, offsets, width)
-            heads = [_ordered(s, common)[: _prefix_size(len(s), percent)] for s in sets]
+            heads = [_ordered(s, common)[: _window(len(s), percent)[0]] for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
                     "set_id": batch.column("set_id").slice(first, end - first),
                     "n": pa.array([len(s) for s in sets], type=pa.int64()),
+                    "need": pa.array([_window(len(s), percent)[1] for s in sets], type=pa.int64()),
                     "digest": pa.array([hashlib.md5(h.tobytes()).digest() for h in heads], type=pa.binary()),
-                    "prefix": _lists(heads),
+                    "window": _lists(heads),
                     "tokens": _lists(sets),
                 }
             )
@@ -153,35 +138,32 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     """
     place = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))
     texts = docs.select("doc_id", "text", F.md5(place).alias("digest"))
-    counted = docs.select("text").mapInArrow(partial(_count, width=width, percent=percent), "h bigint, c bigint")
-    several, _ = write_scratch(counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"), "several")
-    top = several.filter(F.col("c") > COMMON_DOCUMENTS).orderBy(F.desc("c"), "h").limit(COMMON_SHINGLES).select("h")
-    common = np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
-    how = {"width": width, "percent": percent, "common": common}
-
     shape = (
         f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, "
-        "n bigint, key binary, prefix array<bigint>, beyond array<bigint>"
+        "n bigint, need bigint, key binary, window array<bigint>"
     )
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    described, _ = write_scratch(numbered.mapInArrow(partial(_describe, **how), shape), "described")
-    some = described.filter("n > 0")
-    sets, _ = write_scratch(some.groupBy("key").agg(F.min("row").alias("set_id")), "sets")
-    reps = some.join(sets.select(F.col("set_id").alias("row")), "row")
-
-    shared = several.select("h").union(some.select(F.explode("beyond").alias("h"))).distinct()
-    post = reps.select(F.col("row").alias("set_id"), F.explode("prefix").alias("h"))
-    hopeful = post.join(shared, "h", "left_semi").select("set_id").distinct()
-    wanted = reps.select("digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
+    described, _ = write_scratch(numbered.mapInArrow(partial(_describe, width=width, percent=percent), shape), "described")
+    sets, _ = write_scratch(described.filter("n > 0").groupBy("key").agg(F.min("row").alias("set_id")), "sets")
+    post = described.select("row", "need", F.explode("window").alias("h"))
+    several, _ = write_scratch(post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "several")
+    top = several.filter(F.col("c") > COMMON_DOCUMENTS).orderBy(F.desc("c"), "h").limit(COMMON_SHINGLES).select("h")
+    common = np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
+
+    met = post.join(several.select("h"), "h", "left_semi").groupBy("row", "need").agg(F.count("*").alias("c"))
+    hopeful = met.filter("c >= need").select(F.col("row").alias("set_id")).join(sets, "set_id", "left_semi")
+    wanted = described.select("digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
     # alike rows of one (doc_id, text) fall to the one set they share
     fetched = texts.drop("doc_id").join(wanted, "digest").dropDuplicates(["digest"])
-    shape = "set_id bigint, n bigint, digest binary, prefix array<bigint>, tokens array<bigint>"
-    tokens, _ = write_scratch(fetched.select("set_id", "text").mapInArrow(partial(_fetch, **how), shape), "tokens")
+    shape = "set_id bigint, n bigint, need bigint, digest binary, window array<bigint>, tokens array<bigint>"
+    how = partial(_fetch, width=width, percent=percent, common=common)
+    tokens, _ = write_scratch(fetched.select("set_id", "text").mapInArrow(how, shape), "tokens")
 
     groups = tokens.groupBy("n", "digest").agg(F.min("set_id").alias("gid"))
-    members, _ = write_scratch(tokens.select("set_id", "n", "digest").join(groups, ["n", "digest"]).drop("digest"), "members")
-    heads = tokens.select("set_id", "n", "prefix").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
-    post = heads.select(F.col("set_id").alias("gid"), "n", F.explode("prefix").alias("h"))
+    sized = tokens.select("set_id", "n", "need", "digest")
+    members, _ = write_scratch(sized.join(groups, ["n", "digest"]).drop("digest"), "members")
+    heads = tokens.select("set_id", "n", "need", "window").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
+    post = heads.select(F.col("set_id").alias("gid"), "n", "need", F.explode("window").alias("h"))
     busy = post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     post, _ = write_scratch(post.join(busy, "h", "left_semi"), "postings")
 
@@ -190,11 +172,13 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     inner = members.filter("gid != set_id").select(F.col("gid").alias("a"), F.col("set_id").alias("b"))
     join.verify(inner.union(leader_pairs(post, 0, fits)))
     join.verify(apart(leader_pairs(post, 1, fits), join.components()))
-    # members of a group meet under every shingle of its prefix, and under its id in case it shares none
-    own = members.select("gid", "set_id").join(join.components().withColumnRenamed("node", "set_id"), "set_id", "left")
-    own = own.select("gid", F.col("set_id").alias("id"), F.coalesce("component", "set_id").alias("comp"))
-    spots = post.select("gid", "n", "h").union(inner.join(members.select("gid", "n").distinct().withColumnRenamed("gid", "a"), "a").select("a", "n", "a").distinct())
-    join.verify(remaining_pairs(spots.join(own, "gid").select("h", "id", "n", "comp"), fits))
+    comp, _ = write_scratch(join.components().withColumnRenamed("node", "id"), "components")
+    own = members.withColumnRenamed("set_id", "id").join(comp, "id", "left")
+    own = own.withColumn("comp", F.coalesce("component", "id")).select("gid", "id", "n", "need", "comp")
+    across = post.select("h", "gid").join(own, "gid").select("h", "id", "n", "need", "comp")
+    # members of one group share its whole window: they meet once, under the id of the group
+    within = own.select(F.col("gid").alias("h"), "id", "n", F.lit(1).cast("bigint").alias("need"), "comp")
+    join.verify(remaining_pairs(across, fits).union(remaining_pairs(within, fits)).distinct())
     comp = join.components()
 
     owner = described.select("doc_id", "n", "key").join(sets, "key", "left")
