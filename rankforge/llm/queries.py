@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankforge.llm import ngram_join
+from rankforge.llm import bpe, licenses, line_dedup, mixing, ngram_join, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,42 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents")
+    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
+    decoded = bpe.decode_documents(encoded, ranks)
+    return decoded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), limit=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "votes", "posterior",
+    )
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.drop("matches")
+
+
 def registry() -> dict[str, Query]:
     own = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return own
