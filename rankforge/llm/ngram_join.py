@@ -8,8 +8,8 @@ word shingles. The plan, without a step that emits all pairs of a group:
    (all but the required overlap, and one) and half as many more, in any one order of
    shingles. A set whose window by hash holds fewer shingles of a second document than
    that cannot have a partner; the rest, usually few, fetch their shingles.
-3. Among these, frequent shingles go to the back of the order, so that common passages
-   do not make candidates. Any order is exact, so their number may be bounded.
+3. Among these, windows are taken anew with rare shingles first, so that common passages
+   do not make candidates. Any order is exact, so the ranked shingles may be bounded.
 4. Sets of the same window and size form a group. Members of a group are verified
    against one of them, groups that share window shingles through a leader of the
    shingle; links found so are united. Then every pair of sets that share enough, fit in
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -33,10 +34,10 @@ from rankforge.llm.linking import apart, leader_pairs, remaining_pairs
 from rankforge.llm.textops import list_array, shingle_hashes, text_runs, word_hashes
 from rankforge.session import write_scratch
 
-#: A shingle of more documents than this may go to the back of the order (speed only).
-COMMON_DOCUMENTS = 64
-#: At most so many shingles, the most frequent, do: 8 bytes each in every task (speed only).
-COMMON_SHINGLES = 100_000
+#: Shingles of more documents than this are ordered by how many they have (speed only).
+COMMON_DOCUMENTS = 4
+#: At most so many shingles, the most frequent, are: 9 bytes each in every task (speed only).
+COMMON_SHINGLES = 1_000_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -52,12 +53,35 @@ def _window(n: int, percent: int) -> tuple[int, int]:
     return prefix * 3 // 2, prefix * 3 // 2 - prefix + 1
 
 
-def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The order of all prefixes: common shingles last, then by hash."""
-    if not len(common):
-        return shingles
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    return shingles[np.argsort(common[at] == shingles, kind="stable")]
+@dataclass
+class Common:
+    """Sorted hashes of common shingles and the power of two of their document counts."""
+
+    hashes: np.ndarray
+    power: np.ndarray
+
+    def order(self, shingles: np.ndarray) -> np.ndarray:
+        """Sorted shingles by power (0 if not common), then by hash: rare ones first."""
+        if not len(self.hashes):
+            return shingles
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        power = np.where(self.hashes[at] == shingles, self.power[at], 0)
+        return shingles[np.argsort(power, kind="stable")]
+
+
+def common_shingles(counts: DataFrame) -> Common:
+    """The most frequent of (h, c): all above the power of two that leaves few enough."""
+    powers = counts.filter(F.col("c") > COMMON_DOCUMENTS).withColumn("p", F.length(F.bin("c")))
+    least, held = 99, 0
+    for row in powers.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect():
+        held += row["n"]
+        if held > COMMON_SHINGLES:
+            break
+        least = row["p"]
+    found = powers.filter(F.col("p") >= least).select("h", F.col("p").cast("tinyint").alias("p")).toArrow()
+    hashes = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Common(hashes[order], found.column("p").to_numpy()[order])
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -81,11 +105,11 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
             )
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: Common) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_runs(batch.column("text")):
             sets = _sets(data, offsets, width)
-            heads = [_ordered(s, common)[: _window(len(s), percent)[0]] for s in sets]
+            heads = [common.order(s)[: _window(len(s), percent)[0]] for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
                     "set_id": batch.column("set_id").slice(first, end - first),
@@ -147,8 +171,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     sets, _ = write_scratch(described.filter("n > 0").groupBy("key").agg(F.min("row").alias("set_id")), "sets")
     post = described.select("row", "need", F.explode("window").alias("h"))
     several, _ = write_scratch(post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "several")
-    top = several.filter(F.col("c") > COMMON_DOCUMENTS).orderBy(F.desc("c"), "h").limit(COMMON_SHINGLES).select("h")
-    common = np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
+    common = common_shingles(several)
 
     met = post.join(several.select("h"), "h", "left_semi").groupBy("row", "need").agg(F.count("*").alias("c"))
     hopeful = met.filter("c >= need").select(F.col("row").alias("set_id")).join(sets, "set_id", "left_semi")
