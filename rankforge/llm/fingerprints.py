@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected_components
-from rankforge.llm.linking import apart, leader_pairs, remaining_pairs
+from rankforge.llm.linking import Rule, leader_pairs, remaining_pairs, with_shared
 from rankforge.llm.textops import list_array, mix64, shingle_hashes, text_runs, word_hashes
 from rankforge.session import write_scratch
 
@@ -190,9 +190,9 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
     signed, _ = write_scratch(texts.mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest bigint, keys array<bigint>"), "signatures")
     one = F.lit(1)
-    post = signed.dropDuplicates(["digest"]).select(F.col("digest").alias("gid"), one.alias("n"), one.alias("need"), F.explode("keys").alias("h"))
+    post = signed.dropDuplicates(["digest"]).select(F.col("digest").alias("gid"), one.alias("n"), one.alias("w"), F.explode("keys").alias("h"))
     busy = post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    post, _ = write_scratch(post.join(busy, "h", "left_semi"), "bands")
+    post, _ = write_scratch(with_shared(post.join(busy, "h", "left_semi")), "bands")
     wanted = post.select(F.col("gid").alias("digest")).distinct()
     held = texts.join(wanted, "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"])
     tokens, _ = write_scratch(held.mapInArrow(_shingles, "digest bigint, tokens array<bigint>"), "tokens")
@@ -204,13 +204,10 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
         sure = (both > 0) & (100 * both >= percent * (F.size("ta") + F.size("tb") - both))
         return write_scratch(pairs.join(a, "a").join(b, "b").filter(sure).select("a", "b"), "links")[0]
 
-    any_size = lambda a, b: F.lit(True)
-    links = verified(leader_pairs(post, 0, any_size))
-    comp, _ = write_scratch(connected_components(links), "components")
-    links = links.union(verified(apart(leader_pairs(post, 1, any_size), comp)))
+    links = verified(leader_pairs(post, Rule()))
     comp, _ = write_scratch(connected_components(links).withColumnRenamed("node", "gid"), "components")
-    united = post.join(comp, "gid", "left").select("h", F.col("gid").alias("id"), "n", "need", F.coalesce("component", "gid").alias("comp"))
-    links = links.union(verified(remaining_pairs(united, any_size)))
+    united = post.join(comp, "gid", "left").select("h", F.col("gid").alias("id"), "n", "w", "m", F.coalesce("component", "gid").alias("comp"))
+    links = links.union(verified(remaining_pairs(united, Rule())))
     comp = connected_components(links).withColumnRenamed("node", "digest")
     owner = signed.select("doc_id", "digest").join(comp, "digest", "left").withColumn("class", F.coalesce("component", "digest"))
     low = owner.groupBy("class").agg(F.min("doc_id").alias("class_id"))

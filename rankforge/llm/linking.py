@@ -1,59 +1,87 @@
 """Candidate pairs from shared keys, without emitting all pairs of a key.
 
-``post`` is a table (h, gid, n, need): element ``gid`` of size ``n`` carries key ``h``,
-and a partner shares at least the smaller ``need`` of the two among their keys.
-``fits`` tells whether two sizes can belong to a link.
+``post`` is a table (h, gid, n, w): element ``gid`` of size ``n`` carries ``w`` keys, one
+row for each key ``h`` that a second element carries too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Fits = Callable[[Column, Column], Column]
 
+@dataclass(frozen=True)
+class Rule:
+    """What two elements share at least if they link; ``percent`` None asks for one key.
+
+    With a Jaccard similarity of percent / 100 two sets of n_a and n_b elements share
+    o = percent * (n_a + n_b) / (100 + percent) of them. The keys of a set are its first
+    w in one order of all elements. At most n - o of them are not shared, so the first
+    w - (n - o) shared elements of either set are keys of both.
+    """
+
+    percent: int | None = None
+
+    def need(self, n_a: Column, w_a: Column, n_b: Column, w_b: Column) -> Column:
+        if self.percent is None:
+            return F.lit(1)
+        overlap = F.ceil(self.percent * (n_a + n_b) / F.lit(100.0 + self.percent) - 1e-9)
+        return F.greatest(F.lit(1), F.least(w_a - n_a, w_b - n_b) + overlap)
+
+    def sizes(self, n_a: Column, n_b: Column) -> Column:
+        if self.percent is None:
+            return F.lit(True)
+        return 100 * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)
 
-def leader_pairs(post: DataFrame, turn: int, fits: Fits) -> DataFrame:
-    """(a, b): elements and the leaders of their keys, another leader in every turn.
 
-    Leaders are a way to unite large groups in few pairs, not a complete search: a pair
-    counts if it meets under half of the keys it needs, so that chance meetings go.
+def with_shared(post: DataFrame) -> DataFrame:
+    """``post`` and ``m``: how many keys of the element a second element carries."""
+    return post.withColumn("m", F.count("*").over(Window.partitionBy("gid")))
+
+
+def leader_pairs(post: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): elements and the leaders of their keys, one leader to a key.
+
+    The leader is an element with few keys of its own, of copies thus the one nearest to
+    the original. Leaders are a way to unite large groups in few pairs, not a complete
+    search: a pair counts if it meets under half of the keys it needs.
     """
-    rank = F.xxhash64("gid", F.lit(turn))
-    lead = post.groupBy("h").agg(F.min(F.struct(rank.alias("r"), "gid", "n", "need")).alias("lead"))
-    met = post.join(lead, "h").filter(F.col("gid") != F.col("lead.gid"))
-    met = met.filter(fits(F.col("n"), F.col("lead.n")))
+    rank = F.struct((-F.col("m") / F.col("w")).alias("own"), F.xxhash64("gid").alias("r"), "gid", "n", "w", "m")
+    lead = post.groupBy("h").agg(F.min(rank).alias("lead"))
+    need = rule.need(F.col("n"), F.col("w"), F.col("lead.n"), F.col("lead.w"))
+    met = post.join(lead, "h").filter(F.col("gid") != F.col("lead.gid")).withColumn("need", need)
+    met = met.filter(rule.sizes(F.col("n"), F.col("lead.n")) & (F.least("m", "lead.m") >= F.col("need")))
     pairs = met.groupBy(F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("need", "lead.need")).alias("need")
+        F.count("*").alias("shared"), F.min("need").alias("need")
     )
     return pairs.filter(2 * F.col("shared") >= F.col("need")).select("a", "b")
 
 
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends are not yet in one component (node, component)."""
-    one = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def remaining_pairs(held: DataFrame, fits: Fits) -> DataFrame:
+def remaining_pairs(held: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): all pairs that share the keys they need and are not yet united.
 
-    ``held`` is (h, id, n, need, comp). Components, not members, meet under a key first,
-    and only different ones are expanded; so a large united group costs one row here.
+    ``held`` is (h, id, n, w, m, comp). Components, not members, meet under a key first,
+    by the bounds of their members, and only different ones are expanded; so a large
+    united group costs one row here.
     """
-    spots = held.select("h", "comp").distinct()
-    left, right = spots.withColumnRenamed("comp", "ca"), spots.withColumnRenamed("comp", "cb")
-    met = left.join(right, "h").filter(F.col("ca") < F.col("cb"))
+    bounds = [F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.col("w") - F.col("n")).alias("r0"), F.max("m").alias("m1")]
+    spots = held.groupBy("h", "comp").agg(*bounds)
 
-    def side(x: str) -> DataFrame:
-        return held.select("h", *[F.col(c).alias(f"{c[0]}{x}" if c != "need" else f"need{x}") for c in ("comp", "id", "n", "need")])
+    def of(table: DataFrame, x: str) -> DataFrame:
+        return table.select("h", *[F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "h"])
 
-    wide = met.join(side("a"), ["h", "ca"]).join(side("b"), ["h", "cb"]).filter(fits(F.col("na"), F.col("nb")))
-    pairs = wide.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("needa", "needb")).alias("need")
+    met = of(spots, "a").join(of(spots, "b"), "h").filter(F.col("comp_a") < F.col("comp_b"))
+    if rule.percent is not None:
+        low = F.least("r0_a", "r0_b") + F.ceil(rule.percent * (F.col("n0_a") + F.col("n0_b")) / F.lit(100.0 + rule.percent) - 1e-9)
+        sized = (100 * F.col("n1_a") >= rule.percent * F.col("n0_b")) & (100 * F.col("n1_b") >= rule.percent * F.col("n0_a"))
+        met = met.filter(sized & (F.least("m1_a", "m1_b") >= low))
+    met = met.select("h", "comp_a", "comp_b")
+    wide = met.join(of(held, "a"), ["h", "comp_a"]).join(of(held, "b"), ["h", "comp_b"])
+    need = rule.need(F.col("n_a"), F.col("w_a"), F.col("n_b"), F.col("w_b"))
+    wide = wide.filter(rule.sizes(F.col("n_a"), F.col("n_b")) & (F.least("m_a", "m_b") >= need))
+    pairs = wide.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(need).alias("need")
     )
     return pairs.filter(F.col("shared") >= F.col("need")).select("a", "b")

@@ -145,9 +145,9 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` says."""
     counted = mix_sources(docs, **parameters).filter("copies > 0").groupBy("digest").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("whole_row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("digest"))
     # rows alike in doc_id and text share out their decisions by number
     alike = Window.partitionBy("digest").orderBy(F.lit(0))
     met = rows.withColumn("nr", F.row_number().over(alike)).join(counted, "digest")
     times = F.coalesce(F.get("each", F.col("nr") - 1), F.lit(0))
-    return met.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
+    return met.filter(times > 0).select("whole_row", F.explode(F.sequence(F.lit(1), times))).select("whole_row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected_components
-from rankforge.llm.linking import apart, leader_pairs, remaining_pairs
+from rankforge.llm.linking import Rule, leader_pairs, remaining_pairs, with_shared
 from rankforge.llm.textops import list_array, shingle_hashes, text_runs, word_hashes
 from rankforge.session import write_scratch
 
@@ -114,7 +114,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common:
                 {
                     "set_id": batch.column("set_id").slice(first, end - first),
                     "n": pa.array([len(s) for s in sets], type=pa.int64()),
-                    "need": pa.array([_window(len(s), percent)[1] for s in sets], type=pa.int64()),
+                    "w": pa.array([len(h) for h in heads], type=pa.int64()),
                     "digest": pa.array([hashlib.md5(h.tobytes()).digest() for h in heads], type=pa.binary()),
                     "window": _lists(heads),
                     "tokens": _lists(sets),
@@ -122,11 +122,6 @@ def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common:
             )
 
 
-def _fits(percent: int, a: Column, b: Column) -> Column:
-    """Sizes that a linked pair can have."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-
-
 class _Join:
     """The state of one join: shingles of the remaining sets, and links found so far."""
 
@@ -178,30 +173,32 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     wanted = described.select("digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
     # alike rows of one (doc_id, text) fall to the one set they share
     fetched = texts.drop("doc_id").join(wanted, "digest").dropDuplicates(["digest"])
-    shape = "set_id bigint, n bigint, need bigint, digest binary, window array<bigint>, tokens array<bigint>"
+    shape = "set_id bigint, n bigint, w bigint, digest binary, window array<bigint>, tokens array<bigint>"
     how = partial(_fetch, width=width, percent=percent, common=common)
     tokens, _ = write_scratch(fetched.select("set_id", "text").mapInArrow(how, shape), "tokens")
 
     groups = tokens.groupBy("n", "digest").agg(F.min("set_id").alias("gid"))
-    sized = tokens.select("set_id", "n", "need", "digest")
+    sized = tokens.select("set_id", "n", "digest")
     members, _ = write_scratch(sized.join(groups, ["n", "digest"]).drop("digest"), "members")
-    heads = tokens.select("set_id", "n", "need", "window").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
-    post = heads.select(F.col("set_id").alias("gid"), "n", "need", F.explode("window").alias("h"))
-    busy = post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    post, _ = write_scratch(post.join(busy, "h", "left_semi"), "postings")
-
-    fits = partial(_fits, percent)
+    heads = tokens.select("set_id", "n", "w", "window").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
+    post = heads.select(F.col("set_id").alias("gid"), "n", "w", F.explode("window").alias("h"))
+    # keys of one group are as good as shared if it has several members
+    whole = members.groupBy("gid").agg(F.count("*").alias("size"))
+    busy = post.join(whole, "gid").groupBy("h").agg(F.sum("size").alias("c")).filter("c > 1").select("h")
+    post, _ = write_scratch(with_shared(post.join(busy, "h", "left_semi")), "postings")
+
+    rule = Rule(percent)
     join = _Join(tokens.select("set_id", "tokens"), percent)
     inner = members.filter("gid != set_id").select(F.col("gid").alias("a"), F.col("set_id").alias("b"))
-    join.verify(inner.union(leader_pairs(post, 0, fits)))
-    join.verify(apart(leader_pairs(post, 1, fits), join.components()))
+    join.verify(inner.union(leader_pairs(post, rule)))
     comp, _ = write_scratch(join.components().withColumnRenamed("node", "id"), "components")
-    own = members.withColumnRenamed("set_id", "id").join(comp, "id", "left")
-    own = own.withColumn("comp", F.coalesce("component", "id")).select("gid", "id", "n", "need", "comp")
-    across = post.select("h", "gid").join(own, "gid").select("h", "id", "n", "need", "comp")
+    own = members.select("gid", F.col("set_id").alias("id")).join(comp, "id", "left")
+    own = own.withColumn("comp", F.coalesce("component", "id")).select("gid", "id", "comp")
+    across = post.join(own, "gid").select("h", "id", "n", "w", "m", "comp")
     # members of one group share its whole window: they meet once, under the id of the group
-    within = own.select(F.col("gid").alias("h"), "id", "n", F.lit(1).cast("bigint").alias("need"), "comp")
-    join.verify(remaining_pairs(across, fits).union(remaining_pairs(within, fits)).distinct())
+    one = F.lit(1)
+    within = own.select(F.col("gid").alias("h"), "id", one.alias("n"), one.alias("w"), one.alias("m"), "comp")
+    join.verify(remaining_pairs(across, rule).union(remaining_pairs(within, Rule())).distinct())
     comp = join.components()
 
     owner = described.select("doc_id", "n", "key").join(sets, "key", "left")

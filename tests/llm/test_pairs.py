@@ -1,0 +1,221 @@
+"""N-gram join, line dedup, fingerprints and substring dedup against brute force."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rankforge.llm.components import connected_components
+from rankforge.llm.fingerprints import edited_fingerprints, near_duplicate_classes
+from rankforge.llm.line_dedup import dedup_lines
+from rankforge.llm.ngram_join import keep_representatives, ngram_jaccard_components
+from rankforge.llm.substring_dedup import _longest, compact_windows, repeated_passages
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+class Sets:
+    def __init__(self, nodes):
+        self.up = {n: n for n in nodes}
+
+    def find(self, x):
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def shingles(text, width, lower=True):
+    w = WORD.findall((text or "").translate(LOW) if lower else text or "")
+    return frozenset(tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def alike(sets, percent):
+    """Pairs of keys of ``sets`` of Jaccard similarity percent / 100 or more."""
+    holders = defaultdict(list)
+    for key, own in sets.items():
+        for s in own:
+            holders[s].append(key)
+    met = Counter(p for keys in holders.values() for p in combinations(sorted(keys), 2))
+    return [(a, b) for (a, b), n in met.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60)])
+def test_ngram_join(documents, texts, width, percent):
+    sets = {i: shingles(t, width) for i, t in texts.items()}
+    want = Sets(sets)
+    for a, b in alike(sets, percent):
+        want.join(a, b)
+    got = {r.doc_id: r for r in ngram_jaccard_components(documents, width, percent).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {i: want.find(i) for i in sets}
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+
+
+def test_ngram_join_chain_and_group(spark):
+    """A chain of links whose ends do not link, and a group of near copies."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i : i + 50])) for i in range(8)]
+    rows += [(100 + i, " ".join([f"v{j}" for j in range(80)] + [f"own{i}"])) for i in range(90)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    want = Sets(sets)
+    for a, b in alike(sets, 85):
+        want.join(a, b)
+    assert got == {i: want.find(i) for i in sets}
+    assert len({got[i] for i in range(8)}) == 1 and len({got[100 + i] for i in range(90)}) == 1
+
+
+def test_ngram_join_odd(odd, nothing):
+    got = sorted(map(tuple, ngram_jaccard_components(odd, 4, 85).collect()), key=str)
+    by = defaultdict(set)
+    for doc, n, comp in got:
+        by[doc].add((n, comp))
+    assert len(got) == 15
+    assert by[1] == by[2] == {(4, 1)} and (4, 1) in by[None] and (0, None) in by[None]
+    assert by[3] == {(0, 3)} and by[5] == {(0, 5)} and by[7] == {(19997, 7)} and by[8] == {(20000, 7)} and by[11] == {(1, 11)}
+    assert ngram_jaccard_components(nothing, 4, 85).count() == 0
+    kept = keep_representatives(odd, 4, 85)
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert kept.columns == odd.columns and ids[1] == 1 and ids[2] == 0 and ids[8] == 0 and ids[3] == 1 and ids[None] == 2
+    assert keep_representatives(nothing).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(50)]
+    want = Sets({x for p in links for x in p})
+    for a, b in links:
+        want.join(a, b)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*links, (None, 3)], "a bigint, b bigint")).collect()}
+    touched = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: want.find(x) for x in touched}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_line_dedup(documents, texts):
+    occurrences, sets = [], {}
+    for i, t in sorted(texts.items()):
+        for at, line in enumerate((t or "").split("\n")):
+            if re.search(r"[^ \t\n\x0b\x0c\r]", line):
+                occurrences.append((i, at, line))
+                sets[line] = frozenset(line[j : j + 8] for j in range(len(line) - 7)) if len(line) > 8 else frozenset([line])
+    same = Sets(sets)
+    for a, b in alike(sets, 80):
+        same.join(a, b)
+    seen, gone = set(), defaultdict(set)
+    for i, at, line in occurrences:
+        gone[i] |= {at} if same.find(line) in seen else set()
+        seen.add(same.find(line))
+    got = {r.doc_id: r for r in dedup_lines(documents).collect()}
+    assert {i: r.n_dropped for i, r in got.items()} == {i: len(gone[i]) for i in texts}
+    for i, t in texts.items():
+        assert got[i].text == "\n".join(x for at, x in enumerate((t or "").split("\n")) if at not in gone[i])
+
+
+def test_line_dedup_odd(odd, nothing):
+    out = dedup_lines(odd)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(r)
+    assert set(out.columns) == set(odd.columns) | {"n_dropped"}
+    assert [r.text for r in got[3]] == [None] and got[3][0].n_lines == 0
+    assert [r.text for r in got[1]] == ["one two three four five six seven"] * 2
+    assert got[2][0].n_dropped in (0, 1) and sorted(str(r.text) for r in got[None]) == ["", "None"]
+    assert got[5][0].text == " \n\t " and got[5][0].n_dropped == 0 and got[8][0].n_dropped == 1
+    assert {r.n_dropped for r in got[10]} == {0, 1}
+    assert dedup_lines(nothing).count() == 0
+
+
+def test_fingerprints(documents, texts):
+    got = {r.doc_id: r for r in edited_fingerprints(documents).collect()}
+    ids = sorted(texts)
+    for at, i in enumerate(ids):
+        t, following = texts[i] or "", texts[ids[(at + 1) % len(ids)]] or ""
+        cut = len(t) // 2
+        edited = t[: len(t) - cut] + following[:cut]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = shingles(t, 5, False), shingles(edited, 5, False)
+        if a and b:
+            assert abs(got[i].near_edited - len(a & b) / len(a | b)) < 0.3
+
+
+def test_fingerprint_classes(documents, texts):
+    sets = {i: shingles(t, 5, False) for i, t in texts.items()}
+    want = Sets(sets)
+    for a, b in alike(sets, 80):
+        want.join(a, b)
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(documents).collect()}
+    wrong = [i for i in sets if sets[i] and got[i] != want.find(i)]
+    assert not wrong
+
+
+def test_fingerprints_odd(odd, nothing):
+    rows = edited_fingerprints(odd).collect()
+    prints = defaultdict(set)
+    for r in rows:
+        prints[r.doc_id].add(r.fingerprint)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and len(r.fingerprint) == 256
+    assert len(rows) == 15 and prints[1] < prints[None] and prints[3] == prints[4] == prints[5]
+    assert edited_fingerprints(nothing).count() == 0 and near_duplicate_classes(nothing).count() == 0
+    classes = {r.doc_id: r.class_id for r in near_duplicate_classes(odd).collect()}
+    assert classes[8] == classes[7] == 7 and classes[11] == 11
+
+
+def test_passages(documents, texts):
+    places = defaultdict(set)
+    words = {i: WORD.findall((t or "").translate(LOW)) for i, t in texts.items()}
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            places[tuple(w[j : j + 50])].add((i, j))
+    repeated = {p for s in places.values() if len({i for i, _ in s}) > 1 for p in s}
+    got = {r.doc_id: r for r in repeated_passages(documents).collect()}
+    covered = {i: set().union(*[range(s, e) for s, e in r.passages]) for i, r in got.items()}
+    for i, j in repeated:
+        assert set(range(j, j + 50)) <= covered.get(i, set())
+    for i, r in got.items():
+        assert r.n_words >= 50 and r.partner != i
+        other = set(zip(*[words[r.partner][k:] for k in range(5)], strict=False))
+        own = set(zip(*[words[i][k:] for k in range(5)], strict=False))
+        assert len(own & other) >= 25
+
+
+def test_passages_odd(odd, nothing, spark):
+    got = {r.doc_id: r for r in repeated_passages(odd).collect()}
+    assert set(got) == {7, 8} and got[7].n_words == 20_000 and got[7].partner == 8
+    assert repeated_passages(nothing).count() == 0
+    same = "again " * 3000
+    rows = spark.createDataFrame([(1, same), (2, same), (3, "else " * 3000)], "doc_id bigint, text string")
+    assert {r.doc_id for r in repeated_passages(rows).collect()} == {1, 2}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=60), st.integers(1, 8))
+def test_windows_partition_the_subsequences(values, shortest):
+    hashed = np.array(values, dtype=np.uint64)
+    seen = Counter()
+    for a, c, b in compact_windows(hashed, shortest):
+        assert hashed[c] == hashed[a : b + 1].min()
+        for i in range(a, c + 1):
+            for j in range(c, b + 1):
+                seen[i, j] += j - i + 1 >= shortest
+    n = len(values)
+    assert all(seen[i, j] == 1 for i in range(n) for j in range(i + shortest - 1, n))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=40))
+def test_longest_run(agree):
+    gain = np.array(agree) - 8 / 9
+    start, end = _longest(gain)
+    n = len(agree)
+    best = max((j - i for i in range(n) for j in range(i + 1, n + 1) if 9 * sum(agree[i:j]) >= 8 * (j - i)), default=0)
+    assert end - start == best
