@@ -98,8 +98,8 @@ def parse_verdict_json(raw: Column) -> Column:
 
 
 def checkpoint_step(name: Column) -> Column:
-    """Step number of ``checkpoint-<n>``; NULL for any other name."""
-    return F.regexp_extract(name, r"^checkpoint-(\d+)", 1).try_cast("bigint")
+    """Step number of ``checkpoint-<n>``, alone or before a further ``-``; NULL for any other name."""
+    return F.regexp_extract(name, r"^checkpoint-(\d+)(?:-|$)", 1).try_cast("bigint")
 
 
 def expected_score(rating1: Column, rating2: Column) -> Column:

@@ -232,17 +232,19 @@ class _GroupReplay:
 def elo_replay(
     verdicts: DataFrame, items: DataFrame, settings: EloParams | list[EloParams] = EloParams(),
     by: list[str] = GROUP, seed: int = 42, group_verdicts: int = GROUP_VERDICTS,
-    ratings: bool = True, fits: bool = False, comparisons: bool = False,
+    ratings: bool = True, fits: bool = False, comparisons: bool = False, method: str = "sequence",
 ) -> EloRun:
     """Rate the items of every group by replaying its verdicts until a stop rule holds.
 
     Each round plays all verdicts (or those with that ``round`` value) one after the
-    other, in an order given by a keyed hash. Groups up to ``group_verdicts`` verdicts
-    run as one task each, for many parameter sets at once. Larger groups are never
-    gathered: they take the tournament form of :func:`_replay_large`, which plays the
-    same number of verdicts in sequence by blocks of items. Groups without verdicts
-    are skipped.
+    other. The order, and with it the ratings, depends on ``method`` and never on size.
+    ``sequence`` orders by a keyed hash and runs a group as one task, for many parameter
+    sets at once; a group above ``group_verdicts`` verdicts is an error. ``blocks`` plays
+    every group in the tournament form of :func:`_replay_large`, about ``group_verdicts``
+    at a time, and gathers none. Groups without verdicts are skipped.
     """
+    if method not in ("sequence", "blocks"):
+        raise ValueError(f"unknown method {method!r}")
     settings = settings if isinstance(settings, list) else [settings]
     if comparisons and len(settings) > 1:
         raise ValueError("a comparison history needs a single parameter set")
@@ -250,10 +252,12 @@ def elo_replay(
     sizes = games.groupBy(*by).agg(F.count("*").alias("_n"))
     n_groups, total, largest = sizes.agg(F.count("*"), F.sum("_n"), F.max("_n")).first()
     tables = []
-    n_large = (largest or 0) > group_verdicts
+    if method == "sequence" and (largest or 0) > group_verdicts:
+        raise ValueError(f"a group has {largest} verdicts, more than {group_verdicts}; use method='blocks'")
+    n_large = method == "blocks" and largest
     small_games, small_players = games, players
     if n_large:
-        large = measured(sizes.filter(F.col("_n") > group_verdicts))
+        large = measured(sizes)
         small_games = games.join(large, by, "left_anti")
         small_players = players.join(large, by, "left_anti")
     parts = math.ceil(len(settings) / SETTINGS_PER_TASK)

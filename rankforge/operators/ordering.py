@@ -51,7 +51,8 @@ def hash_cuts(
     The hash order is uniform whatever the keys look like, so counting rows per hash
     prefix finds the prefix in which a quota ends, and only the rows of that prefix
     (1 in 16**digits of the group) are ever sorted. The result has one struct column
-    per cut: a row belongs to the quota if its (hash, tie) is not above the cut.
+    per cut: a row belongs to the quota if its (hash, tie) is below the cut, and ``k`` of
+    the ``same`` rows that are at the cut do.
     """
     prefix = F.substring(hash_col, 1, digits)
     keyed = rows.select(*by, hash_col, tie, prefix.alias("_p"))
@@ -69,13 +70,16 @@ def hash_cuts(
         .agg(F.collect_list(F.struct("w.cut", (F.col("w.q") - F.col("_lo")).alias("rank"))).alias("_e"))
     )
     ranked = Window.partitionBy(*by, "_p").orderBy(hash_col, tie)
+    alike = Window.partitionBy(*by, "_p", hash_col, tie)
     ends = (
         keyed.join(edges, [*by, "_p"])
         .withColumn("_r", F.row_number().over(ranked))
-        .select(*by, hash_col, tie, "_r", F.inline("_e"))
+        .withColumn("k", F.col("_r") - F.rank().over(ranked) + 1)
+        .withColumn("same", F.count("*").over(alike))
+        .select(*by, hash_col, tie, "_r", "k", "same", F.inline("_e"))
         .filter(F.col("_r") == F.col("rank"))
     )
-    at = F.struct(F.col(hash_col).alias("h"), F.col(tie).alias("t"))
+    at = F.struct(F.col(hash_col).alias("h"), F.col(tie).alias("t"), "k", "same")
     return measured(
         ends.groupBy(*by).agg(*[F.max(F.when(F.col("cut") == c, at)).alias(c) for c in cuts])
     )
@@ -84,7 +88,9 @@ def hash_cuts(
 def within_cut(cut: str, hash_col: str = "_h", tie: str = "_tie") -> Column:
     """True if the row lies inside the quota that ``cut`` (from hash_cuts) closes."""
     h, t = F.col(f"{cut}.h"), F.col(f"{cut}.t")
-    inside = (F.col(hash_col) < h) | ((F.col(hash_col) == h) & (F.col(tie) <= t))
+    order = F.coalesce(F.col(tie) < t, F.lit(False))
+    at = F.col(tie).eqNullSafe(t) & (F.col("_nr") <= F.col(f"{cut}.k"))
+    inside = (F.col(hash_col) < h) | ((F.col(hash_col) == h) & (order | at))
     return F.coalesce(inside, F.lit(False))
 
 
@@ -94,5 +100,26 @@ def lowest_by_hash(
     """Keep, per group, the ``quota`` rows that come first in (hash, tie) order."""
     keyed = df.withColumn("_h", hash_expr).withColumn("_tie", tie_expr)
     ends = hash_cuts(keyed, by, quotas, [quota])
-    kept = keyed.join(ends, by).filter(within_cut(quota))
-    return kept.drop("_h", "_tie", quota)
+    placed = numbered_ties(keyed.join(ends, by), by, ends, [quota])
+    return placed.filter(within_cut(quota)).drop("_h", "_tie", "_nr", quota)
+
+
+def numbered_ties(placed: DataFrame, by: list[str], ends: DataFrame, cuts: list[str]) -> DataFrame:
+    """Add ``_nr``, the number of a row among those of its (hash, tie); 1 where nothing ties.
+
+    Only if some cut falls among tied rows are rows numbered, and only those at a cut;
+    their other columns order them, so that equal rows alone are interchangeable.
+    """
+    torn = F.lit(False)
+    for c in cuts:
+        torn = torn | F.coalesce(F.col(f"{c}.same") > F.col(f"{c}.k"), F.lit(False))
+    if not ends.filter(torn).limit(1).count():
+        return placed.withColumn("_nr", F.lit(1))
+    at = F.lit(False)
+    for c in cuts:
+        here = (F.col("_h") == F.col(f"{c}.h")) & F.col("_tie").eqNullSafe(F.col(f"{c}.t"))
+        at = at | F.coalesce(here, F.lit(False))
+    rest = [f.name for f in placed.schema if f.dataType.typeName() not in ("map", "variant")]
+    alike = Window.partitionBy(*by, "_h", "_tie").orderBy(*[c for c in rest if c not in by])
+    numbered = placed.filter(at).withColumn("_nr", F.row_number().over(alike))
+    return placed.filter(~at).withColumn("_nr", F.lit(1)).unionByName(numbered)

@@ -23,7 +23,9 @@ def generate_pairs(
     """Every unordered pair of rows that agree on all (non-NULL) keys, once.
 
     The side that is smaller in the orientation order is response1: ``hash`` orders by
-    the md5 of the id, a column or expression orders by that, with the id to break ties.
+    the md5 of the id, a column or expression orders by that; id, response and label
+    break ties. Rows equal in all of these are counted once and their pairs repeated, so
+    recurring and NULL ids (shown as the empty id) lose no pair.
 
     The exchange carries the digest of the keys instead of their texts, and its number
     of partitions follows the number of pairs to come, not the size of the input. A group above
@@ -44,13 +46,14 @@ def generate_pairs(
         F.coalesce("response", F.lit("")).alias("response"),
         F.col("label").cast("double").alias("label"),
     )
-    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))
-    total, largest = sizes.agg(
-        F.sum(F.col("_n").cast("double") * (F.col("_n") - 1) / 2), F.max("_n")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_c"))
+    sizes = rows.groupBy("_g").agg(F.sum("_c").alias("_n"), F.max("_c").alias("_most"))
+    total, largest, most = sizes.agg(
+        F.sum(F.col("_n").cast("double") * (F.col("_n") - 1) / 2), F.max("_n"), F.max("_most")
     ).first()
     parts = output_partitions(df.sparkSession, total or 0, PAIRS_PER_TASK)
     on = ["_g"]
-    right_cols = ["_g", "_ord", "id", "response", "label"]
+    right_cols = ["_g", "_ord", "id", "response", "label", "_c"]
     left, right = rows, rows.select(*right_cols)
     if (largest or 0) > hot_group_rows:
         hot = measured(
@@ -69,15 +72,28 @@ def generate_pairs(
         )
     a = left.select(
         *keys, *on, F.col("_ord").alias("_o1"), F.col("response").alias("response1"),
-        F.col("id").alias("response1_id"), F.col("label").alias("norm_response1"),
+        F.col("id").alias("response1_id"), F.col("label").alias("norm_response1"), F.col("_c").alias("_c1"),
     ).repartition(parts, *on)
     b = right.select(
         *on, F.col("_ord").alias("_o2"), F.col("response").alias("response2"),
-        F.col("id").alias("response2_id"), F.col("label").alias("norm_response2"),
+        F.col("id").alias("response2_id"), F.col("label").alias("norm_response2"), F.col("_c").alias("_c2"),
     ).repartition(parts, *on)
     matched = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    tied = (F.col("_o1") == F.col("_o2")) & (F.col("response1_id") < F.col("response2_id"))
-    pairs = a.alias("l").join(b.alias("r"), matched + [(F.col("_o1") < F.col("_o2")) | tied])
+    # the order decides at once where it can; else the structs, which order NULLs too
+    apart = F.coalesce(F.col("_o1") != F.col("_o2"), F.lit(False))
+    full = [
+        F.struct(f"_o{i}", f"response{i}_id", f"response{i}", f"norm_response{i}") for i in (1, 2)
+    ]
+    tied = ~apart & (full[0] < full[1])
+    first = F.coalesce(F.col("_o1") < F.col("_o2"), F.lit(False))
+    if (most or 0) > 1:
+        same = (full[0] == full[1]) & (F.col("_c1") > 1)
+        pairs = a.alias("l").join(b.alias("r"), matched + [first | tied | same])
+        own = (F.col("_c1") * (F.col("_c1") - 1) / 2).cast("bigint")
+        times = F.when(same, own).otherwise(F.col("_c1") * F.col("_c2"))
+        pairs = pairs.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    else:
+        pairs = a.alias("l").join(b.alias("r"), matched + [first | tied])
     return pairs.select(
         *keys, "response1", "response2", "response1_id", "response2_id", "norm_response1",
         "norm_response2",

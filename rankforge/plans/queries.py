@@ -581,9 +581,9 @@ def elo_rounds(spark, sf):
 
 @query
 def elo_large_groups(spark, sf):
-    """The form for groups beyond one task, forced by a low limit, two rounds."""
+    """The form for groups beyond one task, in meetings of a twentieth of the verdicts, two rounds."""
     n = T.events_verdicts(spark, sf).count()
-    run = _replay(spark, sf, settings=EloParams(max_rounds=2), group_verdicts=n // 20)
+    run = _replay(spark, sf, settings=EloParams(max_rounds=2), group_verdicts=max(1, n // 20), method="blocks")
     return run.rounds
 
 

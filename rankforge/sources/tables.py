@@ -57,7 +57,9 @@ def read_optional(spark: SparkSession, path: str, required: list[str] | None = N
         return None
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # a folder without files; anything else is a fault
+            raise
         return None
     if required and any(c not in df.columns for c in required):
         return None

@@ -104,10 +104,12 @@ def stream_ratings(
 
     def update(frame: DataFrame, batch: int) -> None:
         previous = f"{sink}/version={batch - 1}"
-        if batch and path_exists(spark, previous):
+        if batch == 0:
+            ratings = start_ratings(items, by, params.initial)
+        elif path_exists(spark, previous):
             ratings = spark.read.parquet(previous)
         else:
-            ratings = start_ratings(items, by, params.initial)
+            raise FileNotFoundError(f"batch {batch} needs the ratings in {previous}")
         after = sync_step(frame, ratings, by, F.lit(params.k_at(batch)))
         after.select(*by, "response_id", "norm_response", "elo").write.mode("overwrite").parquet(
             f"{sink}/version={batch}"

@@ -43,12 +43,12 @@ def plain_elo(games, k_of):
     return ratings
 
 
-@pytest.mark.parametrize("limit", [10**6, 30])
-def test_replay_equals_one_by_one_play(spark, limit):
+@pytest.mark.parametrize(("method", "limit"), [("sequence", 10**6), ("blocks", 30), ("blocks", 10**6)])
+def test_replay_equals_one_by_one_play(spark, method, limit):
     """Both forms: each verdict once per round, ratings as in sequential play."""
     verdicts, items = league(spark)
     p = EloParams(max_rounds=3)
-    run = elo_replay(verdicts, items, p, comparisons=True, group_verdicts=limit)
+    run = elo_replay(verdicts, items, p, comparisons=True, group_verdicts=limit, method=method)
     games = sorted(run.comparisons.collect(), key=lambda r: (r.item, r.round, r.pair_in_round))
     played = [(g.item, g.response1_id, g.response2_id, g.winner) for g in games if g.round == 2]
     assert sorted(played) == sorted((r.item, r.response1_id, r.response2_id, r.winner) for r in verdicts.collect())
@@ -190,3 +190,11 @@ def test_items_prefer_first_side(spark):
     )
     got = {r.response_id: (r.response, r.norm_response) for r in first_occurrence_items(pairs).collect()}
     assert got == {"1": ("one", 0.1), "2": ("TWO", 0.9), "3": ("x", 0.3)}
+
+
+def test_size_never_picks_the_order(spark):
+    verdicts, items = league(spark)
+    with pytest.raises(ValueError, match="blocks"):
+        elo_replay(verdicts, items, EloParams(max_rounds=1), group_verdicts=3)
+    with pytest.raises(ValueError, match="unknown method"):
+        elo_replay(verdicts, items, method="auto")

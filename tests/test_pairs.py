@@ -117,3 +117,22 @@ def test_phases(spark):
     ]
     with pytest.raises(ValueError):
         add_phases(df, "other")
+
+
+def test_recurring_and_null_ids_lose_no_pair(spark):
+    ids = ["a", "dupe_average", "dupe_average", None, None]
+    rows = [(i, "i", "t", "p", "same" if k > 2 else f"r{k}", 0.5) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(
+        rows, "ID string, item string, task string, prompt string, response string, label double"
+    )
+    assert P.generate_pairs(df).count() == 10
+    assert P.generate_pairs(df, orientation="label", hot_group_rows=2, block_rows=2).count() == 10
+    kept = P.sample_pairs(P.generate_pairs(df).withColumn("split", F.lit("train")), 5, (1.0, 0.0, 0.0))
+    assert kept.count() == 5
+
+
+def test_quota_is_exact_among_ties(spark):
+    df = spark.createDataFrame([("x", 1)] * 5 + [("y", 2)], "id string, v int").withColumn("g", F.lit(0))
+    for n in range(7):
+        quotas = spark.createDataFrame([(0, n)], "g int, q bigint")
+        assert lowest_by_hash(df, ["g"], quotas, "q", key_hash("id"), F.col("id")).count() == n

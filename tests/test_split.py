@@ -84,3 +84,21 @@ def test_schedules_and_level_filter(spark):
     assert [Q.level_filter(df, p).count() for p in (1, 2, 3)] == [1, 2, 4]
     with pytest.raises(ValueError):
         Q.level_filter(df, 4)
+
+
+def test_split_quotas_hold_for_recurring_ids(spark):
+    rows = [("dup", "i", "t", f"r{k}", k % 4 / 4) for k in range(40)]
+    df = spark.createDataFrame(rows, "ID string, item string, task string, response string, label double")
+    df = df.withColumn("prompt", F.lit("p"))
+    got = {r.split: r["count"] for r in R.split_responses(df, response_ratios=(0.6, 0.2)).groupBy("split").count().collect()}
+    assert got == {"train": 24, "val": 8, "test": 8}
+
+
+def test_a_recurring_id_keeps_its_own_text(spark):
+    rows = [("dup" if k % 2 else f"u{k}", "i", "t", "p", f"text {k}", k / 40) for k in range(40)]
+    df = spark.createDataFrame(
+        rows, "ID string, item string, task string, prompt string, response string, label double"
+    )
+    score = {r.response: r.label for r in df.collect()}
+    pairs = build_pair_dataset(df, response_ratios=(0.6, 0.2)).pairs.collect()
+    assert pairs and all(score[r.response1] == r.norm_response1 and score[r.response2] == r.norm_response2 for r in pairs)
