@@ -38,6 +38,7 @@ class EloParams:
 
 
 # The default hyper-parameter grids.
+GRID_2D = {"k_start": (4, 8, 16, 32, 64), "k_end": (1, 2, 4, 8, 16)}
 GRID_4D = {
     "k_start": (8, 16, 24, 32, 48, 64), "k_end": (1, 2, 4, 8),
     "decay_rounds": (10, 20, 30, 50), "patience": (5, 10, 20, 30),

@@ -24,7 +24,7 @@ from rankforge.operators.elo_replay import elo_replay
 from rankforge.operators.elo_rules import EloParams
 from rankforge.operators.elo_sync import elo_sync
 from rankforge.operators.ordering import row_index
-from rankforge.operators.sweep import best_setting, elo_sweep, optimizer_base
+from rankforge.operators.sweep import GRID_2D, best_setting, elo_sweep, optimizer_base
 from rankforge.plans import testbed as T
 from rankforge.plans.build import build_pair_dataset, rate_all
 from rankforge.session import scratch_path
@@ -606,15 +606,19 @@ def elo_summary(spark, sf):
 
 @query
 def elo_sweep_4d(spark, sf):
-    grid = {"k_start": (16, 32), "k_end": (2, 8), "decay_rounds": (10, 30), "patience": (5, 10)}
-    return elo_sweep(T.events_verdicts(spark, sf), T.events_items(spark, sf), grid)
+    """All 384 settings of the default grid."""
+    return elo_sweep(T.events_verdicts(spark, sf), T.events_items(spark, sf))
 
 
 @query
 def elo_sweep_2d(spark, sf):
-    grid = {"k_start": (16, 32, 64), "k_end": (2, 8)}
+    """The best of all 22 settings of the small grid.
+
+    The stop rules of this variant need not end a run of large constant K, so the query
+    sets a cap on rounds.
+    """
     swept = elo_sweep(
-        T.events_verdicts(spark, sf), T.events_items(spark, sf), grid,
+        T.events_verdicts(spark, sf), T.events_items(spark, sf), GRID_2D,
         optimizer_base().with_(max_rounds=200),
     )
     return best_setting(swept)
