@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,7 +41,8 @@ class PrefixCoder:
         reachable = [self.token[i] for i in self.parts]
         self.reachable = {b: ranks[b] for b in reachable}
         self.longest = max(map(len, reachable))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.sizes = {i: len(b) for i, b in self.token.items()}
+        self._fits: dict[int, bool] = {}
 
     def _last_merge(self, data: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``data``; None if merging never gets there."""
@@ -65,9 +67,6 @@ class PrefixCoder:
         a pair that met before is checked for a merge that would have come first. Of two
         merges of one rank the left one comes first.
         """
-        known = self._fits.get((left, right))
-        if known is not None:
-            return known
         a, b, before = left, right, len(self.token) + 1 << 1
         while True:
             met = self.ranks.get(self.token[a] + self.token[b])
@@ -83,22 +82,26 @@ class PrefixCoder:
                 before, b = b + 1, self.parts[b][0]
         if len(self._fits) > 2_000_000:
             self._fits.clear()
-        self._fits[left, right] = fits
+        self._fits[left << 32 | right] = fits
         return fits
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Last tokens of all prefixes of ``piece``, given those of its first bytes."""
-        get, compatible = self.reachable.get, self.compatible
+        get, known, longest = self.reachable.get, self._fits.get, self.longest
         for end in range(len(last) + 1, len(piece) + 1):
-            found = -1
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = get(piece[start:end])
-                if token is not None and (start == 0 or compatible(last[start - 1], token)):
-                    found = token
+                if token is None:
+                    continue
+                if start == 0:
                     break
-            if found < 0:
+                before = last[start - 1]
+                fits = known(before << 32 | token)
+                if fits or (fits is None and self.compatible(before, token)):
+                    break
+            else:
                 raise ValueError("the vocabulary lacks a byte of the text")
-            last.append(found)
+            last.append(token)
         return last
 
     def edit(self, piece: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -119,10 +122,11 @@ class PrefixCoder:
 
     def walk(self, last: list[int]) -> list[int]:
         """The ids of a piece from the last tokens of its prefixes."""
-        ids, at = [], len(last)
+        ids, at, sizes = [], len(last), self.sizes
         while at:
-            ids.append(last[at - 1])
-            at -= len(self.token[last[at - 1]])
+            token = last[at - 1]
+            ids.append(token)
+            at -= sizes[token]
         return ids[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -130,6 +134,10 @@ class PrefixCoder:
         return [whole] if whole is not None else self.walk(self.extend(piece, []))
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TextEncoder(dict):
     """Ids of whole texts as little-endian bytes; as a dict, of words already met."""
 
@@ -147,7 +155,7 @@ class TextEncoder(dict):
     def _piece(self, piece: str) -> bytes:
         ids = self._pieces.get(piece)
         if ids is None:
-            ids = np.array(self.coder.encode(piece.encode()), dtype="<u4").tobytes()
+            ids = _bytes_of(self.coder.encode(piece.encode()))
             if len(piece) < 64:
                 if len(self._pieces) > CACHE_WORDS:
                     self._pieces.clear()
@@ -155,7 +163,13 @@ class TextEncoder(dict):
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self._piece, self._find(word)))
+        # letters after at most one space are a piece, and so is a mark that follows them
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            ids = self._piece(word)
+        elif word[1:-1].isalpha() and word[-1] in ",.;:" and (word[0] == " " or word[0].isalpha()):
+            ids = self._piece(word[:-1]) + self._piece(word[-1])
+        else:
+            ids = b"".join(map(self._piece, self._find(word)))
         if len(word) < 64:
             if len(self) > CACHE_WORDS:
                 self.clear()
