@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,19 @@ TEXTS = ["task", "prompt", "response1", "response2"]
 
 def pass_table(
     scored: DataFrame, n_passes: int = 60, temperature: float = 0.7, seed: int = 42,
-    run_id: str = "run", timestamp_utc: str = "", split_name: str = "",
+    run_id: str | None = None, timestamp_utc: str | None = None, split_name: str = "",
     include_text: bool = False,
 ) -> DataFrame:
     """One greedy row (index 0, temperature 1) and ``n_passes`` drawn rows per pair.
 
     Needs the logits, the true ``winner`` and a ``source_row_index``. Both probability
     triples are computed once per pair, before the expansion; every draw uses a uniform
-    keyed by (pair, pass, seed).
+    keyed by (pair, pass, seed). Without them the UTC time of the call is the stamp, to
+    the second, and the run id is made of it.
     """
+    now = datetime.now(UTC).replace(microsecond=0)
+    timestamp_utc = now.isoformat() if timestamp_utc is None else timestamp_utc
+    run_id = f"run_{now:%Y%m%d_%H%M%S}" if run_id is None else run_id
     if temperature <= 0:
         raise ValueError("temperature must be above 0")
     require_columns(scored, ["source_row_index", "winner", *LOGITS])

@@ -463,7 +463,9 @@ def completeness(spark, sf):
 def _passes(spark, sf, n: int) -> DataFrame:
     key = F.concat_ws("_", "response1_id", "response2_id")
     scored = T.events_scored(spark, sf).withColumn("source_row_index", key)
-    return S.pass_table(scored, n, temperature=0.7, seed=SEED, split_name="all")
+    return S.pass_table(
+        scored, n, temperature=0.7, seed=SEED, run_id="run", timestamp_utc="", split_name="all"
+    )
 
 
 @query

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,29 @@ def test_checkpoint_summary_drops_incomplete(spark):
         (32000, 1.0, 0.0), (30000, 0.5, 1.0),
     ]
     assert K.best_checkpoint(K.checkpoint_summary(K.prediction_table(df))).first().steps == 32000
+
+
+def test_csv_columns_json_and_latest_by_time(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a", 0.5), ("2", "b", None)], "ID string, response string, label double")
+    IO.write_csv(df, str(tmp_path / "c"))
+    only = IO.read_csv(spark, str(tmp_path / "c"), CLEANED, columns=["label", "ID"])
+    assert only.columns == ["label", "ID"] and {tuple(r) for r in only.collect()} == {(0.5, "1"), (None, "2")}
+    IO.write_json(df.groupBy().count(), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first()["count"] == 2
+    folder = tmp_path / "several"
+    folder.mkdir()
+    for age, name in ((50, "b.parquet"), (10, "a.parquet"), (50, "c.parquet"), (1, "z.txt")):
+        (folder / name).write_bytes(b"x")
+        os.utime(folder / name, (1_700_000_000 - age, 1_700_000_000 - age))
+    assert IO.latest_file(spark, str(folder)).endswith("/a.parquet")
+    os.utime(folder / "a.parquet", (1_600_000_000, 1_600_000_000))
+    assert IO.latest_file(spark, str(folder)).endswith("/c.parquet")
+
+
+def test_an_unreadable_table_is_no_absent_table(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert IO.read_optional(spark, str(tmp_path / "empty")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        IO.read_optional(spark, str(tmp_path / "broken"))

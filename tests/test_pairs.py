@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.operators import pairs as P
-from rankforge.operators.difficulty import add_difficulty, add_phases
+from rankforge.operators.difficulty import add_difficulty, add_phases, curriculum_stats
 from rankforge.operators.ordering import lowest_by_hash, row_index
 from rankforge.operators.quantiles import exact_quantiles
 from rankforge.functions.hashing import key_hash
@@ -136,3 +136,11 @@ def test_quota_is_exact_among_ties(spark):
     for n in range(7):
         quotas = spark.createDataFrame([(0, n)], "g int, q bigint")
         assert lowest_by_hash(df, ["g"], quotas, "q", key_hash("id"), F.col("id")).count() == n
+
+
+def test_statistics_report(spark):
+    pairs = add_phases(add_difficulty(P.generate_pairs(responses(spark))))
+    out = curriculum_stats(pairs)
+    n = pairs.count()
+    assert out["total"].first().n == n and sum(r.n for r in out["difficulty"].collect()) == n
+    assert set(out) == {"total", "difficulty", "norm_diff", "phases"} and out["norm_diff"].count() == 1

@@ -127,3 +127,13 @@ def test_passes_shape_and_draw_frequencies(spark):
     assert row.not_finite == 400 and row.drifting == 400 * 10
     with pytest.raises(ValueError):
         S.pass_table(df, 1, temperature=0.0)
+
+
+def test_pass_table_stamps_its_run(spark):
+    df = spark.range(1).select(
+        F.col("id").alias("source_row_index"), F.lit("x").alias("response1_id"), F.lit("y").alias("response2_id"),
+        F.lit("A").alias("winner"), *[F.lit(0.0).alias(f"logit_{c}") for c in ("A", "B", "Equal")],
+    )
+    row = S.pass_table(df, 1).first()
+    assert row.run_id.startswith("run_20") and row.timestamp_utc.endswith("+00:00")
+    assert S.pass_table(df, 1, run_id="x", timestamp_utc="t").select("run_id", "timestamp_utc").first() == ("x", "t")
