@@ -217,7 +217,7 @@ def test_chat_odd(spark):
         for r in made.select("conv_id", "n_blocks", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     }
     assert [(t.role, t.text) for t in read[1].t] == [(r[2], r[3] or "") for r in rows[:12]]
-    assert read[1].loss == "".join(r[3] or "" for r in rows[:12] if r[2] == "assistant") and read[1].n_blocks == 6
+    assert read[1].loss == "".join(r[3] or "" for r in rows[:12] if r[2] == "assistant") and read[1].n_blocks == 5
     assert [(t.role, t.text) for t in read[2].t] == [("", "first"), ("odd\nrole<|", "second"), ("odd\nrole<|", "second")]
     assert read[None].t[0].text == "q"
     assert format_conversations(turns.limit(0)).count() == 0
