@@ -192,7 +192,8 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     one = F.lit(1)
     post = signed.dropDuplicates(["digest"]).select(F.col("digest").alias("gid"), one.alias("n"), one.alias("w"), F.explode("keys").alias("h"))
     busy = post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    post, _ = write_scratch(with_shared(post.join(busy, "h", "left_semi")), "bands")
+    post, _ = write_scratch(post.join(busy, "h", "left_semi"), "bands")
+    post = with_shared(post)
     wanted = post.select(F.col("gid").alias("digest")).distinct()
     held = texts.join(wanted, "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"])
     tokens, _ = write_scratch(held.mapInArrow(_shingles, "digest bigint, tokens array<bigint>"), "tokens")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,7 +38,7 @@ class Rule:
 
 def with_shared(post: DataFrame) -> DataFrame:
     """``post`` and ``m``: how many keys of the element a second element carries."""
-    return post.withColumn("m", F.count("*").over(Window.partitionBy("gid")))
+    return post.join(post.groupBy("gid").agg(F.count("*").alias("m")), "gid")
 
 
 def leader_pairs(post: DataFrame, rule: Rule) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rankforge.llm.components import connected_components
 from rankforge.llm.linking import Rule, leader_pairs, remaining_pairs, with_shared
 from rankforge.llm.textops import list_array, shingle_hashes, text_runs, word_hashes
-from rankforge.session import write_scratch
+from rankforge.session import drop_scratch, write_scratch
 
 #: Shingles of more documents than this are ordered by how many they have (speed only).
 COMMON_DOCUMENTS = 4
@@ -155,6 +155,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     documents; a null doc_id is kept and never is a component_id unless alone. Other
     columns are ignored.
     """
+    spark = docs.sparkSession
     place = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))
     texts = docs.select("doc_id", "text", F.md5(place).alias("digest"))
     shape = (
@@ -162,14 +163,18 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
         "n bigint, need bigint, key binary, window array<bigint>"
     )
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    described, _ = write_scratch(numbered.mapInArrow(partial(_describe, width=width, percent=percent), shape), "described")
+    described, wide_path = write_scratch(numbered.mapInArrow(partial(_describe, width=width, percent=percent), shape), "described")
     sets, _ = write_scratch(described.filter("n > 0").groupBy("key").agg(F.min("row").alias("set_id")), "sets")
     post = described.select("row", "need", F.explode("window").alias("h"))
-    several, _ = write_scratch(post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "several")
+    several, several_path = write_scratch(post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "several")
     common = common_shingles(several)
 
     met = post.join(several.select("h"), "h", "left_semi").groupBy("row", "need").agg(F.count("*").alias("c"))
     hopeful = met.filter("c >= need").select(F.col("row").alias("set_id")).join(sets, "set_id", "left_semi")
+    hopeful, _ = write_scratch(hopeful, "hopeful")
+    described, _ = write_scratch(described.drop("window"), "owners")
+    for path in (wide_path, several_path):  # nothing below reads the windows
+        drop_scratch(spark, path)
     wanted = described.select("digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
     # alike rows of one (doc_id, text) fall to the one set they share
     fetched = texts.drop("doc_id").join(wanted, "digest").dropDuplicates(["digest"])
@@ -182,10 +187,12 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     members, _ = write_scratch(sized.join(groups, ["n", "digest"]).drop("digest"), "members")
     heads = tokens.select("set_id", "n", "w", "window").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
     post = heads.select(F.col("set_id").alias("gid"), "n", "w", F.explode("window").alias("h"))
-    # keys of one group are as good as shared if it has several members
-    whole = members.groupBy("gid").agg(F.count("*").alias("size"))
-    busy = post.join(whole, "gid").groupBy("h").agg(F.sum("size").alias("c")).filter("c > 1").select("h")
-    post, _ = write_scratch(with_shared(post.join(busy, "h", "left_semi")), "postings")
+    # counted over all members: the keys of a group of several are shared too
+    held = tokens.select(F.explode("window").alias("h"))
+    busy = held.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    post, path = write_scratch(post.join(busy, "h", "left_semi"), "postings")
+    post, _ = write_scratch(with_shared(post), "shared-postings")
+    drop_scratch(spark, path)
 
     rule = Rule(percent)
     join = _Join(tokens.select("set_id", "tokens"), percent)
