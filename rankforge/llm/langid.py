@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.textops import mix64
+from rankforge.session import measured
 
 UNDETERMINED = "und"
-DIMENSIONS = 4096  # per n-gram order, hashed
+DIMENSIONS = 1024  # per n-gram order, hashed
 #: The training sample: expected documents of each language, and documents in all at most.
-PER_LANGUAGE, IN_ALL = 1000, 12_000
+PER_LANGUAGE, IN_ALL = 500, 4_000
 _RUN = 400_000  # code points worked on at once
 
 #: Family of a language by its ISO 639-1 code; any other is a family of its own.
@@ -139,11 +140,11 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = I
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("digest"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = measured(rows.groupBy("lang").agg(F.count("*").alias("n")))  # so that no text is shuffled
     chance = F.shiftrightunsigned("digest", 11) / F.lit(float(1 << 53))
     drawn = rows.join(counts, "lang").filter(chance * F.col("n") < per_language).select("text", "lang", "digest")
-    made = drawn.orderBy("digest", "lang").limit(in_all).mapInArrow(_sample_features, "lang string, digest bigint, x binary")
-    got = made.filter(F.col("x").isNotNull()).toArrow()
+    made = drawn.mapInArrow(_sample_features, "lang string, digest bigint, x binary").filter(F.col("x").isNotNull())
+    got = made.orderBy("digest", "lang").limit(in_all).toArrow()
     if not len(got):
         return None
     langs = np.array(got.column("lang").to_pylist())
