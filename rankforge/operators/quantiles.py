@@ -11,6 +11,9 @@ from rankforge.session import measured
 DIRECT_ROWS = 500_000
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
+#: Slices of a bracket; each is ranked on its own.
+_SLICES = 256
+
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float] | None = None,
@@ -76,15 +79,28 @@ def exact_quantiles(
     end_below = F.greatest(
         F.lit(float("-inf")), *[F.when(F.col(f"_hi{i}") < v, F.col(f"_hi{i}")) for i in range(width)]
     )
+    # slices cut the brackets in value order, so that no window holds all of their values
+    part = F.lit(-1)
+    for i in reversed(range(width)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        within = F.coalesce(F.floor((v - lo) / F.when(hi > lo, hi - lo) * _SLICES), F.lit(0))
+        above = F.when(~inside & (end_below == hi), i * (_SLICES + 2) + _SLICES + 1)
+        own = F.when(inside & v.between(lo, hi), i * (_SLICES + 2) + within)
+        part = F.coalesce(own, above, part)
     entries = (
         framed.select(
-            *keys, "_n", inside.alias("_in"), F.when(inside, v).otherwise(end_below).alias("_at")
+            *keys, "_n", inside.alias("_in"), F.when(inside, v).otherwise(end_below).alias("_at"),
+            part.cast("int").alias("_s"),
         )
-        .groupBy(*keys, "_at", "_in")
+        .groupBy(*keys, "_s", "_at", "_in")
         .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     )
-    running = Window.partitionBy(*keys).orderBy("_at", F.desc("_in"))
-    ranked = entries.withColumn("_to", F.sum("_c").over(running)).withColumn(
+    earlier = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = entries.groupBy(*keys, "_s").agg(F.sum("_c").alias("_c"))
+    offsets = slices.select(*keys, "_s", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    running = Window.partitionBy(*keys, "_s").orderBy("_at", F.desc("_in"))
+    ranked = entries.join(offsets, [*keys, "_s"])
+    ranked = ranked.withColumn("_to", F.col("_before") + F.sum("_c").over(running)).withColumn(
         "_from", F.col("_to") - F.col("_c")
     )
 
@@ -99,6 +115,10 @@ def exact_quantiles(
         picks[f"_high_{name}"] = at_rank(F.ceil(rank))
         picks[f"_d_{name}"] = F.max(rank - F.floor(rank))
     picked = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in picks.items()])
+    missed = F.raise_error(F.lit("a wanted rank lies outside its bracket"))
+    for n in names:
+        for end in (f"_low_{n}", f"_high_{n}"):
+            picked = picked.withColumn(end, F.coalesce(F.col(end), missed.cast("double")))
     out = picked.select(
         *keys,
         *[
