@@ -18,12 +18,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from rankforge.llm.textops import text_runs
 
 #: Entries of a worker's cache of encoded words; it is emptied when full (speed only).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Entries of its cache of token pairs, likewise.
+CACHE_PAIRS = 400_000
 
 
 class PrefixCoder:
@@ -80,7 +83,7 @@ class PrefixCoder:
                 before, a = a, self.parts[a][1]
             else:
                 before, b = b + 1, self.parts[b][0]
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > CACHE_PAIRS:
             self._fits.clear()
         self._fits[left << 32 | right] = fits
         return fits
@@ -220,8 +223,7 @@ def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> I
     for batch in batches:
         names = batch.schema.names
         at = 0
-        column_ids = batch.column(column)
-        lengths = [len(x) if x is not None else 0 for x in column_ids.to_pylist()]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         while at < len(lengths):
             end, held = at + 1, lengths[at]
             while end < len(lengths) and held + lengths[end] < 1 << 20:
