@@ -6,8 +6,8 @@ word shingles. The plan, without a step that emits all pairs of a group:
 1. Documents with the same set become one set (key: md5 of the sorted shingle hashes).
 2. Two linked sets share at least ``need`` shingles within windows of both: the prefix
    (all but the required overlap, and one) and half as many more, in any one order of
-   shingles. A set whose window by hash holds fewer shingles of a second document than
-   that cannot have a partner; the rest, usually few, fetch their shingles.
+   shingles. A set whose window by hash holds fewer shingles of other documents than a
+   partner of any size needs cannot have one; the rest, usually few, fetch their shingles.
 3. Among these, windows are taken anew with rare shingles first, so that common passages
    do not make candidates. Any order is exact, so the ranked shingles may be bounded.
 4. Sets of the same window and size form a group. Members of a group are verified
@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from rankforge.session import drop_scratch, write_scratch
 COMMON_DOCUMENTS = 4
 #: At most so many shingles, the most frequent, are: 9 bytes each in every task (speed only).
 COMMON_SHINGLES = 1_000_000
+#: Partners of at most this size are gone through one by one for the least they share.
+ALL_SIZES = 5_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -47,10 +49,25 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]
     return [np.unique(s) for s in np.split(shingles, np.cumsum(sizes)[:-1])]
 
 
+@lru_cache(maxsize=100_000)
 def _window(n: int, percent: int) -> tuple[int, int]:
-    """(length of the window, shingles that a partner must share within it) of a set of n."""
-    prefix = n - -(-percent * n // 100) + 1 if n else 0
-    return prefix * 3 // 2, prefix * 3 // 2 - prefix + 1
+    """(length of the window of a set of n, shingles that any partner shares within it at least).
+
+    The second is the least ``Rule.need`` over the sizes of partners. Without rounding it
+    is concave in the size, thus least at an end; rounding moves it by less than 3, which
+    large sets give away instead of going through every size.
+    """
+    if not n:
+        return 0, 1
+    least, most = -(-percent * n // 100), 100 * n // percent
+    sizes, slack = (np.arange(least, most + 1), 0) if most <= ALL_SIZES else (np.array([least, most]), 3)
+
+    def width(m):
+        return (m - -(-percent * m // 100) + 1) * 3 // 2
+
+    overlap = -(-percent * (n + sizes) // (100 + percent))
+    need = np.minimum(width(n) - n, width(sizes) - sizes) + overlap
+    return width(n), max(1, int(need.min()) - slack)
 
 
 @dataclass

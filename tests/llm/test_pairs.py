@@ -60,6 +60,26 @@ def test_ngram_join(documents, texts, width, percent):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join_of_one_word_more_or_less(spark, width, percent):
+    """Sets of 1 to 40 shingles, each with a near copy that has one word more or less at an end."""
+    rows = []
+    for size in range(1, 41):
+        words = [f"s{size}w{i}" for i in range(size + width - 1)]
+        for trial in range(3):
+            own = [f"t{trial}{w}" for w in words]
+            rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([own, [*own, "more"]])]
+            own = [f"d{w}" for w in own]
+            rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([own, own[1:]])]
+    sets = {i: shingles(t, width) for i, t in rows}
+    want = Sets(sets)
+    for a, b in alike(sets, percent):
+        want.join(a, b)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_components(docs, width, percent).collect()}
+    assert got == {i: want.find(i) for i in sets}
+
+
 def test_ngram_join_chain_and_group(spark):
     """A chain of links whose ends do not link, and a group of near copies."""
     words = [f"w{i}" for i in range(60)]
