@@ -208,6 +208,18 @@ def test_passages(documents, texts):
         assert len(own & other) >= 25
 
 
+def test_near_passages_are_candidates(spark):
+    """A 50-word passage with one word changed in the middle, between just two documents each."""
+    rows, trials = [], 600
+    for t in range(trials):
+        core = [f"n{t}c{i}" for i in range(50)]
+        for side, word in enumerate(("one", "two")):
+            around = [[f"n{t}s{side}{end}{i}" for i in range(60)] for end in "ab"]
+            rows.append((2 * t + side, " ".join(around[0] + core[:25] + [word] + core[26:] + around[1])))
+    got = {r.doc_id // 2 for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got) >= 0.98 * trials
+
+
 def test_passages_odd(odd, nothing, spark):
     got = {r.doc_id: r for r in repeated_passages(odd).collect()}
     assert set(got) == {7, 8} and got[7].n_words == 20_000 and got[7].partner == 8
