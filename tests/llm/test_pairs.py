@@ -220,6 +220,22 @@ def test_near_passages_are_candidates(spark):
     assert len(got) >= 0.98 * trials
 
 
+def test_passages_around_a_differing_stretch(spark):
+    """Two exact passages on one shift, 40 to 120 words apart, are both found."""
+    rows = []
+    for t in range(200):
+        parts = [[f"f{t}p{p}w{i}" for i in range(50)] for p in range(2)]
+        for side in range(2):
+            gap = [f"f{t}s{side}g{i}" for i in range(40 + t % 81)]
+            rows.append((2 * t + side, " ".join(parts[0] + gap + parts[1])))
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        n = len(text.split())
+        spans = got[i].passages  # a ninth of a passage may differ, so that it can reach into the stretch
+        assert [(p.start, p.end) for p in (spans[0], spans[-1])] == [(0, spans[0].end), (spans[-1].start, n)]
+        assert len(spans) == 2 and spans[0].end >= 50 and spans[1].start <= n - 50 and got[i].n_words <= 120
+
+
 def test_passages_odd(odd, nothing, spark):
     got = {r.doc_id: r for r in repeated_passages(odd).collect()}
     assert set(got) == {7, 8} and got[7].n_words == 20_000 and got[7].partner == 8
