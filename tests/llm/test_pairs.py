@@ -236,6 +236,28 @@ def test_passages_around_a_differing_stretch(spark):
         assert len(spans) == 2 and spans[0].end >= 50 and spans[1].start <= n - 50 and got[i].n_words <= 120
 
 
+def test_passages_that_a_third_document_holds_in_part(spark):
+    """X and Y share what a third one has 47 words of, or X and Y are one word apart and the third one has other edits."""
+    rows, trials = [], 120
+
+    def add(i, t, name, core):
+        around = [[f"{t}{name}{end}{k}" for k in range(40)] for end in "ab"]
+        rows.append((i, " ".join(around[0] + core + around[1])))
+
+    for t in range(trials):
+        core = [f"e{t}c{i}" for i in range(50)]
+        for k, own in enumerate((core, core, core[:47])):
+            add(10 * t + k, f"e{t}", f"s{k}", own)
+        core = [f"v{t}c{i}" for i in range(50)]
+        for k, edits in enumerate(((), (24,), (10, 35))):
+            own = [f"edit{t}{k}{i}" if i in edits else w for i, w in enumerate(core)]
+            add(10 * t + 5 + k, f"v{t}", f"s{k}", own)
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    spans = [got[10 * t + k].passages[0] for t in range(trials) for k in (0, 1)]
+    assert all(p.start <= 40 and p.end >= 90 for p in spans)
+    assert sum(10 * t + 5 in got and 10 * t + 6 in got for t in range(trials)) >= 0.95 * trials
+
+
 def test_passages_odd(odd, nothing, spark):
     got = {r.doc_id: r for r in repeated_passages(odd).collect()}
     assert set(got) == {7, 8} and got[7].n_words == 20_000 and got[7].partner == 8
