@@ -1,10 +1,10 @@
 """License scans by a positional rare-token index, in DataFrame expressions only.
 
-Licence templates are indexed by word and position. A file looks up its licence words of
-highest inverse document frequency (counted over all files); each hit proposes that a
-template begins at file position minus template position. Hits that agree on the place
-are intersected, and a place stands if the template's mandatory key phrase is there, word
-for word. Only words of the templates leave a file, never its other words.
+The mandatory key phrases of licence templates are indexed by word and position. For every
+template whose key words it holds, a file looks up those of highest inverse document
+frequency (counted over all files); each hit proposes that the template begins at file
+position minus template position. Hits that agree on the place are intersected, and a
+place stands if the key phrase is there, word for word, so that no place is lost. Only words of the templates leave a file, never its other words.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
-#: A file looks up so many different template words, the rarest it has (ties: by the word).
-RARE_WORDS = 12
+#: A file looks up so many different key words of each template, the rarest (ties: by the word).
+RARE_WORDS = 3
 
 
 def _spots(words: Column, phrase: str) -> Column:
@@ -65,6 +65,10 @@ def _words_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _begin(words: list[str], wanted: list[str]) -> int:
+    return next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted)
+
+
 def _first_look(docs: DataFrame) -> DataFrame:
     """Per row: base places and labels, the template words it holds, and, if all words of
     some key phrase are among them, its words."""
@@ -94,17 +98,18 @@ def _matches(seen: DataFrame) -> DataFrame:
     counts = seen.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     # one row per template word at most, whatever the corpus
     idf = {r["word"]: math.log((1 + files) / (1 + r["df"])) for r in counts.collect()}
-    postings = [
-        (w, t, at, float(idf[w])) for t, (_, text, _) in enumerate(TEMPLATES) for at, w in enumerate(text.split()) if w in idf
-    ]
-    index = spark.createDataFrame(postings, "word string, template int, offset int, idf double")
-    rarity = spark.createDataFrame(list(idf.items()), "word string, idf double")
+    postings = []
+    for t, (_, text, key) in enumerate(TEMPLATES):
+        begin, needed = _begin(text.split(), key.split()), len(set(key.split()))
+        postings += [(w, t, begin + k, float(idf[w]), needed) for k, w in enumerate(key.split()) if w in idf]
+    index = spark.createDataFrame(postings, "word string, template int, offset int, idf double, needed int")
 
     hopeful = seen.filter(F.col("words").isNotNull())
-    order = Window.partitionBy("row").orderBy(F.desc("idf"), "word")
-    looked = hopeful.select("row", F.explode("held").alias("word")).join(rarity, "word")
-    looked = looked.withColumn("nr", F.row_number().over(order)).filter(F.col("nr") <= RARE_WORDS)
-    asked = looked.select("row", "word").join(index, "word")
+    of = Window.partitionBy("row", "template")
+    looked = hopeful.select("row", F.explode("held").alias("word")).join(index.drop("offset").distinct(), "word")
+    looked = looked.withColumns({"held": F.count("*").over(of), "nr": F.row_number().over(of.orderBy(F.desc("idf"), "word"))})
+    looked = looked.filter((F.col("held") == F.col("needed")) & (F.col("nr") <= RARE_WORDS))
+    asked = looked.select("row", "template", "word").join(index, ["template", "word"])
     full = asked.select("row", "template", "word", "idf").distinct().groupBy("row", "template").agg(F.sum("idf").alias("full"))
     hits = hopeful.select("row", F.posexplode("words").alias("pos", "word")).join(asked, ["row", "word"])
     hits = hits.withColumn("at", F.col("pos") - F.col("offset"))
@@ -114,8 +119,7 @@ def _matches(seen: DataFrame) -> DataFrame:
     facts = []
     for t, (label, text, key) in enumerate(TEMPLATES):
         words, wanted = text.split(), key.split()
-        begin = next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted)
-        facts.append((t, label, words, wanted, begin))
+        facts.append((t, label, words, wanted, _begin(words, wanted)))
     facts = spark.createDataFrame(facts, "template int, label string, body array<string>, key array<string>, begin int")
     met = agreed.join(facts, "template").join(hopeful.select("row", "words"), "row")
     key = F.transform("key", lambda w, k: F.coalesce(F.get("words", F.col("at") + F.col("begin") + k) == w, F.lit(False)))
@@ -130,8 +134,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
     matches (array of label, at, share). A-Z is lower-cased; words are runs of other than
     ASCII non-alphanumerics. Base places are all places of ``BASE_PHRASES``. A template
-    matches at a place that half of its looked-up words, by weight, agree on and where its
-    key phrase stands; ``share`` is the part of the template's words found in place. score
+    matches at every place where its key phrase stands; ``share`` is the part of the template's words found in place. score
     is the highest share, at least 0.5 with a base label, else 0. A null or empty text has
     no words and no labels. Rows that repeat a doc_id are scanned on their own.
     """

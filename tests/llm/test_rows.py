@@ -15,7 +15,7 @@ from rankforge.llm import queries
 from rankforge.llm.bpe import TextEncoder, decode_documents, encode_documents, read_ranks
 from rankforge.llm.chat import format_conversations, read_loss, read_turns
 from rankforge.llm.langid import classify, predict, train
-from rankforge.llm.licenses import BASE_PHRASES, scan_licenses
+from rankforge.llm.licenses import BASE_PHRASES, TEMPLATES, scan_licenses
 from rankforge.llm.mixing import mix_sources, mixed_documents, source_targets
 from rankforge.llm.quality import estimate, quality
 
@@ -172,6 +172,22 @@ def test_licenses_odd(odd, nothing, spark):
     assert (r.n_base, r.first_word, r.base_labels) == (5, 0, "cc-by,gpl,reserved") and "mit" in r.labels and r.score == 1.0
 
 
+def test_licenses_of_a_notices_file(spark):
+    """A file with every template, in any order and beside other words, has a full match of each."""
+    rows = [(0, " filler ".join(text for _, text, _ in TEMPLATES)), (1, " and the ".join(text for _, text, _ in reversed(TEMPLATES)))]
+    rows += [(2 + t, text) for t, (_, text, _) in enumerate(TEMPLATES)]
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        words, want = dict(rows)[r.doc_id].split(), set()
+        for label, text, key in TEMPLATES:
+            body, wanted = text.split(), key.split()
+            ahead = next(i for i in range(len(body)) if body[i : i + len(wanted)] == wanted)
+            for at in range(len(words)):
+                if words[at : at + len(wanted)] == wanted:
+                    same = sum(0 <= at - ahead + k < len(words) and words[at - ahead + k] == w for k, w in enumerate(body))
+                    want.add((label, at - ahead, same / len(body)))
+        assert {tuple(m) for m in r.matches} == want and r.score == 1.0
+
+
 def test_langid_query(spark, sf):
     got = queries.op7_langid(spark, sf).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
