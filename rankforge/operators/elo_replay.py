@@ -249,6 +249,11 @@ def elo_replay(
     if comparisons and len(settings) > 1:
         raise ValueError("a comparison history needs a single parameter set")
     games, players = _prepare(verdicts, items, by, seed)
+    if method == "blocks":
+        # verdicts naming an unknown item are dropped, as inside a task of the other method
+        for side in ("a", "b"):
+            games = games.join(players.select(*by, F.col("response_id").alias(side)), [*by, side], "left_semi")
+        games = cut_lineage(games)
     sizes = games.groupBy(*by).agg(F.count("*").alias("_n"))
     n_groups, total, largest = sizes.agg(F.count("*"), F.sum("_n"), F.max("_n")).first()
     tables = []
@@ -437,10 +442,6 @@ def _replay_large(
             "_step": _meeting_step(F.col("_x"), F.col("_y"), F.col("_nb")),
         }
     ).drop("_x", "_y", "_nb")
-    # verdicts naming an unknown item are dropped, as in the small groups
-    for side in ("a", "b"):
-        known = players.select(*by, F.col("response_id").alias(side))
-        tagged = tagged.join(known, [*by, side], "left_semi")
     path = scratch_path(spark, "replay-games")
     tagged.write.partitionBy("_step").parquet(path)
     stored = spark.read.parquet(path)

@@ -567,8 +567,12 @@ def top_bottom(spark, sf):
     return longs(out, "place")
 
 
+#: The queries play one order for every size, and no task holds a group.
+BLOCKS = {"method": "blocks", "group_verdicts": 2_000_000}
+
+
 def _replay(spark, sf, **options):
-    return elo_replay(T.events_verdicts(spark, sf), T.events_items(spark, sf), **options)
+    return elo_replay(T.events_verdicts(spark, sf), T.events_items(spark, sf), **(BLOCKS | options))
 
 
 @query
@@ -585,7 +589,7 @@ def elo_rounds(spark, sf):
 def elo_large_groups(spark, sf):
     """The form for groups beyond one task, in meetings of a twentieth of the verdicts, two rounds."""
     n = T.events_verdicts(spark, sf).count()
-    run = _replay(spark, sf, settings=EloParams(max_rounds=2), group_verdicts=max(1, n // 20), method="blocks")
+    run = _replay(spark, sf, settings=EloParams(max_rounds=2), group_verdicts=max(1, n // 20))
     return run.rounds
 
 
@@ -602,14 +606,14 @@ def elo_comparisons(spark, sf):
 def elo_summary(spark, sf):
     pairs = T.events_pairs(spark, sf)
     verdicts = M.verdict_table(pairs, T.event_logits, native=True)
-    _, summary = rate_all({"events": pairs, "absent": None}, {"events": verdicts})
+    _, summary = rate_all({"events": pairs, "absent": None}, {"events": verdicts}, **BLOCKS)
     return summary
 
 
 @query
 def elo_sweep_4d(spark, sf):
     """All 384 settings of the default grid."""
-    return elo_sweep(T.events_verdicts(spark, sf), T.events_items(spark, sf))
+    return elo_sweep(T.events_verdicts(spark, sf), T.events_items(spark, sf), **BLOCKS)
 
 
 @query
@@ -621,7 +625,7 @@ def elo_sweep_2d(spark, sf):
     """
     swept = elo_sweep(
         T.events_verdicts(spark, sf), T.events_items(spark, sf), GRID_2D,
-        optimizer_base().with_(max_rounds=200),
+        optimizer_base().with_(max_rounds=200), **BLOCKS,
     )
     return best_setting(swept)
 

@@ -198,3 +198,31 @@ def test_size_never_picks_the_order(spark):
         elo_replay(verdicts, items, EloParams(max_rounds=1), group_verdicts=3)
     with pytest.raises(ValueError, match="unknown method"):
         elo_replay(verdicts, items, method="auto")
+
+
+def test_queries_play_in_blocks(spark, sf, monkeypatch):
+    """No registered query gathers a group, so none fails by its size."""
+    from rankforge.operators import sweep
+    from rankforge.plans import build, queries
+
+    class Called(Exception):
+        pass
+
+    def called(verdicts, items, settings=None, by=None, seed=None, group_verdicts=None, method="sequence", **options):
+        raise Called(method, group_verdicts)
+
+    for module in (queries, sweep, build):
+        monkeypatch.setattr(module, "elo_replay", called)
+    for name in ("elo_replay_ratings", "elo_rounds", "elo_comparisons", "elo_summary", "elo_sweep_4d", "elo_sweep_2d"):
+        with pytest.raises(Called) as found:
+            getattr(queries, name)(spark, sf)
+        assert found.value.args == ("blocks", 2_000_000), name
+
+
+def test_blocks_without_known_items(spark):
+    """Verdicts that all name unknown items give no rows; a group of them does not stop the others."""
+    verdicts, items = league(spark, n=6)
+    p = EloParams(max_rounds=1)
+    assert elo_replay(verdicts, items.filter("false"), p, method="blocks").ratings.count() == 0
+    run = elo_replay(verdicts, items.filter("item = 'x'"), p, method="blocks")
+    assert {r.item for r in run.rounds.collect()} == {r.item for r in run.ratings.collect()} == {"x"}
