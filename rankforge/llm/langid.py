@@ -112,8 +112,8 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for at, end in _runs(texts):
             x, has = _features(texts[at:end])
             rows = [x[i].astype("<f2").tobytes() if has[i] else None for i in range(end - at)]
-            lang, digest = (batch.column(c).slice(at, end - at) for c in ("lang", "digest"))
-            yield pa.RecordBatch.from_arrays([lang, digest, pa.array(rows, type=pa.binary())], ["lang", "digest", "x"])
+            lang, digest, rank = (batch.column(c).slice(at, end - at) for c in ("lang", "digest", "rank"))
+            yield pa.RecordBatch.from_arrays([lang, digest, rank, pa.array(rows, type=pa.binary())], ["lang", "digest", "rank", "x"])
 
 
 def _separate(x: np.ndarray, y: np.ndarray, rounds: int = 60, cost: float = 10.0) -> np.ndarray:
@@ -135,16 +135,18 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = I
     """A model from rows (doc_id, text, lang); null languages and texts without letters are left out.
 
     The sample is the rows whose hash of doc_id and text falls below per_language over
-    the language's rows, at most ``in_all`` in hash order; whole texts are read. None if
+    the language's rows, at most ``in_all`` by the hash times these rows, which takes the same part from every
+    language of more than per_language; whole texts are read. None if
     nothing is left to learn from.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("digest"))
     counts = measured(rows.groupBy("lang").agg(F.count("*").alias("n")))  # so that no text is shuffled
     chance = F.shiftrightunsigned("digest", 11) / F.lit(float(1 << 53))
-    drawn = rows.join(counts, "lang").filter(chance * F.col("n") < per_language).select("text", "lang", "digest")
-    made = drawn.mapInArrow(_sample_features, "lang string, digest bigint, x binary").filter(F.col("x").isNotNull())
-    got = made.orderBy("digest", "lang").limit(in_all).toArrow()
+    ranked = rows.join(counts, "lang").select("text", "lang", "digest", (chance * F.col("n")).alias("rank"))
+    drawn = ranked.filter(F.col("rank") < per_language)
+    made = drawn.mapInArrow(_sample_features, "lang string, digest bigint, rank double, x binary").filter(F.col("x").isNotNull())
+    got = made.orderBy("rank", "digest", "lang").limit(in_all).drop("rank").toArrow()
     if not len(got):
         return None
     langs = np.array(got.column("lang").to_pylist())

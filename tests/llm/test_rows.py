@@ -196,6 +196,15 @@ def test_langid_query(spark, sf):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_langid_sample_keeps_languages_of_any_size(spark):
+    """A cap on the sample takes the same part of each language, large or of middle size."""
+    sizes = {"aa": 6000, "bb": 6000, "cc": 100, "dd": 101, "ee": 102, "ff": 103}
+    rows = [(1000000 * k + i, f"{lang * 3} {lang}{lang[::-1]} x", lang) for k, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    model = train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=40, in_all=60)
+    assert model.members == {lang: [lang] for lang in sizes}
+    assert [classify([f"{lang * 3} {lang}{lang[::-1]} x"], model)[0][0] for lang in sizes] == list(sizes)
+
+
 def test_langid_odd(odd, nothing, documents):
     model = train(documents)
     rows = defaultdict(set)
