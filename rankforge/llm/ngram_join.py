@@ -162,6 +162,11 @@ class _Join:
         return write_scratch(connected_components(found), "components")[0]
 
 
+def _place() -> Column:
+    """What tells rows apart: doc_id and text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -172,9 +177,20 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     documents; a null doc_id is kept and never is a component_id unless alone. Other
     columns are ignored.
     """
+    owner = _owners(docs, width, percent)
+    smallest = owner.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
+    found = owner.join(smallest, "comp", "left")
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _owners(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, its digest, n shingles and comp, a number of its component."""
     spark = docs.sparkSession
-    place = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))
-    texts = docs.select("doc_id", "text", F.md5(place).alias("digest"))
+    texts = docs.select("doc_id", "text", _place().alias("digest"))
     shape = (
         f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, "
         "n bigint, need bigint, key binary, window array<bigint>"
@@ -225,27 +241,21 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     join.verify(remaining_pairs(across, rule).union(remaining_pairs(within, Rule())).distinct())
     comp = join.components()
 
-    owner = described.select("doc_id", "n", "key").join(sets, "key", "left")
+    owner = described.select("doc_id", "digest", "n", "key").join(sets, "key", "left")
     owner = owner.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
-    owner = owner.select("doc_id", "n", F.coalesce("component", "set_id").alias("comp"))
-    smallest = owner.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    found = owner.join(smallest, "comp", "left")
-    return found.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return owner.select("doc_id", "digest", "n", F.coalesce("component", "set_id").alias("comp"))
 
 
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id.
+    """``docs`` with one document of each component, the one of the smallest doc_id, then digest.
 
     Of rows with the same doc_id and text one stays, also where doc_id is null; rows of
     one doc_id with different texts are separate documents. Documents without words and
     null doc_ids stay. Other columns pass through.
     """
-    found = ngram_jaccard_components(docs, width, percent)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = kept.select("doc_id").distinct()
-    stay = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    owner = _owners(docs, width, percent)
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    first = owner.filter(linked).groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.digest")
+    kept = first.union(owner.filter(~linked).select("digest")).distinct()
+    stay = docs.alias("d").join(kept.alias("k"), _place() == F.col("k.digest"), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])

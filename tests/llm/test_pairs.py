@@ -109,6 +109,16 @@ def test_ngram_join_odd(odd, nothing):
     assert keep_representatives(nothing).count() == 0
 
 
+def test_one_representative_of_recurring_ids(spark):
+    """A near copy goes although its doc_id has another, unlinked text; near copies of one doc_id leave one."""
+    words = " ".join(f"r{i}" for i in range(60))
+    rows = [(1, words), (2, words + " more"), (2, " ".join(f"u{i}" for i in range(60)))]
+    rows += [(3, " ".join(f"v{i}" for i in range(60))), (3, " ".join(f"v{i}" for i in range(61)))]
+    kept = keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r.text for r in kept if r.doc_id < 3] and {(r.doc_id, r.text) for r in kept if r.doc_id < 3} == {rows[0], rows[2]}
+    assert sum(r.doc_id == 3 for r in kept) == 1 and len(kept) == 3
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(50)]
