@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import bpe, chat, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, quality, substring_dedup
+from rankforge.llm import (
+    bpe, chat, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, oracles, quality, sharding,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,10 +99,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number", "position",
+    )
+
+
 def registry() -> dict[str, Query]:
     own = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
