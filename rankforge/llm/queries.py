@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm import (
-    bpe, chat, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, oracles, quality, sharding,
-    substring_dedup,
+    bpe, chat, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, oracles, quality, runs,
+    sharding, substring_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,19 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.planted_periods(_table(spark, sf_dir, "documents")), ["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", runs.longest_run(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 def registry() -> dict[str, Query]:
     own = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return own | {"pipeline": corpus_pipeline.run}
