@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm import (
-    bpe, chat, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, oracles, quality, runs,
+    alignment, bpe, chat, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, oracles, quality, runs,
     sharding, substring_dedup,
 )
 
@@ -120,6 +120,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"],
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    return alignment.with_pair_counts(aligned.withColumn("groups_sha256", digest), kept)
+
+
 def registry() -> dict[str, Query]:
     own = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return own | {"pipeline": corpus_pipeline.run}
