@@ -1,4 +1,11 @@
-"""Exact sequential Elo replay, parallel over groups and inside very large groups."""
+"""Exact sequential Elo replay, parallel over groups, settings and inside very large groups.
+
+The order of play belongs to the data: the items of a group are dealt into blocks by their
+ids, a round walks a round-robin schedule of block meetings, and the games of a meeting
+follow a keyed hash. Meetings of a step share no item. A group that fits a task plays this
+order there, whole rounds without leaving the task; a larger one plays the meetings of a
+step as tasks of their own. Ratings are the same in both places.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +26,18 @@ from rankforge.operators.elo_rules import (
 )
 from rankforge.operators.evaluate import pearson
 from rankforge.operators.ordering import row_index
-from rankforge.session import cut_lineage, measured, output_partitions, scratch_path
+from rankforge.session import cut_lineage, drop_scratch, measured, output_partitions, scratch_path
 
 GROUP = ["dataset", "item"]
+#: Verdicts to which the meetings of two blocks are cut; part of the order.
 GROUP_VERDICTS = 2_000_000
+#: Groups up to this size play inside one task; picks the place, not the result.
+TASK_VERDICTS = 2_000_000
 VERDICTS_PER_TASK = 500_000
 SETTINGS_PER_TASK = 48
+#: Steps of a large group's round between two checkpoints.
+STEPS_PER_CHECKPOINT = 8
+_HASH_BUCKETS = 4096
 
 _ROUND_FIELDS = [
     ("round", T.IntegerType()), ("k", T.DoubleType()), ("pearson_r", T.DoubleType()),
@@ -57,6 +70,11 @@ class EloRun:
     comparisons: DataFrame | None = None
 
 
+def block_hash(column: str) -> Column:
+    """What deals an item into a block: the same on both sides of a verdict."""
+    return order_number(key_hash(F.col(column), seed="block"))
+
+
 def _prepare(verdicts: DataFrame, items: DataFrame, by: list[str], seed: int):
     """Compact games and items: ids, points and the hash that orders the rounds."""
     games = verdicts.filter(F.col("response1_id") != F.col("response2_id")).select(
@@ -68,7 +86,7 @@ def _prepare(verdicts: DataFrame, items: DataFrame, by: list[str], seed: int):
     # fresh aliases: games and items may come from one plan, and cogroup needs them apart
     players = items.select(
         *[F.col(c).alias(c) for c in by], F.col("response_id").cast("string").alias("response_id"),
-        F.col("norm_response").cast("double").alias("truth"),
+        F.col("norm_response").cast("double").alias("truth"), block_hash("response_id").alias("block_hash"),
     )
     # counted and replayed: written once, so that scoring behind it runs once
     return cut_lineage(games), players
@@ -106,6 +124,11 @@ def _rows(keys: dict, kind: str, length: int, **cols) -> pa.Table:
     return pa.table(arrays, names=names)
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """Fresh column identities: both sides of a cogroup may come from one plan."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _two_tables(run):
     """Spark reads the arity of a cogroup function; hand it a plain one."""
 
@@ -119,23 +142,42 @@ def _winner_counts(points: np.ndarray) -> tuple[int, int, int]:
     return int((points == 1.0).sum()), int((points == 0.0).sum()), int((points == 0.5).sum())
 
 
-class _GroupReplay:
-    """Replays one whole rating group for a list of parameter sets (runs in a task)."""
+def _meetings(x: np.ndarray, y: np.ndarray, blocks: int) -> np.ndarray:
+    """The step at which two blocks play, as ``_meeting_step`` has it."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    last = blocks - 1
+    met = 1 + np.where(high == last, 2 * low, low + high) % max(last, 1)
+    return np.where(x == y, 0, met)
+
 
-    def __init__(self, by, settings, offset_col, want_ratings, want_fit, record):
-        self.by, self.settings, self.offset_col = by, settings, offset_col
+class _UnitReplay:
+    """Replays the whole groups of a unit, one after the other, for a list of parameter sets.
+
+    A unit is one or more groups (told apart by ``_g``) and one chunk of the settings.
+    ``limit`` is the block size of the order; None plays by the hash alone.
+    """
+
+    def __init__(self, by, settings, limit, want_ratings, want_fit, record):
+        self.by, self.settings, self.limit = by, settings, limit
         self.want_ratings, self.want_fit, self.record = want_ratings, want_fit, record
 
     def __call__(self, games: pa.Table, players: pa.Table) -> pa.Table:
+        out = []
+        if games.num_rows and players.num_rows:
+            part = games["_part"][0].as_py()
+            games, players = games.sort_by("_g"), players.sort_by([("_g", "ascending"), ("response_id", "ascending")])
+            of_games, of_players = games["_g"].to_numpy(), players["_g"].to_numpy()
+            for g in np.unique(of_games):
+                lo, hi = np.searchsorted(of_games, [g, g + 1])
+                low, high = np.searchsorted(of_players, [g, g + 1])
+                out += self._group(games.slice(lo, hi - lo), players.slice(low, high - low), part)
         source = games if games.num_rows else players
-        keys = {c: source[c][0] for c in self.by}
-        if not games.num_rows or not players.num_rows:
-            return _rows(keys, "none", 0)
-        part = games[self.offset_col][0].as_py()
+        return pa.concat_tables(out or [_rows({c: source[c][0] for c in self.by}, "none", 0)])
+
+    def _group(self, games: pa.Table, players: pa.Table, part: int) -> list[pa.Table]:
+        keys = {c: games[c][0] for c in self.by}
         chosen = list(range(part * SETTINGS_PER_TASK, min((part + 1) * SETTINGS_PER_TASK, len(self.settings))))
         params = [self.settings[i] for i in chosen]
-
-        players = players.sort_by("response_id")
         ids = players["response_id"].combine_chunks()
         truth = np.array(players["truth"].to_numpy(zero_copy_only=False), dtype=float)
         a = pc.index_in(games["a"], value_set=ids)
@@ -143,12 +185,17 @@ class _GroupReplay:
         found = pc.and_(pc.is_valid(a), pc.is_valid(b))
         games = games.filter(found)
         if not games.num_rows:
-            return _rows(keys, "none", 0)
+            return []
         a = a.filter(found).to_numpy().astype(np.int64)
         b = b.filter(found).to_numpy().astype(np.int64)
         s, h = games["s"].to_numpy(), games["h"].to_numpy()
+        step = np.zeros(len(a), dtype=np.int64)
+        if self.limit is not None:
+            blocks = block_count(len(a), self.limit)
+            block = players["block_hash"].to_numpy() % blocks
+            step = _meetings(block[a], block[b], blocks)
         base = np.lexsort((s, b, a, h))
-        a, b, s, h = a[base], b[base], s[base], h[base]
+        a, b, s, h, step = a[base], b[base], s[base], h[base], step[base]
         drawn = games["round"].to_numpy()[base] if "round" in games.column_names else None
 
         out: list[pa.Table] = []
@@ -165,6 +212,7 @@ class _GroupReplay:
             else:
                 use = np.arange(len(a))
             order = use[round_order(h[use], r_no)]
+            order = order[np.argsort(step[order], kind="stable")]
             k = np.array([params[i].k_at(r_no) for i in live])
             change, small, log = play_round(
                 ratings, a[order], b[order], s[order], k, record=self.record
@@ -204,6 +252,7 @@ class _GroupReplay:
                     )
                 )
             final[:, live] = ratings
+            # the active set: settings that have stopped leave the matrix
             live = live[~stop]
             ratings = np.ascontiguousarray(ratings[:, ~stop])
             r_no += 1
@@ -226,22 +275,79 @@ class _GroupReplay:
                     r_squared=q["r_squared"], mae=q["mae"], rmse=q["rmse"],
                 )
             )
-        return pa.concat_tables(out)
+        return out
+
+
+def block_count(verdicts: int, limit: int) -> int:
+    """Blocks of a group: an even number, so that a meeting holds about half of ``limit``."""
+    return 2 * math.ceil(math.sqrt(verdicts / float(limit)))
+
+
+def _units(sizes: DataFrame, by: list[str], target: float) -> DataFrame:
+    """Groups with a number ``_g`` and the unit ``_unit`` they are packed into by size.
+
+    Units are cuts of a running sum of sizes. The sum runs inside hash buckets first and
+    over one row per bucket then, so no task sees all groups. A unit holds ``target``
+    verdicts and at most one group more.
+    """
+    order = [F.col(c) for c in by]
+    keyed = sizes.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(_HASH_BUCKETS)))
+    inside = Window.partitionBy("_bucket").orderBy(*order)
+    placed = keyed.withColumns(
+        {"_end": F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(inside)}
+    )
+    totals = keyed.groupBy("_bucket").agg(F.sum("_n").alias("_all"), F.count("*").alias("_many"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first"),
+    )
+    return placed.join(starts, "_bucket").select(
+        *by, "_n", (F.col("_first") + F.col("_i") - 1).alias("_g"),
+        F.floor((F.col("_start") + F.col("_end") - F.col("_n")) / F.lit(float(target))).alias("_unit"),
+    )
+
+
+def _replay_units(
+    games: DataFrame, players: DataFrame, sizes: DataFrame, total: int, settings: list[EloParams],
+    by: list[str], limit: int | None, ratings: bool, fits: bool, record: bool,
+) -> DataFrame:
+    """Groups that play inside a task: packed by size, one task per unit and settings chunk."""
+    spark = games.sparkSession
+    parts = math.ceil(len(settings) / SETTINGS_PER_TASK)
+    # few groups with long replays are spread over the cores, many small ones share a task
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    target = max(1.0, min(float(VERDICTS_PER_TASK), total * parts / wanted))
+    units = measured(_units(sizes, by, target))
+    n_units = (units.agg(F.max("_unit")).first()[0] or 0) + 1
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+    # hashed units collide: more partitions than units keep two long ones apart
+    tasks = output_partitions(spark, min(4 * n_units * parts, 20_000), 1)
+    keys = ["_unit", "_part"]
+    left = games.join(units.drop("_n"), by).withColumn("_part", part).repartition(tasks, *keys)
+    right = _apart(players.join(units.drop("_n"), by).withColumn("_part", part)).repartition(tasks, *keys)
+    replay = _UnitReplay(by, settings, limit, ratings, fits, record)
+    played = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_two_tables(replay), _schema(by, games))
+    played = cut_lineage(played)
+    units.unpersist()
+    return played
 
 
 def elo_replay(
     verdicts: DataFrame, items: DataFrame, settings: EloParams | list[EloParams] = EloParams(),
     by: list[str] = GROUP, seed: int = 42, group_verdicts: int = GROUP_VERDICTS,
-    ratings: bool = True, fits: bool = False, comparisons: bool = False, method: str = "sequence",
+    ratings: bool = True, fits: bool = False, comparisons: bool = False, method: str = "blocks",
+    task_verdicts: int = TASK_VERDICTS,
 ) -> EloRun:
     """Rate the items of every group by replaying its verdicts until a stop rule holds.
 
     Each round plays all verdicts (or those with that ``round`` value) one after the
-    other. The order, and with it the ratings, depends on ``method`` and never on size.
-    ``sequence`` orders by a keyed hash and runs a group as one task, for many parameter
-    sets at once; a group above ``group_verdicts`` verdicts is an error. ``blocks`` plays
-    every group in the tournament form of :func:`_replay_large`, about ``group_verdicts``
-    at a time, and gathers none. Groups without verdicts are skipped.
+    other. The order, and with it the ratings, depends on ``method`` and ``group_verdicts``.
+    ``blocks`` walks meetings of blocks of items, cut to about ``group_verdicts`` verdicts;
+    groups up to ``task_verdicts`` do so inside a task, larger ones step by step over many
+    tasks, with equal ratings. ``sequence`` orders by a keyed hash alone and needs the group
+    in one task: one above ``group_verdicts`` verdicts is an error. Verdicts that name an
+    unknown item are dropped, and groups without verdicts skipped.
     """
     if method not in ("sequence", "blocks"):
         raise ValueError(f"unknown method {method!r}")
@@ -249,44 +355,25 @@ def elo_replay(
     if comparisons and len(settings) > 1:
         raise ValueError("a comparison history needs a single parameter set")
     games, players = _prepare(verdicts, items, by, seed)
-    if method == "blocks":
-        # verdicts naming an unknown item are dropped, as inside a task of the other method
-        for side in ("a", "b"):
-            games = games.join(players.select(*by, F.col("response_id").alias(side)), [*by, side], "left_semi")
-        games = cut_lineage(games)
-    sizes = games.groupBy(*by).agg(F.count("*").alias("_n"))
-    n_groups, total, largest = sizes.agg(F.count("*"), F.sum("_n"), F.max("_n")).first()
-    tables = []
-    if method == "sequence" and (largest or 0) > group_verdicts:
-        raise ValueError(f"a group has {largest} verdicts, more than {group_verdicts}; use method='blocks'")
-    n_large = method == "blocks" and largest
-    small_games, small_players = games, players
-    if n_large:
-        large = measured(sizes)
-        small_games = games.join(large, by, "left_anti")
-        small_players = players.join(large, by, "left_anti")
-    parts = math.ceil(len(settings) / SETTINGS_PER_TASK)
-    replay = _GroupReplay(by, settings, "_part", ratings, fits, comparisons)
-    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
-    # few groups with long replays: spread them, do not let small inputs be merged
-    work = max((total or 0) * parts / VERDICTS_PER_TASK, min(n_groups * parts * 2, 1000))
-    tasks = output_partitions(verdicts.sparkSession, work, 1)
-    left = small_games.withColumn("_part", part).repartition(tasks, *by, "_part")
-    right = small_players.withColumn("_part", part).repartition(tasks, *by, "_part")
-    tables.append(
-        left.groupBy(*by, "_part").cogroup(right.groupBy(*by, "_part")).applyInArrow(
-            _two_tables(replay), _schema(by, games)
-        )
-    )
-    if n_large:
-        tables += _replay_large(
-            games.join(large.drop("_n"), by, "left_semi"), players.join(large.drop("_n"), by, "left_semi"),
-            large, settings, by, group_verdicts, fits, comparisons,
-        )
+    for side in ("a", "b"):
+        games = games.join(players.select(*by, F.col("response_id").alias(side)), [*by, side], "left_semi")
+    games = cut_lineage(games)
+    sizes = measured(games.groupBy(*by).agg(F.count("*").alias("_n")))
+    total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if method == "sequence":
+        if largest > group_verdicts:
+            raise ValueError(f"a group has {largest} verdicts, more than {group_verdicts}; use method='blocks'")
+        task_verdicts = largest
+    limit = group_verdicts if method == "blocks" else None
+    small = sizes.filter(F.col("_n") <= task_verdicts) if largest > task_verdicts else sizes
+    tables = [_replay_units(games, players, small, total, settings, by, limit, ratings, fits, comparisons)]
+    if largest > task_verdicts:
+        large = sizes.filter(F.col("_n") > task_verdicts)
+        tables += _replay_large(games, players, large, settings, by, group_verdicts, fits, comparisons)
+    sizes.unpersist()
     everything = tables[0]
     for t in tables[1:]:
         everything = everything.unionByName(t, allowMissingColumns=True)
-    everything = cut_lineage(everything)
 
     def pick(kind: str, fields) -> DataFrame:
         cols = [n for n, _ in fields]
@@ -330,84 +417,139 @@ def _meeting_step(x: Column, y: Column, blocks: Column) -> Column:
 
 
 class _BlockReplay:
-    """Plays the games between (or inside) two blocks; returns new ratings and sums."""
+    """Plays the games between (or inside) two blocks.
 
-    def __init__(self, by, round_number, k_of, record):
-        self.by, self.round_number, self.k_of, self.record = by, round_number, k_of, record
+    Returns the items with new ratings; the first item of the meeting carries the sums of
+    the round so far, so that steps chain without a second reader.
+    """
 
-    def __call__(self, games: pa.Table, players: pa.Table) -> pa.Table:
+    def __init__(self, round_number, settings, record):
+        self.round_number, self.settings, self.record = round_number, settings, record
+
+    def __call__(self, players: pa.Table, games: pa.Table) -> pa.Table:
+        # Spark tells arrays without nulls apart; what goes back is the plain kind
+        plain = {"live": pa.list_(pa.int32()), "rating": pa.list_(pa.float64()), "sums": pa.list_(pa.float64())}
+        for name, kind in plain.items():
+            players = players.set_column(
+                players.schema.get_field_index(name), name, players[name].cast(kind)
+            )
+        if not players.num_rows:
+            return self._with_log(players)
+        players = players.sort_by("response_id")
         ids = players["response_id"].combine_chunks()
-        settings = len(players["rating"][0]) if players.num_rows else 0
-        ratings = np.array(players["rating"].to_pylist(), dtype=float).reshape(-1, settings)
-        keys = tuple(players[c][0].as_py() for c in self.by)
-        change, small = np.zeros(settings), np.zeros(settings, dtype=np.int64)
-        counts, log_rows = (0, 0, 0), None
+        live = players["live"][0].as_py()
+        ratings = np.array(players["rating"].to_pylist(), dtype=float).reshape(-1, len(live))
+        sums = [r for r in players["sums"].to_pylist() if r is not None]
+        total = np.sum(np.array(sums, dtype=float), axis=0) if sums else np.zeros(2 * len(live) + 3)
+        log = None
         if games.num_rows:
             a = pc.index_in(games["a"], value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
             b = pc.index_in(games["b"], value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
             s, h = games["s"].to_numpy(), games["h"].to_numpy()
-            rank = pc.rank(ids).to_numpy()
-            base = np.lexsort((s, rank[b], rank[a], h))
+            base = np.lexsort((s, b, a, h))
             order = base[round_order(h[base], self.round_number)]
-            k = np.array(self.k_of[keys])
-            change, small, log = play_round(
-                ratings, a[order], b[order], s[order], k, record=self.record
-            )
-            counts = _winner_counts(s)
-            if self.record:
-                g = len(order)
-                log_rows = pa.table(
-                    {
-                        "response1_id": ids.take(pa.array(a[order])),
-                        "response2_id": ids.take(pa.array(b[order])),
-                        "s": pa.array(s[order]), "position": pa.array(np.arange(g)),
-                        "old_a": pa.array(log[0]), "old_b": pa.array(log[1]),
-                        "delta": pa.array(log[2]),
-                    }
-                )
+            k = np.array([self.settings[i].k_at(self.round_number) for i in live])
+            change, small, log = play_round(ratings, a[order], b[order], s[order], k, record=self.record)
+            total += np.concatenate([change, small, _winner_counts(s)])
         n = players.num_rows
-        state = players.set_column(
-            players.schema.get_field_index("rating"), "rating",
-            pa.array(list(ratings), type=pa.list_(pa.float64())),
-        ).append_column("kind", pa.repeat(pa.scalar("item"), n))
-        stats = pa.table(
+        made = {
+            "rating": pa.array(list(ratings), type=pa.list_(pa.float64())),
+            "sums": pa.array([total.tolist()] + [None] * (n - 1), type=pa.list_(pa.float64())),
+        }
+        for name, column in made.items():
+            players = players.set_column(players.schema.get_field_index(name), name, column)
+        if not self.record or log is None:
+            return self._with_log(players)
+        g = len(order)
+        tags = {c: pa.repeat(players[c][0], g) for c in players.column_names if c not in _STATE}
+        played = pa.table(
             {
-                **{c: players[c].slice(0, 1) for c in [*self.by, "_bin"]},
-                "kind": ["stat"], "change": pa.array([change.tolist()], pa.list_(pa.float64())),
-                "small": pa.array([small.tolist()], pa.list_(pa.int64())),
-                "A": [counts[0]], "B": [counts[1]], "Equal": [counts[2]],
+                **tags, "response1_id": ids.take(pa.array(a[order])), "response2_id": ids.take(pa.array(b[order])),
+                "s": pa.array(s[order]), "position": pa.array(np.arange(g)), "old_a": pa.array(log[0]),
+                "old_b": pa.array(log[1]), "delta": pa.array(log[2]),
             }
         )
-        out = [state, stats]
-        if log_rows is not None:
-            tags = {c: pa.repeat(players[c][0], log_rows.num_rows) for c in [*self.by, "_bin", "_lo", "_hi"]}
-            logged = pa.table({**tags, **{c: log_rows[c] for c in log_rows.column_names}})
-            out.append(logged.append_column("kind", pa.repeat(pa.scalar("game"), logged.num_rows)))
-        merged = pa.concat_tables(out, promote_options="default")
-        for name in _BLOCK_COLUMNS(self.by):
-            if name not in merged.column_names:
-                merged = merged.append_column(name, pa.nulls(merged.num_rows, _BLOCK_TYPES[name]))
-        return merged.select(_BLOCK_COLUMNS(self.by))
-
-
-_BLOCK_TYPES = {
-    "kind": pa.string(), "response_id": pa.string(), "truth": pa.float64(), "_bin": pa.int32(),
-    "_block": pa.int32(), "_nb": pa.int32(), "rating": pa.list_(pa.float64()), "_lo": pa.int32(),
-    "_hi": pa.int32(), "change": pa.list_(pa.float64()), "small": pa.list_(pa.int64()),
-    "A": pa.int64(), "B": pa.int64(), "Equal": pa.int64(), "response1_id": pa.string(),
-    "response2_id": pa.string(), "s": pa.float64(), "position": pa.int64(), "old_a": pa.float64(),
-    "old_b": pa.float64(), "delta": pa.float64(),
-}
+        wide = pa.concat_tables([players, played], promote_options="default")
+        return wide.select([*players.column_names, *_LOG_TYPES])
+
+    def _with_log(self, players: pa.Table) -> pa.Table:
+        for name, kind in _LOG_TYPES.items() if self.record else ():
+            players = players.append_column(name, pa.nulls(players.num_rows, kind))
+        return players
+
+
+#: Columns of an item's state; games of the log leave them empty.
+_STATE = {"response_id", "truth", "_block", "_nb", "live", "rating", "sums"}
 _BLOCK_DDL = (
-    "kind string, response_id string, truth double, _bin int, _block int, _nb int, "
-    "rating array<double>, _lo int, _hi int, change array<double>, small array<bigint>, "
-    "A bigint, B bigint, Equal bigint, response1_id string, response2_id string, s double, "
-    "position bigint, old_a double, old_b double, delta double"
+    "response_id string, truth double, _block int, _nb int, live array<int>, rating array<double>, "
+    "sums array<double>, _lo int, _hi int"
 )
+_LOG_TYPES = {
+    "response1_id": pa.string(), "response2_id": pa.string(), "s": pa.float64(), "position": pa.int64(),
+    "old_a": pa.float64(), "old_b": pa.float64(), "delta": pa.float64(),
+}
+_LOG_DDL = (
+    "response1_id string, response2_id string, s double, position bigint, old_a double, old_b double, delta double"
+)
+
 
+def _settings_table(spark, settings: list[EloParams]) -> DataFrame:
+    """One row per parameter set: what the stop rules read."""
+    rows = [
+        (
+            i, p.patience, p.min_r_delta, p.min_r_delta_rounds, p.max_rounds, p.use_r_delta, p.use_truth, p.halve_small,
+            f"patience_{p.patience}", f"r_delta<{p.min_r_delta}_in_{p.min_r_delta_rounds}r",
+        )
+        for i, p in enumerate(settings)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "setting int, _patience int, _delta double, _window int, _cap int, _by_delta boolean, _truth boolean, "
+        "_halve boolean, _say_patience string, _say_delta string",
+    )
 
-def _BLOCK_COLUMNS(by: list[str]) -> list[str]:
-    return [*by, *_BLOCK_TYPES]
+
+def _advance_rules(stats: DataFrame, watch: DataFrame | None, rules: DataFrame, by: list[str]) -> DataFrame:
+    """The stop rules of one round, per group and setting, on executors.
+
+    ``stats`` has round, pearson_r, has_r, avg_change, pct_small; ``watch`` is the result of
+    the round before (best r, the round it came, the last r values) or None.
+    """
+    key = [*by, "setting"]
+    if watch is None:
+        joined = stats.withColumns(
+            {"_best": F.lit(float("-inf")), "_improved": F.lit(0), "_hist": F.array().cast("array<double>")}
+        )
+    else:
+        joined = stats.join(watch.select(*key, "_best", "_improved", "_hist"), key)
+    joined = joined.join(rules, "setting")
+    seen = F.col("has_r") & F.col("_truth")
+    better = F.coalesce(seen & (F.col("pearson_r") > F.col("_best")), F.lit(False))
+    now = F.col("round") - 1
+    longer = F.concat("_hist", F.array(F.coalesce("pearson_r", F.lit(float("nan")))))
+    joined = joined.withColumns(
+        {
+            "_improved": F.when(better, now).otherwise(F.col("_improved")),
+            "_best": F.when(better, F.col("pearson_r")).otherwise(F.col("_best")),
+            "_hist": F.when(
+                seen,
+                F.slice(longer, F.greatest(F.lit(1), F.size(longer) - F.col("_window") + 1), F.col("_window")),
+            ).otherwise(F.col("_hist")),
+        }
+    )
+    gain = F.try_element_at("_hist", F.lit(-1)) - F.try_element_at("_hist", F.lit(1))
+    flat = (F.size("_hist") >= F.col("_window")) & ~F.isnan(gain) & (gain < F.col("_delta"))
+    shown = F.when(F.col("_halve"), F.col("pct_small") / 2).otherwise(F.col("pct_small"))
+    reason = (
+        F.when(F.col("avg_change") < 0.1, F.lit("avg_change<0.1"))
+        .when(shown > 0.95, F.lit("95%_small"))
+        .when(F.col("_truth") & (now - F.col("_improved") >= F.col("_patience")), F.col("_say_patience"))
+        .when(F.col("_truth") & F.col("_by_delta") & flat, F.col("_say_delta"))
+    )
+    capped = F.coalesce(F.col("round") >= F.col("_cap"), F.lit(False))
+    return joined.withColumn("converge_reason", reason).withColumn(
+        "stopped", F.col("converge_reason").isNotNull() | capped
+    ).drop(*[c for c in rules.columns if c != "setting"])
 
 
 def _replay_large(
@@ -416,29 +558,30 @@ def _replay_large(
 ) -> list[DataFrame]:
     """Sequential replay of groups whose verdicts do not fit one task.
 
-    The items of a group are dealt into an even number of blocks. A round walks through
-    a round-robin schedule: in each step every block meets one other (or itself), so the
-    block meetings of a step share no item and run in parallel, and playing the steps in
-    turn is one particular sequential order of all verdicts of the round. With verdicts
-    spread evenly over the items, a meeting holds about ``limit`` / 2 of them however
-    large the group is; one item in very many verdicts makes its block's meetings larger,
-    as its games depend on each other and have to be played in turn. Verdicts
-    are written once, partitioned by step; ratings are checkpointed after every step.
-    The driver sees one row per large group and parameter set per round.
+    In each step of the schedule every block meets one other (or itself): these meetings
+    share no item and run in parallel. With verdicts spread evenly over the items, a meeting
+    holds about ``limit`` / 2 of them however large the group is; one item in very many
+    verdicts makes its block's meetings larger, as its games depend on each other and have
+    to be played in turn. Verdicts are written once, partitioned by step. Steps of a round
+    chain, the sums riding along, and are checkpointed every STEPS_PER_CHECKPOINT steps and
+    at the end of the round. Stop rules advance in a table of one row per group and setting;
+    settings that have stopped leave the rating arrays, and groups without any leave the
+    rounds. The driver learns how many rows of that table are still live, nothing else.
     """
     spark = games.sparkSession
-    blocks = sizes.select(
-        *by, (2 * F.ceil(F.sqrt(F.col("_n") / F.lit(float(limit))))).cast("int").alias("_nb")
+    blocks = measured(
+        sizes.select(*by, (2 * F.ceil(F.sqrt(F.col("_n") / F.lit(float(limit))))).cast("int").alias("_nb"))
     )
 
-    def block_of(col: str) -> Column:
-        h = order_number(key_hash(F.col(col), seed="block"))
-        return F.pmod(h, F.col("_nb").cast("bigint")).cast("int")
+    def block_of(hashed: Column) -> Column:
+        return F.pmod(hashed, F.col("_nb").cast("bigint")).cast("int")
 
-    tagged = games.join(blocks, by).withColumns({"_x": block_of("a"), "_y": block_of("b")})
+    tagged = games.join(blocks, by).withColumns(
+        {"_x": block_of(block_hash("a")), "_y": block_of(block_hash("b"))}
+    )
     tagged = tagged.withColumns(
         {
-            "_bin": F.lit(0), "_lo": F.least("_x", "_y"), "_hi": F.greatest("_x", "_y"),
+            "_lo": F.least("_x", "_y"), "_hi": F.greatest("_x", "_y"),
             "_step": _meeting_step(F.col("_x"), F.col("_y"), F.col("_nb")),
         }
     ).drop("_x", "_y", "_nb")
@@ -446,90 +589,90 @@ def _replay_large(
     tagged.write.partitionBy("_step").parquet(path)
     stored = spark.read.parquet(path)
     steps = sorted(r[0] for r in stored.select("_step").distinct().collect())
-
-    start = F.array(*[F.lit(p.initial) for p in settings])
-    state = players.join(blocks, by).select(
-        *by, "response_id", "truth", F.lit(0).alias("_bin"), block_of("response_id").alias("_block"),
-        "_nb", start.alias("rating"),
+    rules = _settings_table(spark, settings)
+
+    no_sums = F.lit(None).cast("array<double>")
+    state = cut_lineage(
+        players.join(blocks, by).select(
+            *by, "response_id", "truth", block_of(F.col("block_hash")).alias("_block"), "_nb",
+            F.array(*[F.lit(i) for i in range(len(settings))]).alias("live"),
+            F.array(*[F.lit(float(p.initial)) for p in settings]).alias("rating"), no_sums.alias("sums"),
+        )
     )
-    state = cut_lineage(state)
-    group_rows = [tuple(r) for r in blocks.select(*by).collect()]
-    watch = {g: [StopWatch(p) for p in settings] for g in group_rows}
-    live = {g: [True] * len(settings) for g in group_rows}
-    schema = ", ".join(f"`{c}` {games.schema[c].dataType.simpleString()}" for c in by) + ", " + _BLOCK_DDL
-    meeting = [*by, "_bin", "_lo", "_hi"]
-    history: list[tuple] = []
-    game_logs: list[DataFrame] = []
+    blocks.unpersist()
+    columns = state.columns
+    keys_ddl = ", ".join(f"`{c}` {games.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{keys_ddl}, {_BLOCK_DDL}" + (f", {_LOG_DDL}" if record else "")
+    meeting = [*by, "_lo", "_hi"]
+    history_path, done_path, log_path = (scratch_path(spark, f"replay-{n}") for n in ("rounds", "done", "log"))
+    history, log = [], []
+    watch: DataFrame | None = None
     r_no = 0
-    while any(any(flags) for flags in live.values()):
-        k_of = {
-            g: [p.k_at(r_no) if on else 0.0 for p, on in zip(settings, live[g])] for g in group_rows
-        }
-        used = stored.filter(F.col("round") == r_no) if "round" in stored.columns else stored
+    while True:
+        used = stored.filter(F.col("round") == r_no).drop("round") if "round" in stored.columns else stored
         if "round" in stored.columns and not used.limit(1).count():
             break
-        totals: dict[tuple, dict] = {}
-        for step in steps:
+        for at, step in enumerate(steps):
             other = _partner(F.col("_block"), F.lit(step), F.col("_nb"))
             placed = state.withColumns(
                 {"_lo": F.least("_block", other).cast("int"), "_hi": F.greatest("_block", other).cast("int")}
             )
-            block_replay = _BlockReplay(by, r_no, k_of, record)
-            out = used.filter(F.col("_step") == step).drop("_step").groupBy(*meeting).cogroup(
-                placed.groupBy(*meeting)
-            ).applyInArrow(_two_tables(block_replay), schema)
-            out = cut_lineage(out)
-            state = out.filter(F.col("kind") == "item").select(*state.columns)
-            stats = out.filter(F.col("kind") == "stat").select(
-                *by, F.posexplode(F.arrays_zip("change", "small")).alias("setting", "_z"), "A", "B", "Equal"
-            ).groupBy(*by, "setting").agg(
-                F.sum("_z.change").alias("change"), F.sum("_z.small").alias("small"),
-                *[F.sum(c).alias(c) for c in ("A", "B", "Equal")],
-            )
-            for row in stats.collect():
-                key = (*(row[c] for c in by), row["setting"])
-                got = totals.setdefault(key, dict.fromkeys(("change", "small", "A", "B", "Equal"), 0))
-                for c in got:
-                    got[c] += row[c]
+            replay = _BlockReplay(r_no, settings, record)
+            now = _apart(used.filter(F.col("_step") == step).drop("_step"))
+            # a meeting without players belongs to a group that has stopped
+            out = placed.groupBy(*meeting).cogroup(now.groupBy(*meeting)).applyInArrow(_two_tables(replay), schema)
             if record:
-                game_logs.append(
-                    out.filter(F.col("kind") == "game").withColumns(
-                        {"round": F.lit(r_no + 1), "_step": F.lit(step), "k": F.lit(settings[0].k_at(r_no))}
-                    )
-                )
-        truth = F.when(~F.isnan("truth"), F.col("truth"))
-        spread = state.select(*by, truth.alias("t"), F.posexplode("rating").alias("setting", "x"))
-        known = F.when(F.col("t").isNotNull(), F.col("x"))
-        rs = spread.groupBy(*by, "setting").agg(
-            pearson(F.col("t"), known).alias("r"), F.count("t").alias("n")
-        )
-        for row in rs.collect():
-            g = tuple(row[c] for c in by)
-            i = row["setting"]
-            if not live[g][i]:
-                continue
-            p, got = settings[i], totals[(*g, i)]
-            n = got["A"] + got["B"] + got["Equal"]
-            avg, share = got["change"] / (2 * n), got["small"] / n
-            r = None if row["n"] < 2 else (math.nan if row["r"] is None else row["r"])
-            reason = watch[g][i].check(r_no, avg, share / 2 if p.halve_small else share, r)
-            shown = None if r is None or math.isnan(r) else r
-            history.append(
-                (*g, i, "round", r_no + 1, k_of[g][i], shown, avg, share, got["A"], got["B"], got["Equal"], reason)
+                out = cut_lineage(out)
+                out.filter(F.col("position").isNotNull()).select(
+                    *by, "_lo", "_hi", *_LOG_TYPES, F.lit(step).alias("_step"), F.lit(r_no + 1).alias("round"),
+                    F.lit(settings[0].k_at(r_no)).alias("k"),
+                ).write.mode("append").parquet(log_path)
+                log = [log_path]
+                out = out.filter(F.col("position").isNull())
+            state = out.select(*columns)
+            if (at + 1) % STEPS_PER_CHECKPOINT == 0 and at + 1 < len(steps) and not record:
+                state = cut_lineage(state)
+        state = cut_lineage(state)
+        stats = _round_rows(state, by, r_no)
+        watch = cut_lineage(_advance_rules(stats, watch, rules, by))
+        ks = F.create_map(*[F.lit(x) for i, p in enumerate(settings) for x in (i, p.k_at(r_no))])
+        watch.select(
+            *by, "setting", F.lit("round").alias("kind"), "round", ks[F.col("setting")].alias("k"),
+            "pearson_r", "avg_change", "pct_small", "A", "B", "Equal", "converge_reason",
+        ).write.mode("append").parquet(history_path)
+        history = [history_path]
+        over, left = watch.agg(F.count_if("stopped"), F.count_if(~F.col("stopped"))).first()
+        if over:
+            ended = watch.filter("stopped").groupBy(*by).agg(F.sort_array(F.collect_list("setting")).alias("_over"))
+            joined = state.join(ended, by, "left").withColumn("_z", F.arrays_zip("live", "rating"))
+            gone = F.filter("_z", lambda z: F.array_contains("_over", z["live"]))
+            joined.filter(F.col("_over").isNotNull()).select(
+                *by, "response_id", F.col("truth").alias("norm_response"), F.inline(gone)
+            ).withColumnsRenamed({"live": "setting", "rating": "elo"}).write.mode("append").parquet(done_path)
+            stay = F.when(F.col("_over").isNull(), F.col("_z")).otherwise(
+                F.filter("_z", lambda z: ~F.array_contains("_over", z["live"]))
             )
-            if reason or (p.max_rounds is not None and r_no + 1 >= p.max_rounds):
-                live[g][i] = False
+            state = joined.withColumn("_z", stay).filter(F.size("_z") > 0).withColumns(
+                {"live": F.col("_z")["live"], "rating": F.col("_z")["rating"]}
+            ).select(*columns)
+            watch = watch.filter(~F.col("stopped"))
+        if not left:
+            break
+        state = state.withColumn("sums", no_sums)
         r_no += 1
-
-    keys_ddl = ", ".join(f"`{c}` {games.schema[c].dataType.simpleString()}" for c in by)
-    rounds = spark.createDataFrame(
-        history,
-        f"{keys_ddl}, setting int, kind string, round int, k double, pearson_r double, "
-        "avg_change double, pct_small double, A bigint, B bigint, Equal bigint, converge_reason string",
-    )
-    spread = state.select(
-        *by, "response_id", F.col("truth").alias("norm_response"), F.posexplode("rating").alias("setting", "elo")
+    # without verdicts for a further round, what is live ends where it stands
+    state.select(
+        *by, "response_id", F.col("truth").alias("norm_response"), F.inline(F.arrays_zip("live", "rating"))
+    ).withColumnsRenamed({"live": "setting", "rating": "elo"}).write.mode("append").parquet(done_path)
+    drop_scratch(spark, path)
+
+    rating_ddl = f"{keys_ddl}, response_id string, norm_response double, setting int, elo double"
+    round_ddl = (
+        f"{keys_ddl}, setting int, kind string, round int, k double, pearson_r double, avg_change double, "
+        "pct_small double, A bigint, B bigint, Equal bigint, converge_reason string"
     )
+    rounds = _read_back(spark, history, round_ddl)
+    spread = _read_back(spark, [done_path], rating_ddl)
     ratings = normalise_ratings(spread, [*by, "setting"]).withColumn("kind", F.lit("item"))
     tables = [rounds, ratings]
     if fits:
@@ -538,12 +681,10 @@ def _replay_large(
         quality = rating_metrics(ratings, [*by, "setting"], with_p=False)
         tables.append(quality.withColumnRenamed("pearson_r", "fit_r").withColumn("kind", F.lit("fit")))
     if record:
-        logged = game_logs[0]
-        for t in game_logs[1:]:
-            logged = logged.unionByName(t)
-        numbered = row_index(
-            logged, ["_step", "_bin", "_lo", "_hi", "position"], [*by, "round"], name="pair_in_round"
+        logged = _read_back(
+            spark, log, f"{keys_ddl}, _lo int, _hi int, {_LOG_DDL}, _step int, round int, k double"
         )
+        numbered = row_index(logged, ["_step", "_lo", "_hi", "position"], [*by, "round"], name="pair_in_round")
         name = F.when(F.col("s") == 1.0, "A").when(F.col("s") == 0.0, "B").otherwise("Equal")
         tables.append(
             numbered.select(
@@ -556,6 +697,36 @@ def _replay_large(
     return tables
 
 
+def _read_back(spark, paths: list[str], ddl: str) -> DataFrame:
+    return spark.read.schema(ddl).parquet(*paths) if paths else spark.createDataFrame([], ddl)
+
+
+def _round_rows(state: DataFrame, by: list[str], round_number: int) -> DataFrame:
+    """Per group and live setting: the sums and r of a round, from the items behind it."""
+    truth = F.when(~F.isnan("truth"), F.col("truth"))
+    each = state.select(
+        *by, truth.alias("t"), F.posexplode(F.arrays_zip("live", "rating")).alias("_i", "_z"),
+        F.size("live").alias("_live"), "sums",
+    )
+    known = F.when(F.col("t").isNotNull(), F.col("_z.rating"))
+
+    def of(offset: Column) -> Column:
+        return F.coalesce(F.sum(F.element_at("sums", (offset + 1).cast("int"))), F.lit(0.0))
+
+    at, live = F.col("_i"), F.col("_live")
+    rows = each.groupBy(*by, F.col("_z.live").alias("setting")).agg(
+        of(at).alias("_change"), of(live + at).alias("_small"),
+        *[of(2 * live + i).cast("bigint").alias(c) for i, c in enumerate(("A", "B", "Equal"))],
+        F.when(F.count("t") >= 2, pearson(F.col("t"), known)).alias("pearson_r"),
+        (F.count("t") >= 2).alias("has_r"),
+    )
+    n = F.col("A") + F.col("B") + F.col("Equal")
+    return rows.filter(n > 0).select(
+        *by, "setting", F.lit(round_number + 1).alias("round"), "pearson_r", "has_r",
+        (F.col("_change") / (2 * n)).alias("avg_change"), (F.col("_small") / n).alias("pct_small"), "A", "B", "Equal",
+    )
+
+
 def normalise_ratings(ratings: DataFrame, by: list[str] = GROUP, rating: str = "elo") -> DataFrame:
     """Add the min-max normalised rating per group; a flat group becomes 0.
 

@@ -27,6 +27,12 @@ class EloParams:
     halve_small: bool = False  # share of small changes over 2n instead of n
     fixed_k: float | None = None  # constant K instead of the decay
 
+    def __post_init__(self):
+        for name in ("k_start", "k_end", "decay_rounds", "initial", "min_r_delta"):
+            object.__setattr__(self, name, float(getattr(self, name)))
+        if self.fixed_k is not None:
+            object.__setattr__(self, "fixed_k", float(self.fixed_k))
+
     def k_at(self, round_number: int) -> float:
         if self.fixed_k is not None:
             return self.fixed_k

@@ -43,12 +43,17 @@ def plain_elo(games, k_of):
     return ratings
 
 
-@pytest.mark.parametrize(("method", "limit"), [("sequence", 10**6), ("blocks", 30), ("blocks", 10**6)])
-def test_replay_equals_one_by_one_play(spark, method, limit):
-    """Both forms: each verdict once per round, ratings as in sequential play."""
+@pytest.mark.parametrize(
+    ("method", "limit", "inside"),
+    [("sequence", 10**6, 10**6), ("blocks", 30, 10**6), ("blocks", 10**6, 10**6), ("blocks", 30, 0)],
+)
+def test_replay_equals_one_by_one_play(spark, method, limit, inside):
+    """Both orders, in both places: each verdict once per round, ratings as in sequential play."""
     verdicts, items = league(spark)
     p = EloParams(max_rounds=3)
-    run = elo_replay(verdicts, items, p, comparisons=True, group_verdicts=limit, method=method)
+    run = elo_replay(
+        verdicts, items, p, comparisons=True, group_verdicts=limit, method=method, task_verdicts=inside
+    )
     games = sorted(run.comparisons.collect(), key=lambda r: (r.item, r.round, r.pair_in_round))
     played = [(g.item, g.response1_id, g.response2_id, g.winner) for g in games if g.round == 2]
     assert sorted(played) == sorted((r.item, r.response1_id, r.response2_id, r.winner) for r in verdicts.collect())
@@ -195,28 +200,93 @@ def test_items_prefer_first_side(spark):
 def test_size_never_picks_the_order(spark):
     verdicts, items = league(spark)
     with pytest.raises(ValueError, match="blocks"):
-        elo_replay(verdicts, items, EloParams(max_rounds=1), group_verdicts=3)
+        elo_replay(verdicts, items, EloParams(max_rounds=1), group_verdicts=3, method="sequence")
     with pytest.raises(ValueError, match="unknown method"):
         elo_replay(verdicts, items, method="auto")
 
 
-def test_queries_play_in_blocks(spark, sf, monkeypatch):
-    """No registered query gathers a group, so none fails by its size."""
-    from rankforge.operators import sweep
-    from rankforge.plans import build, queries
-
-    class Called(Exception):
-        pass
-
-    def called(verdicts, items, settings=None, by=None, seed=None, group_verdicts=None, method="sequence", **options):
-        raise Called(method, group_verdicts)
-
-    for module in (queries, sweep, build):
-        monkeypatch.setattr(module, "elo_replay", called)
-    for name in ("elo_replay_ratings", "elo_rounds", "elo_comparisons", "elo_summary", "elo_sweep_4d", "elo_sweep_2d"):
-        with pytest.raises(Called) as found:
-            getattr(queries, name)(spark, sf)
-        assert found.value.args == ("blocks", 2_000_000), name
+def rows_of(run):
+    ratings = {}
+    for r in run.ratings.collect():
+        ratings[(r.item, r.setting, r.response_id, "elo")] = r.elo
+        ratings[(r.item, r.setting, r.response_id, "normalised")] = r.elo_normalized
+    rounds = {
+        (r.item, r.setting, r.round): (r.k, r.pearson_r, r.avg_change, r.pct_small, r.A, r.B, r.Equal, r.converge_reason)
+        for r in run.rounds.collect()
+    }
+    return ratings, rounds
+
+
+def test_place_never_changes_a_result(spark):
+    """Groups inside tasks, over tasks, and some of each: equal ratings, rounds and reasons.
+
+    The settings stop at different rounds, by different rules, in both groups.
+    """
+    verdicts, items = league(spark, n=10, groups=("x", "y", "z"))
+    more, _ = league(spark, n=10, seed=5, groups=("z",))
+    verdicts = verdicts.union(more)  # z has twice the verdicts of the others
+    settings = [
+        EloParams(max_rounds=4), EloParams(patience=2, k_start=8), EloParams(k_start=1, k_end=1, decay_rounds=5, max_rounds=9),
+        EloParams(min_r_delta_rounds=3, patience=50, max_rounds=8), EloParams(use_truth=False, fixed_k=3, max_rounds=6),
+    ]
+    runs = [
+        elo_replay(verdicts, items, settings, fits=True, group_verdicts=20, task_verdicts=inside)
+        for inside in (10**6, 0, 60)
+    ]
+    want_ratings, want_rounds = rows_of(runs[0])
+    want_fits = {(r.item, r.setting): r for r in runs[0].fits.collect()}
+    reasons = {v[-1] for v in want_rounds.values() if v[-1]}
+    assert len(reasons) > 2 and len({k[2] for k, v in want_rounds.items() if v[-1]}) > 2
+    for run in runs[1:]:
+        ratings, rounds = rows_of(run)
+        assert ratings == pytest.approx(want_ratings, abs=1e-7)
+        assert set(rounds) == set(want_rounds)
+        for key, row in rounds.items():
+            assert list(row[:4]) == pytest.approx(list(want_rounds[key][:4]), abs=1e-7)
+            assert row[4:] == want_rounds[key][4:]
+        for r in run.fits.collect():
+            other = want_fits[(r.item, r.setting)]
+            assert (r.n, r.pearson_r, r.r_squared) == pytest.approx((other.n, other.pearson_r, other.r_squared), abs=1e-7)
+
+
+def test_drawn_rounds_in_both_places(spark):
+    """A ``round`` column restricts each round, and a group whose rounds run out ends there."""
+    rows = [("d", g, "a", "b", "A", 0) for g in "xy"] + [("d", g, "a", "c", "B", 1) for g in "xy"] + [("d", "x", "b", "c", "A", 2)]
+    v = spark.createDataFrame(rows, V + ", round int")
+    items = spark.createDataFrame([("d", g, k, s) for g in "xy" for k, s in (("a", 0.1), ("b", 0.2), ("c", 0.3))], I)
+    one, two = (rows_of(elo_replay(v, items, EloParams(use_truth=False), task_verdicts=n)) for n in (10**6, 0))
+    assert one[0] == pytest.approx(two[0]) and len(one[0]) == 12
+    assert {k[:1] + k[2:] for k in one[1]} == {k[:1] + k[2:] for k in two[1]} == {("x", 1), ("x", 2), ("x", 3), ("y", 1), ("y", 2)}
+
+
+def test_groups_are_packed_by_size(spark):
+    from rankforge.operators.elo_replay import _units
+
+    rng = random.Random(4)
+    sizes = [(f"d{i % 7}", f"i{i}", rng.choice([1, 3, 50, 400])) for i in range(500)]
+    df = spark.createDataFrame(sizes, "dataset string, item string, _n long").repartition(5)
+    rows = _units(df, KEY, 1000.0).collect()
+    assert sorted(r._g for r in rows) == list(range(500))
+    held = {}
+    for r in rows:
+        held[r._unit] = held.get(r._unit, 0) + r._n
+    total = sum(n for *_, n in sizes)
+    assert sum(held.values()) == total and max(held.values()) <= 1400 and len(held) <= total / 1000 + 1
+
+
+def test_sweep_queries_run_whole_grids(spark, sf):
+    from rankforge.plans import queries
+
+    four = queries.elo_sweep_4d(spark, sf).collect()
+    assert len(four) == 384 * len({r.item for r in four})
+    assert all(r.rounds_to_converge >= 1 and (r.converge_reason or r.rounds_to_converge == 200) for r in four)
+    two = queries.elo_sweep_2d(spark, sf).collect()
+    assert len(two) == len({r.item for r in four}) and all(r.k_end <= r.k_start for r in two)
+
+
+def test_integer_parameters_are_numbers(spark):
+    p = EloParams(k_start=64, k_end=16, decay_rounds=1)
+    assert [type(p.k_at(r)) for r in range(3)] == [float] * 3 and p.k_at(2) == 16.0
 
 
 def test_blocks_without_known_items(spark):
