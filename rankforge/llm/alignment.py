@@ -29,11 +29,11 @@ from rankforge.llm.textops import list_array, text_runs
 from rankforge.session import write_scratch
 
 #: Merge steps of a piece, and pieces that advance together.
-PIECE, TOGETHER = 64, 1 << 15
+PIECE, TOGETHER = 64, 1 << 13
 #: Bytes of text of the documents that share a list of pairs (a longer text has its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Entries of a worker's cache of encoded words; it is emptied when full (speed only).
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 _END = np.iinfo(np.int64).max
 _SIDES = ("n_a", "n_b", "n_groups", "n_links")
@@ -64,7 +64,7 @@ def merge_links(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.nd
     """
     total = len(a) + len(b)
     if not total:
-        return (np.zeros(0, dtype=np.int64),) * 3
+        return (np.zeros(0, dtype=np.int32),) * 3
     pad = np.full(piece + 1, _END)
     end_a, end_b = np.concatenate([a, pad]), np.concatenate([b, pad])
     # behind its last token a list begins nowhere, so nothing overlaps there
@@ -77,7 +77,7 @@ def merge_links(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.nd
         i = starts[at : at + TOGETHER].copy()
         j = diagonals[at : at + TOGETHER] - i
         closed = np.zeros(len(i), dtype=np.int64)
-        seen_i, seen_j, seen_g = (np.empty((piece, len(i)), dtype=np.int64) for _ in range(3))
+        seen_i, seen_j, seen_g = (np.empty((piece, len(i)), dtype=np.int32) for _ in range(3))
         linked = np.empty((piece, len(i)), dtype=bool)
         for step in range(piece):
             x, y = end_a[i], end_b[j]
@@ -88,7 +88,7 @@ def merge_links(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.nd
             i += first
             j += ~first
         # a group that a piece leaves open is the first one of the next piece
-        seen_g += np.cumsum(closed) - closed + groups
+        seen_g += (np.cumsum(closed) - closed + groups).astype(np.int32)
         groups += int(closed.sum())
         kept = linked.T
         found.append((seen_i.T[kept], seen_j.T[kept], seen_g.T[kept]))
@@ -208,10 +208,15 @@ def _pair(a_json: str, b_model: bytes) -> TokenizerPair:
     return _PAIRS[key]
 
 
-def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """One little-endian int32 run per row."""
-    raw = np.ascontiguousarray(values, dtype="<i4").tobytes()
-    edges = np.concatenate([[0], np.cumsum(sizes)]) * 4
+def _number_type(pairs: int) -> np.dtype:
+    """What holds a number into a list of so many pairs."""
+    return np.dtype("<u2" if pairs <= 1 << 16 else "<u4")
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray, kind: np.dtype) -> pa.Array:
+    """One little-endian run of numbers per row."""
+    raw = values.astype(kind).tobytes()
+    edges = np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
     return pa.array([raw[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)], type=pa.binary())
 
 
@@ -239,7 +244,7 @@ def _align_block(pair: TokenizerPair, texts: list[str | None]) -> dict[str, pa.A
     return {
         "n_a": pa.array(rows_a), "n_b": pa.array(rows_b), "n_groups": pa.array(groups), "n_links": pa.array(links),
         "groups": pa.array(pair.group_strings(a, b, group_a, group_b, rows_a, rows_b), type=pa.string()),
-        "links": _binary(number, links),
+        "links": _binary(number, links, _number_type(len(pairs))),
         "pairs": pc.if_else(head, None, list_array(pairs, lists)),
         "pair_docs": pc.if_else(head, None, list_array(np.bincount(held, minlength=len(pairs)), lists)),
     }
@@ -255,6 +260,8 @@ def _align(batches: Iterator[pa.RecordBatch], a_json: str, b_model: bytes) -> It
             made = _align_block(pair, part.column("text").to_pylist())
             made = {"row": part.column("row"), "block": pa.array([block] * len(part)), **made}
             yield pa.RecordBatch.from_pydict(made)
+            del made
+            pa.default_memory_pool().release_unused()
             block += 1
 
 
@@ -301,8 +308,9 @@ def _sum_links(docs: pa.Table, counts: pa.Table) -> pa.Table:
     per[slot] = counts.column("n_docs").to_numpy()
     best[slot] = counts.column("is_best").to_numpy(zero_copy_only=False)
     raw = docs.column("links").to_pylist()
-    numbers = np.frombuffer(b"".join(raw), dtype="<i4")
-    edges = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
+    kind = _number_type(size)
+    numbers = np.frombuffer(b"".join(raw), dtype=kind)
+    edges = np.concatenate([[0], np.cumsum([len(r) // kind.itemsize for r in raw])])
 
     def total(values: np.ndarray) -> pa.Array:
         sums = np.concatenate([[0], np.cumsum(values[numbers])])[edges]
