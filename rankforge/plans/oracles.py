@@ -6,6 +6,9 @@ order. Orders, draws and splits use md5, which both engines compute alike.
 
 from __future__ import annotations
 
+from rankforge.operators.elo_rules import GRID_2D, EloParams, grid_params
+from rankforge.operators.sweep import optimizer_base
+from rankforge.plans.elo_oracles import replay_ctes, sync_ctes
 from rankforge.plans.testbed import CHECKPOINTS
 
 LABELS = ("A", "B", "Equal")
@@ -323,6 +326,36 @@ def sql(final: str, *names: str) -> str:
     return (f"with {ctes}\n" if ctes else "") + final
 
 
+def recursive(ctes: str, final: str) -> str:
+    """A query over verdicts and items with further, recursive CTEs."""
+    return "with recursive " + sql("", "verdicts", "items").removeprefix("with ").rstrip() + "," + ctes + "\n" + final
+
+
+def swept_sql() -> str:
+    """The small grid after two rounds; the first two stop rules alone can end a run there."""
+    settings = grid_params(GRID_2D, optimizer_base().with_(max_rounds=2))
+    rows = ", ".join(
+        f"({i + 1}, {p.k_start!r}::double, {p.k_end!r}::double, {p.decay_rounds!r}::double, {p.patience}::bigint)"
+        for i, p in enumerate(settings)
+    )
+    why = "case when c{r} / (2 * n) < 0.1 then 'avg_change<0.1' when s{r} / n > 0.95 then '95%_small' end"
+    return recursive(replay_ctes(settings, 2) + f""",
+stops as (select item, setting, {why.format(r=1)} why1, {why.format(r=2)} why2 from sums),
+kept as (
+  select dataset, item, setting, response_id, norm_response, case when why1 is not null then e1 else e2 end elo,
+    case when why1 is not null then 1 else 2 end::bigint rounds_to_converge, coalesce(why1, why2) converge_reason
+  from ended join stops using (item, setting)),
+scaled as (
+  select *, case when hi > lo then (elo - lo) / (hi - lo) else 0.0::double end score
+  from (select *, min(elo) over g lo, max(elo) over g hi from kept window g as (partition by item, setting)))""",
+        f"""select dataset, item, k_start, k_end, decay_rounds, patience, rounds_to_converge, converge_reason,
+        round(corr(norm_response, score), 6) pearson_r,
+        round(1 - sum((norm_response - score) ** 2) / (var_pop(norm_response) * count(*)), 6) r_squared,
+        round(avg(abs(norm_response - score)), 6) mae, round(sqrt(avg((norm_response - score) ** 2)), 6) rmse, count(*) n
+      from scaled join (values {rows}) t(setting, k_start, k_end, decay_rounds, patience) using (setting)
+      group by all""")
+
+
 def r6(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) {name}"
 
@@ -635,6 +668,14 @@ def all_sql() -> dict[str, str]:
         for r in (1, 2, 3)
     )
     put("elo_sync_history", history, "rating3")
+    out["elo_sync_converged"] = recursive(sync_ctes(EloParams()), """select dataset, item, round::bigint as round,
+        round(k, 6) k, round(r, 6) pearson_r, round(avg_change, 6) avg_change, wa "A", wb "B", we "Equal", reason converge_reason from rounds""")
+    out["elo_replay_2rounds"] = recursive(replay_ctes([EloParams()], 2), """select dataset, item, response_id,
+        round(norm_response, 6) norm_response, round(e2, 6) elo,
+        round((e2 - min(e2) over g) / (max(e2) over g - min(e2) over g), 6) elo_normalized
+        from ended window g as (partition by item)""")
+    out["elo_large_groups"] = out["elo_replay_2rounds"]
+    out["elo_sweep_2rounds"] = swept_sql()
     put("rating_metrics", """select dataset, item, n, round(pearson_r, 6) pearson_r,
         round(r_squared, 6) r_squared, round(mae, 6) mae, round(rmse, 6) rmse from quality""", "quality")
     put("dataset_averages", """select dataset, round(avg(pearson_r), 6) pearson_r,
