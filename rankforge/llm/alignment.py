@@ -13,6 +13,7 @@ link is a number into that list.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ from rankforge.session import write_scratch
 PIECE, TOGETHER = 64, 1 << 13
 #: Bytes of text of the documents that share a list of pairs (a longer text has its own).
 BLOCK_BYTES = 1 << 20
-#: Entries of a worker's cache of encoded words; it is emptied when full (speed only).
-CACHE_WORDS = 100_000
+#: Longer texts are encoded in segments of about so many characters, with equal tokens.
+SEGMENT_CHARS = 1 << 15
 
 _END = np.iinfo(np.int64).max
 _SIDES = ("n_a", "n_b", "n_groups", "n_links")
@@ -107,8 +108,14 @@ class TokenizerPair:
     """A byte-level tokenizer (A) and a sentence-piece model (B) over space + text."""
 
     # a space between two visible characters begins a token of either side
-    _uneven = re.compile(r"\s | \s| \Z")
     _cut = re.compile(r"(?<=\S)(?= \S)")
+    # The pattern of byte-level pre-tokenizers, and characters whose class has
+    # been the same in all versions of Unicode that two libraries may have been built with.
+    _pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    _plain = re.compile(
+        "[\x00-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u0900-\u0939\u2010-\u2027\u2030-\u205e\u20a0-\u20b5"
+        "\u3000-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]*"
+    )
 
     def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
@@ -130,10 +137,27 @@ class TokenizerPair:
         )
         # a token that holds a space behind another character would cross a cut
         self.cuttable = not any(re.search(rb"[^ ] ", t) for t in self.b_bytes)
-        self.words: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.ranked = self._ranked(json.loads(a_json))
         self.written = [self._written(len(self.a_bytes), ",|"), self._written(len(self.b_bytes), ",;")]
         self.last = np.array([str(i) for i in range(len(self.b_bytes))], dtype=object)
 
+    def _ranked(self, spec: dict):
+        """A quicker encoder of A over ranks, where its merges are in the order of their ids; else None."""
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        odd = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+        if model["type"] != "BPE" or any(odd) or spec.get("normalizer") or any(cut.get(k) != v for k, v in usual.items()):
+            return None
+        vocab, letters = model["vocab"], _byte_of_letter()
+        order = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        singles = [vocab.get(c) for c in letters]
+        if None in singles or max(singles) > min(order, default=256) or any(x >= y for x, y in zip(order, order[1:])):
+            return None
+        import tiktoken
+
+        ranks = {self.a_bytes[i]: i for i in [*singles, *order]}
+        return tiktoken.Encoding("a", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens={})
+
     def _b_token(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         if self.b.is_byte(i):
@@ -144,40 +168,33 @@ class TokenizerPair:
     def _written(n: int, marks: str) -> list[np.ndarray]:
         return [np.array([f"{i}{mark}" for i in range(n)], dtype=object) for mark in marks]
 
-    def _encode(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """Ids of both sides for space + word, and whether both give these bytes back."""
-        out = []
-        of_a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for w, found in zip(words, of_a, strict=True):
-            a, b = found.ids, self.b.encode(w)
-            raw = (" " + w).encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            out.append((np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), same))
-        return out
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Little-endian ids of both sides; both empty if either does not give space + text."""
-        whole = " " + text
-        if not self.cuttable:
-            words = [text]
-        elif self._uneven.search(whole):
-            words = [w[1:] for w in self._cut.split(whole)]
-        else:
-            words = whole.split(" ")[1:]
-        known = self.words
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(set(words))
-            made = dict(zip(missing, self._encode(missing), strict=True))
-            known.update((w, ids) for w, ids in made.items() if len(w) < 64)
-            parts = [known[w] if w in known else made[w] for w in words]
-        else:
-            parts = [known[w] for w in words]
-        if not all([p[2] for p in parts]):
-            return b"", b""
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+    def _segments(self, text: str) -> list[str]:
+        """Parts of space + text without their first space, cut where no token crosses."""
+        if len(text) <= SEGMENT_CHARS or not self.cuttable:
+            return [text]
+        out, held, size = [], [], 0
+        for part in self._cut.split(" " + text):
+            held.append(part)
+            size += len(part)
+            if size >= SEGMENT_CHARS:
+                out.append("".join(held)[1:])
+                held, size = [], 0
+        return out + (["".join(held)[1:]] if held else [])
+
+    def _encode_a(self, segment: str) -> list[int]:
+        if self.ranked is not None and self._plain.fullmatch(segment):
+            return self.ranked.encode_ordinary(" " + segment)
+        return self.a.encode(" " + segment, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides; both empty if either does not give space + text."""
+        segments = self._segments(text)
+        a = np.array([i for part in segments for i in self._encode_a(part)], dtype=np.int32)
+        b = np.array([i for part in self.b.encode(segments, num_threads=1) for i in part], dtype=np.int32)
+        raw = (" " + text).encode()
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in b.tolist()]) != raw:
+            return a[:0], b[:0]
+        return a, b
 
     def group_strings(self, a, b, group_a, group_b, rows_a, rows_b) -> list[str]:
         """Each row's groups as ``a1,a2|b1;a3|b2,b3``."""
@@ -221,11 +238,11 @@ def _binary(values: np.ndarray, sizes: np.ndarray, kind: np.dtype) -> pa.Array:
 
 
 def _align_block(pair: TokenizerPair, texts: list[str | None]) -> dict[str, pa.Array]:
-    coded = [pair.encode(t) if t else (b"", b"") for t in texts]
-    a = np.frombuffer(b"".join([x for x, _ in coded]), dtype="<i4")
-    b = np.frombuffer(b"".join([y for _, y in coded]), dtype="<i4")
-    rows_a = np.array([len(x) // 4 for x, _ in coded], dtype=np.int64)
-    rows_b = np.array([len(y) // 4 for _, y in coded], dtype=np.int64)
+    none = np.zeros(0, dtype=np.int32)
+    coded = [pair.encode(t) if t else (none, none) for t in texts]
+    a, b = np.concatenate([x for x, _ in coded]), np.concatenate([y for _, y in coded])
+    rows_a = np.array([len(x) for x, _ in coded], dtype=np.int64)
+    rows_b = np.array([len(y) for _, y in coded], dtype=np.int64)
     i, j, group = merge_links(np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b]))
     group_a, group_b = np.empty(len(a), dtype=np.int64), np.empty(len(b), dtype=np.int64)
     group_a[i], group_b[j] = group, group
