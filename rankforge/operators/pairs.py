@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.hashing import key_hash, order_number, uniform
+from rankforge.functions.permutation import pair_of, permutation
 from rankforge.functions.verdicts import winner_of
 from rankforge.operators.columns import GROUP_KEYS, all_present, digest, require_columns
 from rankforge.operators.ordering import lowest_by_hash, row_index
@@ -113,51 +114,62 @@ def size_histogram(df: DataFrame, keys: list[str] = GROUP_KEYS) -> DataFrame:
     return sizes.groupBy("n").agg(F.count("*").alias("groups"))
 
 
+#: Draws of one group and round that a task makes at a time.
+DRAWS_PER_RUN = 100_000
+
+
+def draw_pairs(
+    items: DataFrame, rounds: int, num_pairs: int | None = None, by: list[str] | None = None,
+    seed: int = 42, key: str = "response_id", first_round: int = 0,
+) -> DataFrame:
+    """Random distinct pairs of each round: ``by``, round, pair_in_round, response1_id, response2_id.
+
+    A round takes ``num_pairs`` unordered pairs of every group (default: half as many as
+    it has items), all of them where there are fewer. The pairs of a group are numbered,
+    never enumerated: draw d of a round is pair number p(d) under the permutation that
+    group, round and seed name. So draws cannot collide, each stands alone, and the work is
+    that of the pairs drawn, whatever their share of all pairs. Items need distinct ids
+    within a group; groups of one item have no pairs.
+    """
+    by = list(by or [])
+    indexed = row_index(items.select(*by, key), [key], by, name="_i")
+    sizes = indexed.groupBy(*by).agg(F.count("*").alias("_n"))
+    possible = F.shiftright(F.col("_n") * (F.col("_n") - 1), 1)
+    wanted = F.lit(num_pairs).cast("bigint") if num_pairs is not None else F.floor(F.col("_n") / 2)
+    orders = sizes.select(
+        *by, F.col("_n"), possible.alias("_all"), F.least(wanted, possible).alias("_m"),
+        F.explode(F.sequence(F.lit(first_round), F.lit(first_round + rounds - 1))).alias("round"),
+    ).filter(F.col("_m") > 0)
+    # a large order is dealt over tasks in runs before it is written out
+    runs = orders.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / DRAWS_PER_RUN))))
+    runs = runs.repartition(*by, "round", "_run")
+    start = (F.col("_run") * DRAWS_PER_RUN).cast("bigint")
+    draws = runs.withColumn(
+        "pair_in_round", F.explode(F.sequence(start, F.least(start + DRAWS_PER_RUN, F.col("_m")) - 1))
+    )
+    named = order_number(key_hash(*by, "round", seed=seed))
+    numbered = draws.withColumn("_k", permutation(F.col("pair_in_round"), F.col("_all"), named))
+    low, high = pair_of(F.col("_k"))
+    pairs = numbered.select(*by, "round", "pair_in_round", low.alias("_lo"), high.alias("_hi"))
+    for column, side in (("_lo", "response1_id"), ("_hi", "response2_id")):
+        names = indexed.select(*by, F.col("_i").alias(column), F.col(key).alias(side))
+        pairs = pairs.join(names, [*by, column])
+    return pairs.select(*by, "round", "pair_in_round", "response1_id", "response2_id")
+
+
 def random_pairs(
     items: DataFrame, num_pairs: int, seed: int = 42, round_number: int = 0,
     key: str = "response_id",
 ) -> DataFrame:
-    """``num_pairs`` distinct unordered pairs of items, uniform over all pairs.
+    """``num_pairs`` distinct unordered pairs of items, one round of ``draw_pairs``.
 
-    Pairs are drawn by number, never enumerated: the items get dense indexes, draws of
-    (i, j) come from keyed hashes, repeated draws drop out and enough spare draws are
-    made to fill the order; the first ``num_pairs`` distinct ones by draw number stay.
+    More than there are is an error.
     """
-    spark = items.sparkSession
-    indexed = row_index(items, [key], name="_i").persist()
-    n = indexed.count()
+    n = items.count()
     possible = n * (n - 1) // 2
     if num_pairs > possible:
         raise ValueError(f"{num_pairs} pairs wanted, only {possible} exist")
-    if num_pairs * 2 > possible:
-        # a dense order: number all pairs i < j and keep the first by hash
-        numbers = spark.range(possible).withColumnRenamed("id", "_k")
-        j = F.floor((1 + F.sqrt(1 + 8 * F.col("_k").cast("double"))) / 2).cast("bigint")
-        low = (F.col("_j") * (F.col("_j") - 1) / 2).cast("bigint")
-        draws = numbers.withColumn("_j", j)
-        draws = draws.withColumn(
-            "_j", F.when(low > F.col("_k"), F.col("_j") - 1)
-            .when(F.col("_k") - low >= F.col("_j"), F.col("_j") + 1).otherwise(F.col("_j"))
-        ).withColumn("_lo", F.col("_k") - low).withColumnRenamed("_j", "_hi")
-        distinct = draws.select("_lo", "_hi", key_hash("_lo", "_hi", F.lit(round_number), seed=seed).alias("_h"))
-    else:
-        def index(side: str) -> Column:
-            return order_number(key_hash("id", F.lit(round_number), F.lit(side), seed=seed)) % n
-
-        # at most half of all pairs are wanted: 4x draws cover collisions and i == j
-        draws = spark.range(4 * num_pairs + 64).select("id", index("a").alias("a"), index("b").alias("b"))
-        draws = draws.filter(F.col("a") != F.col("b")).select(
-            "id", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")
-        )
-        distinct = draws.groupBy("_lo", "_hi").agg(F.min("id").alias("_h"))
-        distinct = distinct.withColumn("_h", F.lpad(F.col("_h").cast("string"), 20, "0"))
-    chosen = row_index(distinct, ["_h", "_lo", "_hi"], name="_draw").filter(F.col("_draw") < num_pairs)
-    a = indexed.select(F.col("_i").alias("_lo"), F.col(key).alias("response1_id"))
-    b = indexed.select(F.col("_i").alias("_hi"), F.col(key).alias("response2_id"))
-    return chosen.join(a, "_lo").join(b, "_hi").select(
-        F.lit(round_number).alias("round"), F.col("_draw").alias("pair_in_round"),
-        "response1_id", "response2_id",
-    )
+    return draw_pairs(items, 1, num_pairs, seed=seed, key=key, first_round=round_number)
 
 
 def sample_pairs(

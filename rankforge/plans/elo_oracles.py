@@ -6,6 +6,7 @@ playing the games one by one, in the order of blocks and keyed hashes of the ope
 
 from __future__ import annotations
 
+from rankforge.functions import permutation
 from rankforge.operators.elo_replay import GROUP_VERDICTS
 from rankforge.operators.elo_rules import EloParams
 
@@ -28,8 +29,56 @@ def _list(values) -> str:
     return "[" + ", ".join(f"{float(v)!r}::double" for v in values) + "]"
 
 
-def replay_ctes(settings: list[EloParams], rounds: int) -> str:
-    """CTEs up to ``ended``: item, setting (1-based), response_id, norm_response, e1 .. e<rounds>,
+def walk_ctes(numbers: str) -> str:
+    """CTE ``walked``: column ``k``, where the permutation sends each row of ``numbers``, a CTE
+    with id, number, size and key."""
+    turns, (m1, m2), low = permutation.ROUNDS, permutation.FACTORS, permutation._BITS32
+    h = f"(((case when j % 2 = 0 then r else c end) + key + j::bigint * {0x3C6EF372}) & {low})"
+    return f"""
+grid as materialized (
+  select id, size, key, number, w, ceil(size / w)::bigint t
+  from (select *, greatest(1, ceil(sqrt(size)))::bigint w from {numbers})),
+walk as (
+  select id, size, key, w, t, number % w c, number // w r, 0 j, false moved from grid
+  union all
+  select id, size, key, w, t, case when j % 2 = 0 then (c + h) % w else c end,
+    case when j % 2 = 1 then (r + h) % t else r end, (j + 1) % {turns}, true
+  from (select *, xor(h2, h2 >> 16) h from (
+    select *, (xor(h1, h1 >> 16) * {m2}) & {low} h2 from (
+      select *, (xor(h0, h0 >> 16) * {m1}) & {low} h1 from (
+        select *, {h} h0 from walk where not moved or j > 0 or c + w * r >= size))))),
+walked as materialized (
+  select id, c + w * r k from walk where moved and j = 0 and c + w * r < size)"""
+
+
+def drawn_ctes(source: str, by: str, rounds: int, num_pairs: str = "n // 2", seed: int = 42) -> str:
+    """CTE ``drawn``: by, round, pair_in_round, response1_id, response2_id of items in ``source``."""
+    keys = f"{by}, " if by else ""
+    on = " and ".join(["true", *[f"x.{c.strip()} = d.{c.strip()}" for c in by.split(",") if c.strip()]])
+    name = " || '_' || ".join([*[c.strip() for c in by.split(",") if c.strip()], "round", f"'{seed}'"])
+    return f"""
+numbered as materialized (
+  select {keys}response_id, row_number() over ({'partition by ' + by if by else ''} order by response_id) - 1 i from {source}),
+orders as materialized (
+  select *, n * (n - 1) // 2 size, least({num_pairs}, n * (n - 1) // 2) m
+  from (select {keys}count(*) n from numbered group by all), range({rounds}) t(round)),
+draws as materialized (
+  select {keys}round, d number, size, {_hash(name)} & {permutation._BITS32} key,
+    row_number() over () id
+  from (select *, unnest(range(m)) d from orders)),{walk_ctes("draws")},
+picked as materialized (
+  select {keys}round, number pair_in_round, k - hi * (hi - 1) // 2 lo, hi
+  from (select *, case when g * (g - 1) // 2 > k then g - 1 when g * (g + 1) // 2 <= k then g + 1 else g end hi
+    from (select *, floor((1 + sqrt(1 + 8 * k::double)) / 2)::bigint g from draws join walked using (id)))),
+drawn as materialized (
+  select d.* exclude (lo, hi), x.response_id response1_id, y.response_id response2_id
+  from picked d join numbered x on {on} and x.i = d.lo join numbered y on {on.replace("x.", "y.")} and y.i = d.hi)"""
+
+
+def replay_ctes(settings: list[EloParams], rounds: int, drawn: bool = False) -> str:
+    """With ``drawn`` the verdicts have a round and are played in it alone.
+
+    CTEs up to ``ended``: item, setting (1-based), response_id, norm_response, e1 .. e<rounds>,
     and ``sums``: item, setting, n and per round the summed change and the small changes."""
     many = len(settings)
     ks = ", ".join(_list(p.k_at(r) for p in settings) for r in range(rounds))
@@ -58,8 +107,8 @@ known as materialized (
   select v.dataset, v.item, response1_id a, response2_id b,
     case winner when 'A' then 1.0 when 'B' then 0.0 else 0.5 end::double s,
     {_hash("response1_id || '_' || response2_id || '_42'")} h,
-    {_hash("response1_id || '_block'")} ha, {_hash("response2_id || '_block'")} hb
-  from verdicts v
+    {_hash("response1_id || '_block'")} ha, {_hash("response2_id || '_block'")} hb{', v.round drawn' if drawn else ''}
+  from {'judged' if drawn else 'verdicts'} v
   join items x on x.item = v.item and x.response_id = v.response1_id
   join items y on y.item = v.item and y.response_id = v.response2_id
   where response1_id <> response2_id),
@@ -71,7 +120,7 @@ games as materialized (
   select *, row_number() over (order by item, round, step, z, a, b, s) gid
   from (select item, a, b, s, round, {mixed} z, case when lo = hi then 0
       else 1 + (case when hi = nb - 1 then 2 * lo else lo + hi end) % greatest(nb - 1, 1) end step
-    from met, range({rounds}) t(round))),
+    from met, range({rounds}) t(round){' where met.drawn = t.round' if drawn else ''})),
 sides as materialized (
   select gid, item, player, row_number() over (partition by item, player order by gid) nth
   from (select gid, item, a player from games union all select gid, item, b from games)),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from rankforge.operators.elo_rules import GRID_2D, EloParams, grid_params
 from rankforge.operators.sweep import optimizer_base
-from rankforge.plans.elo_oracles import replay_ctes, sync_ctes
+from rankforge.plans.elo_oracles import drawn_ctes, replay_ctes, sync_ctes
 from rankforge.plans.testbed import CHECKPOINTS
 
 LABELS = ("A", "B", "Equal")
@@ -356,6 +356,23 @@ scaled as (
       group by all""")
 
 
+def random_rounds_sql(rounds: int) -> str:
+    """Random pairs of three rounds, judged, and their ratings."""
+    scored = CTE["events_scored"].replace("from events_pairs)", "from drawn_pairs)")
+    return recursive(drawn_ctes("items", "dataset, item", rounds) + f""",
+drawn_pairs as materialized (
+  select d.*, a.norm_response norm_response1, b.norm_response norm_response2
+  from drawn d join items a on a.item = d.item and a.response_id = d.response1_id
+    join items b on b.item = d.item and b.response_id = d.response2_id),
+drawn_scored as materialized ({scored}),
+judged as materialized (
+  select *, {argmax("logit_a", "logit_b", "logit_equal")} winner from drawn_scored),"""
+        + replay_ctes([EloParams()], rounds, drawn=True),
+        f"""select dataset, item, response_id, round(norm_response, 6) norm_response, round(e{rounds}, 6) elo
+      from (select dataset, item, response_id, norm_response, coalesce(e{rounds}, 1500.0::double) e{rounds}
+        from items left join ended using (dataset, item, response_id, norm_response))""")
+
+
 def r6(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) {name}"
 
@@ -676,6 +693,12 @@ def all_sql() -> dict[str, str]:
         from ended window g as (partition by item)""")
     out["elo_large_groups"] = out["elo_replay_2rounds"]
     out["elo_sweep_2rounds"] = swept_sql()
+    out["elo_random_rounds"] = random_rounds_sql(3)
+    loose = "select item || '|' || response_id response_id from items"
+    out["random_pairs"] = recursive(
+        f"\nloose as materialized ({loose})," + drawn_ctes("loose", "", 1, "(select count(*) from events)"),
+        "select round::bigint as round, pair_in_round, response1_id, response2_id from drawn",
+    )
     put("rating_metrics", """select dataset, item, n, round(pearson_r, 6) pearson_r,
         round(r_squared, 6) r_squared, round(mae, 6) mae, round(rmse, 6) rmse from quality""", "quality")
     put("dataset_averages", """select dataset, round(avg(pearson_r), 6) pearson_r,

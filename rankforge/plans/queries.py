@@ -26,7 +26,7 @@ from rankforge.operators.elo_sync import elo_sync
 from rankforge.operators.ordering import row_index
 from rankforge.operators.sweep import GRID_2D, best_setting, elo_sweep, optimizer_base
 from rankforge.plans import testbed as T
-from rankforge.plans.build import build_pair_dataset, rate_all
+from rankforge.plans.build import build_pair_dataset, rate_all, rate_random_rounds
 from rankforge.session import scratch_path
 from rankforge.sources import tables as IO
 from rankforge.streaming import jobs as X
@@ -147,7 +147,7 @@ def size_histogram(spark, sf):
 def random_pairs(spark, sf):
     items = T.events_items(spark, sf).withColumn("response_id", F.concat_ws("|", "item", "response_id"))
     n = spark.read.parquet(f"{sf}/events.parquet").count()
-    return P.random_pairs(items, n, SEED)
+    return longs(P.random_pairs(items, n, SEED), "round")
 
 
 def _graded(spark, sf) -> DataFrame:
@@ -603,6 +603,13 @@ def elo_rounds(spark, sf):
     return _replay(spark, sf).rounds
 
 
+@query
+def elo_random_rounds(spark, sf):
+    """Three rounds of random pairs a group, half as many pairs as items, judged and replayed."""
+    run = rate_random_rounds(T.events_items(spark, sf), T.event_logits, rounds=3, native=True)
+    return rounded(run.ratings.select("dataset", "item", "response_id", "norm_response", "elo"), "norm_response", "elo")
+
+
 @query
 def elo_large_groups(spark, sf):
     """The form for groups beyond one task: two rounds, every group over many tasks."""

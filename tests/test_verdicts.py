@@ -43,7 +43,7 @@ def test_verdict_json_and_checkpoint_names(spark):
     got = [r.v and tuple(r.v) for r in df.select(parse_verdict_json(F.col("r")).alias("v")).collect()]
     assert got == [("B", 0.5), ("A", 0.0), None, None, ("Equal", 0.0)]
     names = spark.createDataFrame([("checkpoint-30000",), ("checkpoint-x",), ("runs",), ("checkpoint-32000x",)], "n string")
-    assert [r[0] for r in names.select(checkpoint_step(F.col("n"))).collect()] == [30000, None, None]
+    assert [r[0] for r in names.select(checkpoint_step(F.col("n"))).collect()] == [30000, None, None, None]
 
 
 def test_rebuilt_probabilities(spark):
