@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.functions.special import pearson_p_value
 from rankforge.functions.verdicts import encode_label
 from rankforge.operators.ordering import row_index
 from rankforge.schemas import LABELS
@@ -148,9 +148,9 @@ def running_metrics(
 
 
 def student_t_tail(r: float, n: int) -> float:
-    """Two-sided p-value of a Pearson r over n points.
+    """Two-sided p-value of a Pearson r over n points, for a single value on the driver.
 
-    The tail is a regularised incomplete beta function, evaluated by its continued
+    Tables use ``functions.special.pearson_p_value``. The tail is a regularised incomplete beta function, evaluated by its continued
     fraction (modified Lentz recurrence).
     """
     if n is None or r is None or math.isnan(r) or n < 2:
@@ -187,16 +187,6 @@ def student_t_tail(r: float, n: int) -> float:
     return 1.0 - math.exp(logs) * fraction(b, a, 1.0 - x) / b
 
 
-def p_value(r: Column, n: Column) -> Column:
-    """Two-sided p-value; meant for aggregated rows, one per group."""
-
-    @F.pandas_udf("double")
-    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([student_t_tail(x, int(k)) for x, k in zip(r, n)])
-
-    return tail(r, n)
-
-
 def pearson(x: Column, y: Column) -> Column:
     """Pearson r as an aggregate; NULL if either side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
@@ -231,7 +221,7 @@ def rating_metrics(
         values = {k: F.round(v, round_to) for k, v in values.items()}
     out = sums.withColumns(values)
     if with_p:
-        out = out.withColumn("p_value", F.when(enough & F.col("_r").isNotNull(), p_value(F.col("_r"), F.col("n"))))
+        out = out.withColumn("p_value", F.when(enough & F.col("_r").isNotNull(), pearson_p_value(F.col("_r"), F.col("n"))))
     return out.drop("_r", "_var", "_mse", "_mae")
 
 

@@ -373,6 +373,58 @@ judged as materialized (
         from items left join ended using (dataset, item, response_id, norm_response))""")
 
 
+def ratios_sql(val: float = 0.10, test: float = 0.20, tol: float = 1e-3, steps: int = 30) -> str:
+    """The two nested bisections, one evaluation per step of a recursive query."""
+    goals = (1 - val - test, val, test)
+
+    def counted(rows: str) -> str:
+        return f"list_sum(list_transform(h, lambda x: x.g * (({rows}) * (({rows}) - 1) // 2)::double))"
+
+    a, b = "floor(x.n * train)::bigint", "floor(x.n * mid)::bigint"
+    hit = " and ".join(f"abs(s[{i + 1}] / all_pairs - {g!r}::double) < {tol!r}" for i, g in enumerate(goals))
+    return sql("", "orders_raw").replace("with ", "with recursive ", 1).rstrip() + f""",
+hist as materialized (
+  select list({{'n': n, 'g': g}} order by n) h from (select n, count(*)::double g
+    from (select count(*) n from orders_raw group by item, task, prompt) group by 1)),
+search as (
+  select h, 1 o, 0 i, 0.4::double low, 0.85::double high, 0.05::double vlow, 0.25::double vhigh, false ended,
+    null::double train, null::double mid, null::double[] s from hist
+  union all
+  select h, case when inner_end and not ended then o + 1 else o end, case when inner_end then 0 else i + 1 end,
+    case when inner_end and not ended and less then train else low end,
+    case when inner_end and not ended and not less then train else high end,
+    case when inner_end then 0.05 when vless then mid else vlow end,
+    case when inner_end then 0.25 when vless then vhigh else mid end, ended, train, mid, s
+  from (select *, inner_end and (({hit}) or o = {steps}) ended, s[1] / all_pairs < {goals[0]!r}::double less
+    from (select *, abs(s[2] / all_pairs - {val!r}::double) < {tol!r} or i + 1 = {steps} inner_end,
+        s[2] / all_pairs < {val!r}::double vless
+      from (select *, list_sum(s) all_pairs
+        from (select *, [{counted(a)}, {counted(b)}, {counted(f"x.n - {a} - {b}")}] s
+          from (select h, o, i, low, high, vlow, vhigh, (low + high) / 2 train, (vlow + vhigh) / 2 mid
+            from search where not ended)))))),
+solved as (select * from search where ended)
+select s[1]::bigint train_pairs, s[2]::bigint val_pairs, s[3]::bigint test_pairs,
+  round(s[1] / list_sum(s), 6) train_ratio, round(s[2] / list_sum(s), 6) val_ratio,
+  round(s[3] / list_sum(s), 6) test_ratio, round(train, 6) response_train, round(mid, 6) response_val from solved"""
+
+
+def p_values_sql() -> str:
+    """p by Simpson's rule on the integral of cos(theta) ** (n - 3), which the beta integral is."""
+    nodes, a = 2000, "((n - 2) / 2.0::double)"
+    height = (
+        f"list_sum(list_transform(range({nodes + 1}), lambda i: (case when i = 0 or i = {nodes} then 1 when i % 2 = 1 "
+        f"then 4 else 2 end) * pow(cos(lo + i * (pi() / 2 - lo) / {nodes}), n - 3)))"
+    )
+    beta = f"exp(lgamma({a}) + lgamma(0.5) - lgamma({a} + 0.5))"
+    return sql(f"""select dataset, prompt, n, round(r, 6) pearson_r,
+        round(least(1, 2 / {beta} * {height} * (pi() / 2 - lo) / {3 * nodes}), 6) p_value
+      from (select *, asin(least(1, abs(r))) lo from (
+        select r.dataset, i.prompt, count(*) n, case when min(r.norm_response) < max(r.norm_response)
+            and min(elo_normalized) < max(elo_normalized) then corr(r.norm_response, elo_normalized) end r
+        from rated r join items i using (dataset, item, response_id) group by 1, 2))
+      where n >= 3 and r is not null""", "rated", "items")
+
+
 def r6(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) {name}"
 
@@ -701,6 +753,8 @@ def all_sql() -> dict[str, str]:
     )
     put("rating_metrics", """select dataset, item, n, round(pearson_r, 6) pearson_r,
         round(r_squared, 6) r_squared, round(mae, 6) mae, round(rmse, 6) rmse from quality""", "quality")
+    out["rating_p_values"] = p_values_sql()
+    out["response_ratios"] = ratios_sql()
     put("dataset_averages", """select dataset, round(avg(pearson_r), 6) pearson_r,
         round(avg(r_squared), 6) r_squared, round(avg(mae), 6) mae, round(avg(rmse), 6) rmse,
         sum(n)::bigint n_items, (select count(*) from verdicts) n_pairs from quality group by 1""",

@@ -280,10 +280,12 @@ def pair_ratio_eval(spark, sf):
 @query
 def response_ratios(spark, sf):
     raw = T.orders_raw(spark, sf)
-    train, val = R.solve_response_ratios(raw)
-    return R.pair_ratio_eval(raw, train, val).withColumns(
+    solved = R.response_ratios(raw)
+    train, val = solved.first()
+    out = R.pair_ratio_eval(raw, train, val).withColumns(
         {"response_train": F.lit(train), "response_val": F.lit(val)}
     )
+    return rounded(out, "train_ratio", "val_ratio", "test_ratio", "response_train", "response_val")
 
 
 @query
@@ -553,6 +555,15 @@ def rating_metrics(spark, sf):
     return rounded(out, "pearson_r", "r_squared", "mae", "rmse")
 
 
+@query
+def rating_p_values(spark, sf):
+    """Rank quality per user: groups of a few items, where p-values say something."""
+    users = T.events_items(spark, sf).select("dataset", "item", "response_id", "prompt")
+    ratings = _sync(spark, sf).ratings.join(users, ["dataset", "item", "response_id"])
+    out = V.rating_metrics(ratings, ["dataset", "prompt"]).select("dataset", "prompt", "n", "pearson_r", "p_value")
+    return rounded(out.filter("n >= 3 and pearson_r is not null"), "pearson_r", "p_value")
+
+
 @query
 def dataset_averages(spark, sf):
     ratings = _sync(spark, sf).ratings
