@@ -43,8 +43,10 @@ def _with_repeat_words(staged: DataFrame) -> DataFrame:
     """Add n_repeat_words: words inside three-word windows that occur at least twice.
 
     A window becomes one long: its hash above its position, so that one primitive sort
-    brings equal windows together and keeps their places. Each array is a column of its
-    own, as an expression inside a lambda would be computed anew for every element.
+    brings equal windows together and keeps their places. The longer a text, the fewer bits
+    the hash keeps, so neighbours of one hash are sorted again with their words behind it and
+    count only if these are equal. Each array is a column of its own, as an expression inside
+    a lambda would be computed anew for every element.
     """
     last = F.greatest(F.size("words") - 2, F.lit(0))
     call = F.call_function
@@ -61,7 +63,21 @@ def _with_repeat_words(staged: DataFrame) -> DataFrame:
         "twice", F.filter("placed", lambda x, i: F.coalesce(near[0](i), F.lit(False)) | F.coalesce(near[1](i), F.lit(False)))
     )
     place = call("shiftleft", F.lit(1).cast("bigint"), F.col("bits")) - 1
-    staged = staged.withColumn("at", F.sort_array(F.transform("twice", lambda x: x.bitwiseAND(place))))
+    staged = staged.withColumn("place", place)
+
+    def told(x: Column) -> Column:
+        p = x.bitwiseAND(F.col("place")).cast("int")
+        named = [F.get("words", p + i).alias(c) for i, c in enumerate("abc")]
+        return F.struct(call("shiftright", x, F.col("bits")).alias("k"), *named, p.alias("p"))
+
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+    staged = staged.withColumn("told", F.sort_array(F.transform("twice", told)))
+    staged = staged.withColumn(
+        "equal", F.filter("told", lambda x, i: same(x, F.get("told", i + 1)) | same(x, F.get("told", i - 1)))
+    )
+    staged = staged.withColumn("at", F.sort_array(F.transform("equal", lambda x: x["p"])))
     three = F.lit(3).cast("bigint")
     covered = F.transform("at", lambda p, i: F.least(three, F.coalesce(F.get("at", i + 1) - p, three)))
     return staged.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda s, x: s + x))

@@ -17,7 +17,7 @@ from rankforge.llm.chat import format_conversations, read_loss, read_turns
 from rankforge.llm.langid import classify, predict, train
 from rankforge.llm.licenses import BASE_PHRASES, TEMPLATES, scan_licenses
 from rankforge.llm.mixing import mix_sources, mixed_documents, source_targets
-from rankforge.llm.quality import estimate, quality
+from rankforge.llm.quality import estimate, quality, quality_measures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -141,6 +141,19 @@ def test_quality_query(spark, sf, texts):
             assert r.kept == (label[r.doc_id] == 1)
 
 
+def test_repeated_windows_of_very_long_texts(spark):
+    """Hashes of few bits meet by chance in a long text; equal words decide."""
+    n = 4_000_000
+    different = spark.range(1).select(
+        F.lit(1).cast("bigint").alias("doc_id"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), F.hex(i))), " ").alias("text"),
+    )
+    got = quality_measures(different).select("n_words", "n_repeat_words", "n_different").first()
+    assert tuple(got) == (n, 0, n)
+    some = different.withColumn("text", F.concat("text", F.lit(" w1 w2 w3 w4 x w1 w2 w3")))
+    assert quality_measures(some).first().n_repeat_words == 4 + 4 + 3
+
+
 def test_quality_odd(odd, nothing):
     rows = quality(odd).collect()
     assert len(rows) == 15 and all(r.kept is not None for r in rows) and quality(nothing).count() == 0
