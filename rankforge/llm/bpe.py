@@ -42,7 +42,9 @@ class PrefixCoder:
             elif (last := self._last_merge(data)) is not None:
                 self.parts[i] = last
         reachable = [self.token[i] for i in self.parts]
-        self.reachable = {b: ranks[b] for b in reachable}
+        # a token's id; -1 for bytes that only begin one
+        self.reachable = dict.fromkeys((b[:n] for b in reachable for n in range(1, len(b))), -1)
+        self.reachable |= {b: ranks[b] for b in reachable}
         self.longest = max(map(len, reachable))
         self.sizes = {i: len(b) for i, b in self.token.items()}
         self._fits: dict[int, bool] = {}
@@ -90,11 +92,17 @@ class PrefixCoder:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Last tokens of all prefixes of ``piece``, given those of its first bytes."""
-        get, known, longest = self.reachable.get, self._fits.get, self.longest
+        get, known = self.reachable.get, self._fits.get
+        low = max(0, len(last) + 1 - self.longest)
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for start in range(low, end):
                 token = get(piece[start:end])
                 if token is None:
+                    # no token goes on from here, and none will as the prefix grows
+                    if start == low:
+                        low += 1
+                    continue
+                if token < 0:
                     continue
                 if start == 0:
                     break
@@ -213,13 +221,40 @@ def _encode(batches: Iterator[pa.RecordBatch], content: bytes, pattern: str) ->
             )
 
 
+class Decoder:
+    """Bytes of token ids: one gather from all tokens laid end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for data, i in ranks.items():
+            self.sizes[i] = len(data)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        ordered = sorted(ranks.items(), key=lambda x: x[1])
+        self.flat = np.frombuffer(b"".join(data for data, _ in ordered), dtype=np.uint8)
+
+    def decode(self, rows: list[bytes]) -> pa.Array:
+        """The text of each row of little-endian ids."""
+        ids = np.frombuffer(b"".join(rows), dtype="<u4")
+        width = self.sizes[ids]
+        stop = np.cumsum(width)
+        source = np.arange(int(width.sum())) + np.repeat(self.begin[ids] - (stop - width), width)
+        text = self.flat[source].tobytes()
+        edges = np.concatenate([[0], stop])[np.cumsum([0, *[len(r) // 4 for r in rows]])]
+        return pa.array([text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], type=pa.binary())
+
+
+_DECODERS: dict[bytes, Decoder] = {}
+
+
+def _decoder(content: bytes) -> Decoder:
+    key = hashlib.md5(content).digest()
+    if key not in _DECODERS:
+        _DECODERS[key] = Decoder(read_ranks(content))
+    return _DECODERS[key]
+
+
 def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> Iterator[pa.RecordBatch]:
-    ranks = read_ranks(content)
-    sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-    for data, i in ranks.items():
-        sizes[i] = len(data)
-    begin = np.cumsum(sizes) - sizes
-    flat = np.frombuffer(b"".join(data for data, _ in sorted(ranks.items(), key=lambda x: x[1])), dtype=np.uint8)
+    decoder = _decoder(content)
     for batch in batches:
         names = batch.schema.names
         at = 0
@@ -230,18 +265,18 @@ def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> I
                 held += lengths[end]
                 end += 1
             part = batch.slice(at, end - at)
-            rows = [np.frombuffer(x or b"", dtype="<u4") for x in part.column(column).to_pylist()]
-            ids = np.concatenate(rows)
-            width = sizes[ids]
-            stop = np.cumsum(width)
-            source = np.arange(int(width.sum())) + np.repeat(begin[ids] - (stop - width), width)
-            text = flat[source].tobytes()
-            edges = np.concatenate([[0], stop])[np.cumsum([0, *map(len, rows)])]
-            decoded = pa.array([text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], type=pa.binary())
+            decoded = decoder.decode([x or b"" for x in part.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*names, "decoded"])
             at = end
 
 
+def _roundtrip(batches: Iterator[pa.RecordBatch], content: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
+    decoder = _decoder(content)
+    for batch in _encode(batches, content, pattern):
+        decoded = decoder.decode(batch.column("ids").to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, decoded], ["row", "ids", "decoded"])
+
+
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and ``ids`` (binary: little-endian unsigned 32-bit ids).
 
@@ -267,3 +302,16 @@ def _struct(docs: DataFrame, keep: list[str]):
     from pyspark.sql import functions as F
 
     return F.struct(*[docs[c] for c in keep]).alias("row")
+
+
+def roundtrip_documents(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str]) -> DataFrame:
+    """``encode_documents`` and ``decode_documents`` in one pass: ``keep``, ``ids`` and ``decoded``.
+
+    A task then has one Python worker with one vocabulary, and ids do not travel between two.
+    """
+    with open(ranks_file, "rb") as f:
+        content = f.read()
+    row = docs.select(docs["text"].alias("text"), _struct(docs, keep))
+    shape = f"row {row.schema['row'].dataType.simpleString()}, ids binary, decoded binary"
+    made = row.mapInArrow(partial(_roundtrip, content=content, pattern=pattern), shape)
+    return made.select("row.*", "ids", "decoded")

@@ -33,9 +33,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents")
-    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
-    decoded = bpe.decode_documents(encoded, ranks)
-    return decoded.select(
+    both = bpe.roundtrip_documents(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
+    return both.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
