@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,44 +21,89 @@ from rankforge.operators.columns import GROUP_KEYS
 
 LOGITS = ["logit_A", "logit_B", "logit_Equal"]
 
-# A scorer factory runs once per task and returns prompts -> (n, 3) logits.
+# A scorer factory runs once per worker process and returns prompts -> (n, 3) logits.
 ScorerFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 # A column scorer returns the three logit columns directly.
 ColumnScorer = Callable[[DataFrame], list[Column]]
 
 
+#: Scorers of this worker, by the digest of their factory.
+_LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def _loaded(key: str, factory: ScorerFactory) -> Callable[[list[str]], np.ndarray]:
+    """The factory's scorer, made once per worker process however many tasks it runs."""
+    if key not in _LOADED:
+        _LOADED.clear()  # one model at a time is held
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
+
+def _cuts(sizes: np.ndarray, most: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``most`` texts and ``most_bytes`` bytes; a larger text stands alone."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right"))
+        end = max(at + 1, min(at + most, fits))
+        yield at, end
+        at = end
+
+
+def _score_or_split(score, prompts: list[str], out: np.ndarray) -> None:
+    """Logits of a batch; one that fails is halved until the failing prompts stand alone.
+
+    So what fails depends on the prompts and not on their neighbours, and reruns agree on
+    any partitioning. A single prompt that fails keeps NaN.
+    """
+    try:
+        logits = np.asarray(score(prompts), dtype=float)
+        if logits.shape != out.shape:
+            raise ValueError(f"scorer gave {logits.shape} for {len(prompts)} prompts")
+        out[:] = logits
+    except Exception as e:
+        if len(prompts) == 1:
+            logging.warning("scorer failed on a prompt of %d characters: %r", len(prompts[0]), e)
+            return
+        half = len(prompts) // 2
+        _score_or_split(score, prompts[:half], out[:half])
+        _score_or_split(score, prompts[half:], out[half:])
+
+
+def _score_batches(
+    batches: Iterator[pa.RecordBatch], key: str, factory: ScorerFactory, batch_size: int, batch_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column("_prompt")
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        kept = [c for c in batch.schema.names if c != "_prompt" and c not in LOGITS]
+        for at, end in _cuts(sizes, batch_size, batch_bytes):
+            part = batch.slice(at, end - at)
+            logits = np.full((end - at, 3), np.nan)
+            _score_or_split(_loaded(key, factory), [p or "" for p in part.column("_prompt").to_pylist()], logits)
+            made = [pa.array(logits[:, i], mask=np.isnan(logits).any(axis=1)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], [*kept, *LOGITS])
+
+
 def add_logits(
     pairs: DataFrame, scorer: ScorerFactory | ColumnScorer, batch_size: int = 64,
-    native: bool = False, prompt: Column | None = None,
+    native: bool = False, prompt: Column | None = None, batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Three logit columns per pair.
 
-    ``native`` scorers are column expressions and stay in the JVM. Others get batches
-    of prompt texts on the workers; a batch that fails leaves its logits NULL.
+    ``native`` scorers are column expressions and stay in the JVM. Others are made once per
+    worker and get batches of prompt texts, bounded in number and bytes; the pair columns pass
+    by as Arrow buffers. A batch that fails is halved until the failing prompts stand alone,
+    and these have NULL logits.
     """
     if native:
         return pairs.withColumns(dict(zip(LOGITS, scorer(pairs))))
     texts = pairs.withColumn("_prompt", pair_prompt(pairs) if prompt is None else prompt)
     out = [f for f in pairs.schema.fields if f.name not in LOGITS]
     schema = T.StructType(out + [T.StructField(c, T.DoubleType()) for c in LOGITS])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
-        for frame in batches:
-            logits = np.full((len(frame), 3), np.nan)
-            prompts = frame["_prompt"].tolist()
-            for at in range(0, len(prompts), batch_size):
-                part = prompts[at : at + batch_size]
-                try:
-                    logits[at : at + len(part)] = score(part)
-                except Exception:
-                    logging.exception("scorer failed on a batch of %d prompts", len(part))
-            result = frame[[f.name for f in out]].copy()
-            result[LOGITS] = logits
-            yield result
-
-    scored = texts.mapInPandas(run, schema)
-    return scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in LOGITS})
+    key = hashlib.md5(cloudpickle.dumps(scorer)).hexdigest()
+    run = partial(_score_batches, key=key, factory=scorer, batch_size=batch_size, batch_bytes=batch_bytes)
+    return texts.mapInArrow(run, schema)
 
 
 def add_verdict(

@@ -294,7 +294,29 @@ CTE["ckpt_s"] = """
       from ckpt_m v join ckpt_m t on v.peft_model_id = t.peft_model_id
         and v.split = 'validation' and t.split = 'test'"""
 
+SLICE = "('0x' || substr(md5({x} || '_slice'), 1, 15))::bigint % 3"
+CTE["live0"] = "select dataset, item, response_id, norm_response, 1500.0::double elo from items"
+for r in (1, 2, 3):
+    CTE[f"live{r}"] = f"""
+      select p.dataset, p.item, p.response_id, p.norm_response, p.elo + coalesce(c.step, 0) elo
+      from live{r - 1} p left join (select item, id, sum(d) / count(*) step
+        from (select item, unnest([response1_id, response2_id]) id, unnest([d, -d]) d
+          from (select v.*, {33 - r}.0::double * ((case winner when 'A' then 1.0 when 'B' then 0.0 else 0.5 end)::double
+              - 1.0::double / (1.0::double + pow(10.0::double, (b.elo - a.elo) / 400.0::double))) d
+            from verdicts v join live{r - 1} a on a.item = v.item and a.response_id = v.response1_id
+              join live{r - 1} b on b.item = v.item and b.response_id = v.response2_id
+            where {SLICE.format(x="response1_id")} = {r - 1})) group by 1, 2) c
+      on c.item = p.item and c.id = p.response_id"""
+_running = ", ".join(
+    f"count(*) filter (winner = '{t}' and predicted_winner = '{p}') over w n_{t}_{p}" for t in LABELS for p in LABELS
+)
+CTE["running"] = f"""
+      select split, row_number() over w n, {_running} from (
+        select *, {SLICE.format(x="response1_id || '_' || response2_id")} slice from events_detail)
+      window w as (partition by split order by slice, response1_id, response2_id)"""
+
 NEEDS = {
+    "live0": "items", "live1": "live0 verdicts", "live2": "live1", "live3": "live2", "running": "events_detail",
     "orders_lab": "orders_raw", "events_lab": "events_raw", "dup_avg": "dup_raw", "dup_lab": "dup_avg",
     "orders_pairs": "orders_lab", "events_pairs0": "events_lab", "events_pairs": "events_pairs0",
     "orders_graded": "orders_pairs", "events_graded": "events_pairs",
@@ -691,6 +713,14 @@ def all_sql() -> dict[str, str]:
     put("label_codes", f"""select ({code('winner')})::bigint true_id,
         ({code('predicted_winner')})::bigint pred_id, count(*) n from events_detail group by 1, 2""",
         "events_detail")
+    put("verdict_python_scorer", f"""select response1_id, response2_id,
+        case when fails then 'Equal' else {argmax("logit_a", "logit_b", "logit_equal")} end predicted_winner,
+        case when fails then 0.0::double else round({value_of(argmax("logit_a", "logit_b", "logit_equal"), *softmax())}, 6)
+          end confidence
+      from (select *, z logit_a, -z logit_b,
+          ((13 * ia + 7 * ib) % 89)::double / 89.0::double - 0.6::double logit_equal, (7 * ia + ib) % 97 = 0 fails
+        from (select *, ((31 * ia + 17 * ib) % 101)::double / 101.0::double - 0.5::double z
+          from (select *, response1_id::bigint ia, response2_id::bigint ib from events_pairs)))""", "events_pairs")
     put("pending_verdicts", """select response1_id, response2_id, item from verdicts
         where confidence < 0.6""", "verdicts")
     put("completeness", """select count(*) pairs, count(*) filter (confidence >= 0.6) judged,
@@ -795,6 +825,11 @@ def all_sql() -> dict[str, str]:
         group by 1, 2, 3""", "events_detail")
     put("stream_metrics", f"""select split, n n_samples, round({HITS}::double / n, 6) accuracy,
         round(({' + '.join(_f1(c) for c in LABELS)}) / 3, 6) f1_macro from cells""", "cells")
+    put("stream_running_metrics", f"""select split, n n_samples, round({HITS}::double / n, 6) accuracy,
+        round(({' + '.join(_f1(c) for c in LABELS)}) / 3, 6) f1_macro, ({HITS})::bigint n_correct
+        from running where n % 500 = 0""", "running")
+    put("stream_ratings", """select dataset, item, response_id, round(norm_response, 6) norm_response,
+        round(elo, 6) elo from live3""", "live3")
     put("stream_votes", """select source_row_index, true_winner, votes_A, votes_B, votes_Equal
         from votes3""", "votes3")
     return out

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankforge.functions.hashing import key_hash, order_number
 from rankforge.functions.prompts import instruction_prompt, item_prompt, pair_prompt, response_text
 from rankforge.functions.verdicts import approximate_probs, encode_label, parse_verdict_json
 from rankforge.operators import checkpoints as K
@@ -27,7 +28,7 @@ from rankforge.operators.ordering import row_index
 from rankforge.operators.sweep import GRID_2D, best_setting, elo_sweep, optimizer_base
 from rankforge.plans import testbed as T
 from rankforge.plans.build import build_pair_dataset, rate_all, rate_random_rounds
-from rankforge.session import scratch_path
+from rankforge.session import cut_lineage, scratch_path
 from rankforge.sources import tables as IO
 from rankforge.streaming import jobs as X
 
@@ -403,6 +404,13 @@ def verdict_detail(spark, sf):
     return longs(rounded(out, "confidence"), "correct")
 
 
+@query
+def verdict_python_scorer(spark, sf):
+    """Prompt texts judged in batches on Python workers; batches that fail lose single prompts only."""
+    out = M.verdict_detail(T.events_pairs(spark, sf), T.numbers_scorer, batch_size=64)
+    return rounded(out.select("response1_id", "response2_id", "predicted_winner", "confidence"), "confidence")
+
+
 @query
 def verdict_probs(spark, sf):
     v = T.events_verdicts(spark, sf)
@@ -802,13 +810,34 @@ def stream_votes(spark, sf):
     return X.latest_votes(spark, sink)
 
 
+def _slices(df: DataFrame, path: str, key: Column, n: int = 3) -> None:
+    """``df`` in ``n`` files, written one after the other: a stream of one file a batch has n batches."""
+    part = F.pmod(order_number(key), F.lit(n))
+    kept = cut_lineage(df.withColumn("_slice", part))
+    for i in range(n):
+        kept.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+
+
+@query
+def stream_running_metrics(spark, sf):
+    """Metrics at every 500th row of a split, over three micro-batches."""
+    source, sink = scratch_path(spark, "detail"), scratch_path(spark, "running")
+    detail = T.events_detail(spark, sf).select("split", "response1_id", "response2_id", "winner", "predicted_winner")
+    _slices(detail, source, key_hash("response1_id", "response2_id", seed="slice"))
+    stream = X.table_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    X.stream_running_metrics(stream, sink, scratch_path(spark, "stream"), 500, ["response1_id", "response2_id"])
+    out = X.running_reports(spark, sink).select("split", "n_samples", "accuracy", "f1_macro", "n_correct")
+    return rounded(out, "accuracy", "f1_macro")
+
+
 @query
 def stream_ratings(spark, sf):
+    """Live ratings after three micro-batches; a whole table every second version."""
     source, sink = scratch_path(spark, "verdicts"), scratch_path(spark, "ratings")
-    T.events_verdicts(spark, sf).repartition(3, "response1_id").write.parquet(source)
+    _slices(T.events_verdicts(spark, sf), source, key_hash("response1_id", seed="slice"))
     stream = X.table_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
-    X.stream_ratings(stream, T.events_items(spark, sf), sink, scratch_path(spark, "stream"))
-    return X.latest_ratings(spark, sink)
+    X.stream_ratings(stream, T.events_items(spark, sf), sink, scratch_path(spark, "stream"), snapshot_every=2)
+    return rounded(X.latest_ratings(spark, sink, snapshot_every=2), "norm_response", "elo")
 
 
 @query

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +109,23 @@ def event_logits(pairs: DataFrame) -> list[Column]:
     return [z, -z, F.lit(0.6) - F.lit(12.0) * F.abs(gap) + noise(13, 7, 97)]
 
 
+def numbers_scorer():
+    """A scorer of prompt texts in numpy: logits from the numbers behind ``A:`` and ``B:``.
+
+    It refuses a whole batch in which any sum of 7 first and second is divisible by 97.
+    """
+
+    def score(prompts: list[str]) -> np.ndarray:
+        found = [re.search(r"\nA: event (\d+)\nB: event (\d+)", p) for p in prompts]
+        a, b = (np.array([int(m.group(i)) for m in found], dtype=np.int64) for i in (1, 2))
+        if ((7 * a + b) % 97 == 0).any():
+            raise RuntimeError("a batch the model cannot take")
+        z = (31 * a + 17 * b) % 101 / 101.0 - 0.5
+        return np.stack([z, -z, (13 * a + 7 * b) % 89 / 89.0 - 0.6], axis=1)
+
+    return score
+
+
 def events_scored(spark: SparkSession, sf: str) -> DataFrame:
     return add_logits(events_pairs(spark, sf), event_logits, native=True)
 

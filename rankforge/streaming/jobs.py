@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from rankforge.operators.elo_replay import GROUP
 from rankforge.operators.elo_rules import EloParams
 from rankforge.operators.elo_sync import start_ratings, sync_step
-from rankforge.operators.evaluate import confusion_counts
+from rankforge.operators.evaluate import CELLS, cell, confusion_counts, metrics_of_counts
+from rankforge.operators.ordering import row_index
 from rankforge.operators.score import verdict_detail
 from rankforge.schemas import LABELS
 from rankforge.sources.tables import path_exists
@@ -91,29 +92,85 @@ def latest_votes(spark: SparkSession, sink: str, key: str = "source_row_index")
     return newest.select(key, "_v.*")
 
 
+def stream_running_metrics(
+    detail: DataFrame, sink: str, checkpoint: str, every: int, order: list[str],
+    by: list[str] = ["split"], truth: str = "winner", predicted: str = "predicted_winner",
+) -> StreamingQuery:
+    """A metric row at every ``every``-th row of a group, counted on across micro-batches.
+
+    Rows of a micro-batch stand in ``order``, behind those of earlier batches. State is one
+    row of counters per group; a batch numbers its rows by a range partitioning, so a group
+    that holds most rows is spread over tasks. Each batch writes its own folders of reports
+    and state, so a repeated batch overwrites itself.
+    """
+    spark = detail.sparkSession
+    cells = [cell(t, p) for t, p in CELLS]
+    sums = ["n", *cells]
+
+    def update(frame: DataFrame, batch: int) -> None:
+        numbered = row_index(frame.select(*dict.fromkeys([*by, *order, truth, predicted])), order, by, name="_i")
+        seen = confusion_counts(numbered, by, truth, predicted).select(*by, *sums)
+        if batch:
+            before = spark.read.parquet(f"{sink}/state/version={batch - 1}")
+        else:
+            before = seen.limit(0)
+        carried = before.select(*by, *[F.col(c).alias(f"_{c}") for c in sums])
+        placed = numbered.join(carried.select(*by, "_n"), by, "left").withColumn(
+            "bucket", F.floor((F.coalesce("_n", F.lit(0)) + F.col("_i")) / F.lit(every)).cast("bigint")
+        )
+        buckets = confusion_counts(placed, [*by, "bucket"], truth, predicted)
+        so_far = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        running = buckets.join(carried, by, "left").select(
+            *by, "bucket", *[(F.sum(c).over(so_far) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums]
+        )
+        # a bucket counts once its last row is there, in this batch or a later one
+        full = running.filter(F.col("n") == (F.col("bucket") + 1) * every)
+        full.drop("bucket").write.mode("overwrite").parquet(f"{sink}/reports/batch={batch}")
+        total = before.unionByName(seen).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+        total.write.mode("overwrite").parquet(f"{sink}/state/version={batch}")
+
+    writer = detail.writeStream.foreachBatch(update)
+    return _drain(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def running_reports(spark: SparkSession, sink: str, by: list[str] = ["split"]) -> DataFrame:
+    """All reports so far: the metrics after so many rows (``n_samples``) of a group."""
+    return metrics_of_counts(spark.read.parquet(f"{sink}/reports").drop("batch"), by)
+
+
+#: Versions between two whole rating tables; those between hold changed items only.
+SNAPSHOT_EVERY = 20
+
+
 def stream_ratings(
     verdicts: DataFrame, items: DataFrame, sink: str, checkpoint: str,
-    params: EloParams = EloParams(), by: list[str] = GROUP,
+    params: EloParams = EloParams(), by: list[str] = GROUP, snapshot_every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
     """One synchronous rating update per micro-batch of new verdicts.
 
-    Versions of the rating table lie side by side; batch n reads version n-1 and
-    overwrites version n, so a repeated batch gives the same result.
+    A batch reads the ratings of the items that its verdicts name and writes those that have
+    moved, so its cost follows the batch and not the table. Every ``snapshot_every``-th
+    version is the whole table, which bounds how many versions a reader looks through.
+    Version n depends on the versions before it alone and is overwritten as a whole, so a
+    repeated batch gives the same result.
     """
     spark = items.sparkSession
 
     def update(frame: DataFrame, batch: int) -> None:
-        previous = f"{sink}/version={batch - 1}"
         if batch == 0:
             ratings = start_ratings(items, by, params.initial)
-        elif path_exists(spark, previous):
-            ratings = spark.read.parquet(previous)
         else:
-            raise FileNotFoundError(f"batch {batch} needs the ratings in {previous}")
-        after = sync_step(frame, ratings, by, F.lit(params.k_at(batch)))
-        after.select(*by, "response_id", "norm_response", "elo").write.mode("overwrite").parquet(
-            f"{sink}/version={batch}"
-        )
+            ratings = ratings_at(spark, sink, batch - 1, by, snapshot_every)
+        sides = [frame.select(*by, F.col(f"response{i}_id").cast("string").alias("response_id")) for i in (1, 2)]
+        touched = ratings.join(sides[0].unionByName(sides[1]).distinct(), [*by, "response_id"], "left_semi")
+        moved = sync_step(frame, touched, by, F.lit(params.k_at(batch))).filter(F.col("games").isNotNull())
+        columns = [*by, "response_id", "norm_response", "elo"]
+        moved = moved.select(*columns)
+        if batch % snapshot_every == 0:
+            moved = _newest(
+                ratings.select(*columns, F.lit(0).alias("version")).unionByName(moved.withColumn("version", F.lit(1))), by
+            )
+        moved.write.mode("overwrite").parquet(f"{sink}/version={batch}")
 
     writer = verdicts.writeStream.foreachBatch(update)
     return _drain(
@@ -121,8 +178,28 @@ def stream_ratings(
     )
 
 
-def latest_ratings(spark: SparkSession, sink: str) -> DataFrame:
-    """The rating table of the last finished micro-batch."""
-    versions = spark.read.parquet(sink)
-    last = versions.select(F.max("version")).scalar()
-    return versions.filter(F.col("version") == last).drop("version")
+def _newest(versions: DataFrame, by: list[str]) -> DataFrame:
+    """The row of the highest version per item."""
+    keys = [*by, "response_id"]
+    newest = versions.groupBy(*keys).agg(F.max_by(F.struct("norm_response", "elo"), "version").alias("_r"))
+    return newest.select(*keys, "_r.*")
+
+
+def ratings_at(
+    spark: SparkSession, sink: str, version: int, by: list[str] = GROUP, snapshot_every: int = SNAPSHOT_EVERY
+) -> DataFrame:
+    """The rating table as of a version: its last whole table and the changes since."""
+    base = version - version % snapshot_every
+    parts = [f"{sink}/version={v}" for v in range(base, version + 1)]
+    for path in parts:
+        if not path_exists(spark, path):
+            raise FileNotFoundError(f"the ratings of version {version} need {path}")
+    return _newest(spark.read.option("basePath", sink).parquet(*parts), by)
+
+
+def latest_ratings(
+    spark: SparkSession, sink: str, by: list[str] = GROUP, snapshot_every: int = SNAPSHOT_EVERY
+) -> DataFrame:
+    """The rating table after the last finished micro-batch."""
+    version = spark.read.parquet(sink).agg(F.max("version")).first()[0]
+    return ratings_at(spark, sink, version, by, snapshot_every)
