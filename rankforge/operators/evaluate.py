@@ -225,6 +225,45 @@ def rating_metrics(
     return out.drop("_r", "_var", "_mse", "_mae")
 
 
+RATING_SUMS = ["n", "t", "p", "tt", "pp", "tp", "miss"]
+
+
+def rating_sums(
+    df: DataFrame, by: list[str], truth: str = "norm_response", rating: str = "elo_normalized"
+) -> DataFrame:
+    """Sums per group from which ``metrics_of_sums`` has all rank-quality measures.
+
+    Sums of parts add up to the sums of the whole, so a part that is replaced brings its own
+    and the others are not read again. Rows lacking either value are left out.
+    """
+    t, p = F.col(truth).cast("double"), F.col(rating).cast("double")
+    valid = df.filter(t.isNotNull() & ~F.isnan(t) & p.isNotNull() & ~F.isnan(p))
+    return valid.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(t).alias("t"), F.sum(p).alias("p"), F.sum(t * t).alias("tt"),
+        F.sum(p * p).alias("pp"), F.sum(t * p).alias("tp"), F.sum(F.abs(t - p)).alias("miss"),
+    )
+
+
+def metrics_of_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """n, Pearson r, R squared, MAE and RMSE per group, from ``rating_sums`` of its parts.
+
+    Meant for values of the order of one, as scaled labels and ratings are. Fewer than two
+    rows leave all metrics NULL; a constant side leaves r NULL.
+    """
+    total = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in RATING_SUMS])
+    n, t, p = F.col("n"), F.col("t"), F.col("p")
+    # what rounding leaves of a variance that is zero
+    dust = 1e-13
+    var_t, var_p = F.col("tt") / n - (t / n) ** 2, F.col("pp") / n - (p / n) ** 2
+    flat_t, flat_p = var_t <= dust * F.col("tt") / n, var_p <= dust * F.col("pp") / n
+    both = F.col("tp") / n - (t / n) * (p / n)
+    square = F.greatest(F.lit(0.0), (F.col("tt") - 2 * F.col("tp") + F.col("pp")) / n)
+    fit = F.when(flat_t, F.when(square <= dust, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(1 - square / var_t)
+    r = F.when(~flat_t & ~flat_p, F.try_divide(both, F.sqrt(var_t) * F.sqrt(var_p)))
+    values = {"pearson_r": r, "r_squared": fit, "mae": F.col("miss") / n, "rmse": F.sqrt(square)}
+    return total.select(*by, "n", *[F.when(n >= 2, v).alias(k) for k, v in values.items()])
+
+
 def label_metrics(
     df: DataFrame, by: list[str], truth: str = "winner", predicted: str = "predicted_winner"
 ) -> DataFrame:

@@ -821,6 +821,17 @@ def all_sql() -> dict[str, str]:
         "orders_raw", "dup_raw")
     out["checked_write"] = """select count(*) n, count(distinct o_orderkey) ids, true has_latest from orders"""
     put("verdict_cache", "select item, winner, count(*) n from verdicts group by 1, 2", "verdicts")
+    out["verdict_cache_bucketed"] = out["verdict_cache"]
+    rated = {
+        "events": f"select 'events' dataset, item, label t, 0.5 * label + 0.5 * {uni("id || '_new'")} p from events_lab",
+        "orders": f"select 'orders' dataset, item, label t, 0.3 * label + 0.7 * {uni("id || '_old'")} p from orders_lab",
+    }
+    quality = """count(*) n, round(corr(t, p), 6) pearson_r,
+        round(1 - avg((t - p) ** 2) / var_pop(t), 6) r_squared, round(avg(abs(t - p)), 6) mae,
+        round(sqrt(avg((t - p) ** 2)), 6) rmse"""
+    both = " union all ".join(rated.values())
+    put("refreshed_summary", f"""select dataset, item, {quality} from ({both}) group by 1, 2
+      union all select dataset, '(all)', {quality} from ({both}) group by 1""", "events_lab", "orders_lab")
     put("stream_resume", """select split, winner, predicted_winner, count(*) n from events_detail
         group by 1, 2, 3""", "events_detail")
     put("stream_metrics", f"""select split, n n_samples, round({HITS}::double / n, 6) accuracy,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.functions.hashing import key_hash, order_number
+from rankforge.functions.hashing import key_hash, order_number, uniform
 from rankforge.functions.prompts import instruction_prompt, item_prompt, pair_prompt, response_text
 from rankforge.functions.verdicts import approximate_probs, encode_label, parse_verdict_json
 from rankforge.operators import checkpoints as K
@@ -747,6 +747,29 @@ def partition_refresh(spark, sf):
     )
 
 
+@query
+def refreshed_summary(spark, sf):
+    """One dataset's ratings are replaced; the summary of all comes from stored sums."""
+    path, sums = scratch_path(spark, "ratings"), scratch_path(spark, "sums")
+
+    def rated(name: str, raw: DataFrame, seed: str, weight: float) -> DataFrame:
+        noise = uniform(key_hash("ID", seed=seed))
+        return T.labelled(raw).select(
+            F.lit(name).alias("dataset"), "item", F.col("ID").alias("response_id"),
+            F.col("label").alias("norm_response"),
+            (weight * F.col("label") + (1 - weight) * noise).alias("elo_normalized"),
+        )
+
+    events = T.events_raw(spark, sf)
+    first = rated("events", events, "old", 0.0).unionByName(rated("orders", T.orders_raw(spark, sf), "old", 0.3))
+    IO.refresh_ratings(first, path, sums)
+    IO.refresh_ratings(rated("events", events, "new", 0.5), path, sums)
+    parts = IO.rating_summary_of(spark, sums, ["dataset", "item"])
+    whole = IO.rating_summary_of(spark, sums, ["dataset"]).withColumn("item", F.lit("(all)"))
+    out = parts.unionByName(whole)
+    return rounded(out, "pearson_r", "r_squared", "mae", "rmse")
+
+
 @query
 def checked_write(spark, sf):
     path = scratch_path(spark, "checked")
@@ -770,6 +793,17 @@ def verdict_cache(spark, sf):
     return spark.read.parquet(path).groupBy("item", "winner").agg(F.count("*").alias("n"))
 
 
+@query
+def verdict_cache_bucketed(spark, sf):
+    """The same in a bucketed cache, opened anew for the second run."""
+    path = scratch_path(spark, "verdict-table")
+    pairs = T.events_pairs(spark, sf).withColumn("dataset", F.lit("events"))
+    IO.VerdictTable(spark, path, 16).extend(pairs.filter(F.col("split") != "test"), T.event_logits, native=True)
+    cache = IO.VerdictTable(spark, path, 16)
+    cache.extend(pairs, T.event_logits, native=True)
+    return cache.read().groupBy("item", "winner").agg(F.count("*").alias("n"))
+
+
 def _pairs_folder(spark, sf) -> str:
     path = scratch_path(spark, "pairs")
     T.events_pairs(spark, sf).write.parquet(path)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from rankforge.operators.columns import require_columns
+from rankforge.operators.evaluate import metrics_of_sums, rating_sums
 from rankforge.operators.score import pending_pairs, verdict_table
 from rankforge.schemas import SCALER
+from rankforge.session import cut_lineage
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
@@ -148,3 +152,65 @@ def extend_verdicts(spark: SparkSession, pairs: DataFrame, path: str, scorer, **
 def refresh_dataset(df: DataFrame, path: str, key: str = "dataset") -> None:
     """Replace only the partitions present in ``df``; other datasets stay as they are."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def refresh_ratings(ratings: DataFrame, path: str, sums_path: str, by: list[str] = ["item"]) -> None:
+    """Replace the ratings of the datasets in ``ratings`` and the sums of their groups.
+
+    ``rating_summary_of`` then covers all datasets without reading the ratings of any.
+    """
+    kept = cut_lineage(ratings)
+    refresh_dataset(kept, path)
+    refresh_dataset(rating_sums(kept, ["dataset", *by]), sums_path)
+
+
+def rating_summary_of(spark: SparkSession, sums_path: str, by: list[str]) -> DataFrame:
+    """Rank quality per ``by`` (dataset, dataset and item, or none of them) from stored sums."""
+    return metrics_of_sums(spark.read.parquet(sums_path), by)
+
+
+VERDICT_KEY = ["dataset", "item", "response1_id", "response2_id"]
+
+
+class VerdictTable:
+    """A verdict cache bucketed by pair key, at a path of its own.
+
+    Finding the pairs without a verdict then shuffles the pairs and never the cache, however
+    large it has grown: both sides meet bucket by bucket. The catalog entry is only a view of
+    the path and is made anew at every start, so nothing but the files has to last.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, key: list[str] = VERDICT_KEY):
+        self.spark, self.path, self.buckets, self.key = spark, path, buckets, key
+        self.name = "verdicts_" + hashlib.md5(path.encode()).hexdigest()[:16]
+        columns = ", ".join(f"`{c}` STRING" for c in key) + ", winner STRING, confidence DOUBLE"
+        cut = ", ".join(f"`{c}`" for c in key)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet "
+            f"CLUSTERED BY ({cut}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def pending(self, pairs: DataFrame) -> DataFrame:
+        """Pairs without a verdict, by pair key; a key with a null never has one.
+
+        The key columns of ``pairs`` are strings, as in the cache: a cast in the join would
+        cost the cache its buckets.
+        """
+        for c in self.key:
+            if pairs.schema[c].dataType != T.StringType():
+                pairs = pairs.withColumn(c, F.col(c).cast("string"))
+        return pairs.join(self.read().select(*self.key), self.key, "left_anti")
+
+    def extend(self, pairs: DataFrame, scorer, **options) -> int:
+        """Judge the pending pairs and append them, one file per bucket; returns how many."""
+        from pyspark.sql import Observation
+
+        seen = Observation()
+        fresh = verdict_table(self.pending(pairs), scorer, **options)
+        columns = [F.col(c).cast("string").alias(c) for c in self.key] + [F.col("winner"), F.col("confidence")]
+        dealt = fresh.select(*columns).repartition(self.buckets, *self.key)
+        dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.insertInto(self.name)
+        return seen.get["rows"]
