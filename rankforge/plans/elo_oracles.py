@@ -75,8 +75,9 @@ drawn as materialized (
   from picked d join numbered x on {on} and x.i = d.lo join numbered y on {on.replace("x.", "y.")} and y.i = d.hi)"""
 
 
-def replay_ctes(settings: list[EloParams], rounds: int, drawn: bool = False) -> str:
-    """With ``drawn`` the verdicts have a round and are played in it alone.
+def replay_ctes(settings: list[EloParams], rounds: int, drawn: bool = False, record: bool = False) -> str:
+    """With ``drawn`` the verdicts have a round and are played in it alone; with ``record`` there is
+    also ``played``: every game with the ratings before it and its change (first setting).
 
     CTEs up to ``ended``: item, setting (1-based), response_id, norm_response, e1 .. e<rounds>,
     and ``sums``: item, setting, n and per round the summed change and the small changes."""
@@ -102,6 +103,19 @@ def replay_ctes(settings: list[EloParams], rounds: int, drawn: bool = False) ->
     spread = ", ".join(f"unnest(e{r}) e{r}, unnest(c{r}) c{r}, unnest(s{r}) s{r}" for r in range(1, rounds + 1))
     totals = ", ".join(f"sum(c{r}) c{r}, sum(s{r}) s{r}" for r in range(1, rounds + 1))
     mixed = _mix("h", "round")
+    # the ratings of a player in the order of its games ride along as a list
+    log = {"names": ", log", "start": ", [{start}[1]] log".format(start=start), "moved": ""}
+    if record:
+        log["moved"] = ", list_append(own.log, own.elo[1] + sign * d[1])"
+    else:
+        log = dict.fromkeys(log, "")
+    history = """,
+told as materialized (select item, player, unnest(log) elo, generate_subscripts(log, 1) nth from state),
+played as materialized (
+  select p.gid, p.item, p.a, p.b, p.s, p.k[1] k, x.elo old_a, y.elo old_b, z.elo - x.elo d
+  from plays p join told x on x.item = p.item and x.player = p.a and x.nth = p.na
+    join told y on y.item = p.item and y.player = p.b and y.nth = p.nb
+    join told z on z.item = p.item and z.player = p.a and z.nth = p.na + 1)""" if record else ""
     return f"""
 known as materialized (
   select v.dataset, v.item, response1_id a, response2_id b,
@@ -127,10 +141,10 @@ sides as materialized (
 plays as materialized (
   select g.gid, g.item, g.round, g.a, g.b, g.s, x.nth na, y.nth nb, ([{ks}])[g.round + 1] k
   from games g join sides x on x.gid = g.gid and x.player = g.a join sides y on y.gid = g.gid and y.player = g.b),
-state(item, player, done, elo, {names}) using key (item, player) as (
-  select distinct item, player, 0::bigint done, {start} elo, {last} from sides
+state(item, player, done, elo, {names}{log['names']}) using key (item, player) as (
+  select distinct item, player, 0::bigint done, {start} elo, {last}{log['start']} from sides
   union
-  select own.item, own.player, own.done + 1, {moved}, {kept}
+  select own.item, own.player, own.done + 1, {moved}, {kept}{log['moved']}
   from (
     select p.*, sign, who, list_transform({each}, lambda i: p.k[i] * (p.s - 1.0::double
         / (1.0::double + pow(10.0::double, (b.elo[i] - a.elo[i]) / 400.0::double)))) d
@@ -147,7 +161,7 @@ ended as materialized (
   select i.dataset, i.item, setting, i.response_id, i.norm_response, {', '.join(f'e{r}' for r in range(1, rounds + 1))}
   from spread s join items i using (item, response_id)),
 sums as materialized (
-  select item, setting, any_value(n) n, {totals} from spread join sizes using (item) group by 1, 2)"""
+  select item, setting, any_value(n) n, {totals} from spread join sizes using (item) group by 1, 2){history}"""
 
 
 def sync_ctes(p: EloParams) -> str:

@@ -774,6 +774,11 @@ def all_sql() -> dict[str, str]:
         round((e2 - min(e2) over g) / (max(e2) over g - min(e2) over g), 6) elo_normalized
         from ended window g as (partition by item)""")
     out["elo_large_groups"] = out["elo_replay_2rounds"]
+    out["elo_comparisons"] = recursive(replay_ctes([EloParams()], 1, record=True), """select i.dataset, item,
+        row_number() over (partition by item order by gid) - 1 pair_in_round, a response1_id, b response2_id,
+        case s when 1.0 then 'A' when 0.0 then 'B' else 'Equal' end winner, round(k, 6) k, round(old_a, 6) old_a,
+        round(old_b, 6) old_b, round(old_a + d, 6) new_a, round(old_b - d, 6) new_b
+        from played join (select distinct dataset, item from items) i using (item)""")
     out["elo_sweep_2rounds"] = swept_sql()
     out["elo_random_rounds"] = random_rounds_sql(3)
     loose = "select item || '|' || response_id response_id from items"
@@ -810,6 +815,15 @@ def all_sql() -> dict[str, str]:
     put("best_checkpoint", f"{summary} order by ckpt_s.val_accuracy desc, steps limit 1", "ckpt_s")
     put("csv_roundtrip", """select id ID, item, task, md5(response) text_md5,
         length(response)::bigint n_chars, jrt from docs_raw""", "docs_raw")
+    put("csv_first_rows", """select id ID, md5(response) text_md5 from docs_raw
+        order by doc_id limit 100""", "docs_raw")
+    put("json_report", category_report("events_graded_all"), "events_graded_all")
+    out["json_report"] = f"select difficulty_category, n, pct from ({out['json_report']})"
+    out["latest_written"] = "select r_regionkey::bigint r_regionkey, r_name from region"
+    put("holdout_kept_label", """select id ID, item, prompt, prompt || chr(10) || lower(response) as text,
+        round(jrt / 1000, 9) as label from cust_raw where jrt is not null""", "cust_raw")
+    put("passes_stamp", """select count(*) n, 1::bigint run_ids, 1::bigint times, true id_of_time, true recent
+        from passes2""", "passes2")
     put("dataset_union", """select 'orders' dataset, count(*) n, count(task) with_task,
         round(avg(jrt), 6) mean_score from orders_raw
       union all select 'events', count(*), count(task), round(avg(jrt), 6) from events_raw

@@ -108,6 +108,15 @@ def holdout_label(spark, sf):
     return rounded(out.select("ID", "item", "prompt", "text", "label"), "label", digits=9)
 
 
+@query
+def holdout_kept_label(spark, sf):
+    """A holdout without raw scores keeps the labels it has, and needs no scaler."""
+    raw = T.customer_holdout(spark, sf)
+    given = raw.withColumn("label", F.col("jrt") / 1000).drop("jrt")
+    out = C.clean_holdout(given, None)
+    return rounded(out.select("ID", "item", "prompt", "text", "label"), "label", digits=9)
+
+
 @query
 def holdout_difficulty(spark, sf):
     _, scaler = C.clean_responses(T.orders_raw(spark, sf))
@@ -478,6 +487,21 @@ def _passes(spark, sf, n: int) -> DataFrame:
     )
 
 
+@query
+def passes_stamp(spark, sf):
+    """The run id and UTC time that a pass table makes itself: one of each, and one from the other."""
+    key = F.concat_ws("_", "response1_id", "response2_id")
+    scored = T.events_scored(spark, sf).withColumn("source_row_index", key)
+    made = S.pass_table(scored, 2, seed=SEED)
+    stamp = F.date_format(F.to_timestamp("timestamp_utc"), "yyyyMMdd_HHmmss")
+    return made.agg(
+        F.count("*").alias("n"), F.countDistinct("run_id").alias("run_ids"),
+        F.countDistinct("timestamp_utc").alias("times"),
+        F.bool_and(F.col("run_id") == F.concat(F.lit("run_"), stamp)).alias("id_of_time"),
+        F.bool_and(F.abs(F.unix_timestamp(F.to_timestamp("timestamp_utc")) - F.unix_timestamp()) < 3600).alias("recent"),
+    )
+
+
 @query
 def passes_table(spark, sf):
     out = _passes(spark, sf, 2).select(
@@ -639,11 +663,13 @@ def elo_large_groups(spark, sf):
 
 @query
 def elo_comparisons(spark, sf):
-    games = _replay(spark, sf, settings=EloParams(max_rounds=2), comparisons=True).comparisons
-    return games.groupBy("dataset", "item", "round", "winner").agg(
-        F.count("*").alias("n"), F.max("pair_in_round").alias("last_pair"),
-        F.sum(F.abs(F.col("new_a") - F.col("old_a"))).alias("moved"),
+    """Every game of the first round: its place, the ratings before and after."""
+    games = _replay(spark, sf, settings=EloParams(max_rounds=1), comparisons=True).comparisons
+    out = games.select(
+        "dataset", "item", "pair_in_round", "response1_id", "response2_id", "winner", "k",
+        "old_a", "old_b", "new_a", "new_b",
     )
+    return rounded(out, "k", "old_a", "old_b", "new_a", "new_b")
 
 
 @query
@@ -720,6 +746,35 @@ def csv_roundtrip(spark, sf):
     )
 
 
+@query
+def csv_first_rows(spark, sf):
+    """A row-limited scan of two columns of one file, written in the order of ids."""
+    path = scratch_path(spark, "csv")
+    docs = T.documents_raw(spark, sf)
+    IO.write_csv(docs.repartition(1).sortWithinPartitions(F.col("ID").cast("bigint")), path)
+    back = IO.read_csv(spark, path, docs.schema, columns=["ID", "response"], rows=100)
+    return back.select("ID", F.md5("response").alias("text_md5"))
+
+
+@query
+def json_report(spark, sf):
+    """A report through the JSON sink and back."""
+    path = scratch_path(spark, "json")
+    report = D.difficulty_report(D.add_difficulty(T.events_pairs(spark, sf), by=[]), [])
+    IO.write_json(report.select("difficulty_category", "n", F.round("pct", 6).alias("pct")), path)
+    return spark.read.schema("difficulty_category string, n bigint, pct double").json(path)
+
+
+@query
+def latest_written(spark, sf):
+    """Of three tables written one after the other below a folder, the last one's file is found."""
+    path = scratch_path(spark, "several")
+    for name in ("nation", "supplier", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").coalesce(1).write.parquet(f"{path}/{name}")
+    back = IO.read_parquet(spark, IO.latest_file(spark, path))
+    return back.select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name")
+
+
 @query
 def dataset_union(spark, sf):
     out = label_sources(

@@ -20,13 +20,14 @@ _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None,
-    columns: list[str] | None = None, required: list[str] | None = None,
+    columns: list[str] | None = None, required: list[str] | None = None, rows: int | None = None,
 ) -> DataFrame:
     """Header CSV whose quoted texts may hold newlines and doubled quotes.
 
     With a schema, columns are matched to the header by name and those absent from the
     file are left out; without one all columns are strings. A column list is pruned
-    in the scan.
+    in the scan. ``rows`` stops after the first rows of the file (of a folder: of its files
+    in the order Spark lists them).
     """
     raw = spark.read.options(**_CSV).csv(path)
     if schema is not None:
@@ -35,6 +36,8 @@ def read_csv(
         raw = spark.read.options(**_CSV, enforceSchema=False).schema(T.StructType(header)).csv(path)
     if required:
         require_columns(raw, required)
+    if rows is not None:
+        raw = raw.limit(rows)
     return raw.select(*columns) if columns else raw
 
 
