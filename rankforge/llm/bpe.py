@@ -187,6 +187,12 @@ class TextEncoder(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the caches (speed only)."""
+        self.clear()
+        self._pieces.clear()
+        self.coder._fits.clear()
+
     def encode(self, text: str) -> bytes:
         # a space after a visible character begins a piece, so the text can be cut there
         if self._uneven.search(text):
@@ -275,6 +281,8 @@ def _roundtrip(batches: Iterator[pa.RecordBatch], content: bytes, pattern: str)
     for batch in _encode(batches, content, pattern):
         decoded = decoder.decode(batch.column("ids").to_pylist())
         yield pa.RecordBatch.from_arrays([*batch.columns, decoded], ["row", "ids", "decoded"])
+    # a worker outlives its task; what it met there is no use to the next stage
+    _encoder(content, pattern).forget()
 
 
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ UNDETERMINED = "und"
 DIMENSIONS = 1024  # per n-gram order, hashed
 #: The training sample: expected documents of each language, and documents in all at most.
 PER_LANGUAGE, IN_ALL = 500, 4_000
-_RUN = 400_000  # code points worked on at once
+_RUN = 1 << 18  # bytes of text whose features are made at a time
 
 #: Family of a language by its ISO 639-1 code; any other is a family of its own.
 FAMILIES = {
@@ -95,22 +96,23 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs of rows as (first, behind the last, texts); only one run's texts are held at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     at = 0
-    while at < len(texts):
-        end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= _RUN and end - at < 256:
-            size += len(texts[end])
+    while at < len(sizes):
+        end, size = at + 1, sizes[at]
+        while end < len(sizes) and size + sizes[end] <= _RUN and end - at < 256:
+            size += sizes[end]
             end += 1
-        yield at, end
+        yield at, end, [t or "" for t in column.slice(at, end - at).to_pylist()]
         at = end
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for at, end in _runs(texts):
-            x, has = _features(texts[at:end])
+        for at, end, texts in _runs(batch.column("text")):
+            x, has = _features(texts)
             rows = [x[i].astype("<f2").tobytes() if has[i] else None for i in range(end - at)]
             lang, digest, rank = (batch.column(c).slice(at, end - at) for c in ("lang", "digest", "rank"))
             yield pa.RecordBatch.from_arrays([lang, digest, rank, pa.array(rows, type=pa.binary())], ["lang", "digest", "rank", "x"])
@@ -211,9 +213,8 @@ def classify(texts: list[str], model: Model | None) -> tuple[list[str], list[flo
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for at, end in _runs(texts):
-            langs, scores = classify(texts[at:end], model)
+        for at, end, texts in _runs(batch.column("text")):
+            langs, scores = classify(texts, model)
             own = batch.column("row").slice(at, end - at)
             yield pa.RecordBatch.from_arrays([own, pa.array(langs), pa.array(scores)], ["row", "lang_pred", "score"])
 
