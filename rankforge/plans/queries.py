@@ -680,6 +680,17 @@ def elo_summary(spark, sf):
     return summary
 
 
+@query
+def elo_summary_2rounds(spark, sf):
+    """The summary of all datasets after two rounds; a dataset that is absent is left out."""
+    pairs = T.events_pairs(spark, sf)
+    verdicts = M.verdict_table(pairs, T.event_logits, native=True)
+    options = {"params": EloParams(max_rounds=2)}
+    _, summary = rate_all({"events": pairs, "absent": None}, {"events": verdicts}, **options)
+    out = longs(summary, "rounds", "n_items", "n_pairs", "n").drop("converge_reason")
+    return rounded(out, "pearson_r", "r_squared", "mae", "rmse", "p_value")
+
+
 @query
 def elo_sweep_4d(spark, sf):
     """All 384 settings of the default grid."""
