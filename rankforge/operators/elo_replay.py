@@ -76,7 +76,7 @@ def block_hash(column: str) -> Column:
 
 
 def _prepare(verdicts: DataFrame, items: DataFrame, by: list[str], seed: int):
-    """Compact games and items: ids, points and the hash that orders the rounds."""
+    """Compact games of known items, and the items: ids, points and the hash that orders the rounds."""
     games = verdicts.filter(F.col("response1_id") != F.col("response2_id")).select(
         *by, F.col("response1_id").alias("a"), F.col("response2_id").alias("b"),
         first_score(F.col("winner")).alias("s"),
@@ -88,7 +88,10 @@ def _prepare(verdicts: DataFrame, items: DataFrame, by: list[str], seed: int):
         *[F.col(c).alias(c) for c in by], F.col("response_id").cast("string").alias("response_id"),
         F.col("norm_response").cast("double").alias("truth"), block_hash("response_id").alias("block_hash"),
     )
-    # counted and replayed: written once, so that scoring behind it runs once
+    # read by both semi joins and the replay: written once, so that what is behind runs once
+    players = cut_lineage(players)
+    for side in ("a", "b"):
+        games = games.join(players.select(*by, F.col("response_id").alias(side)), [*by, side], "left_semi")
     return cut_lineage(games), players
 
 
@@ -355,9 +358,6 @@ def elo_replay(
     if comparisons and len(settings) > 1:
         raise ValueError("a comparison history needs a single parameter set")
     games, players = _prepare(verdicts, items, by, seed)
-    for side in ("a", "b"):
-        games = games.join(players.select(*by, F.col("response_id").alias(side)), [*by, side], "left_semi")
-    games = cut_lineage(games)
     sizes = measured(games.groupBy(*by).agg(F.count("*").alias("_n")))
     total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     if method == "sequence":

@@ -12,7 +12,9 @@ QUICK = [
     "dup_average", "doc_dedupe", "minmax_label", "holdout_label", "pairs_events", "difficulty_report",
     "split_assign", "pair_ratio_eval", "pair_sample", "leakage_removed", "prompt_text", "verdict_parse",
     "classification_summary", "running_metrics", "pass_summary", "items_from_pairs",
-    "elo_sync_3rounds", "checkpoint_summary", "csv_roundtrip",
+    "elo_sync_3rounds", "checkpoint_summary", "csv_roundtrip", "elo_replay_2rounds", "elo_sweep_2rounds",
+    "elo_random_rounds", "rating_p_values", "response_ratios", "stream_running_metrics", "stream_ratings",
+    "refreshed_summary", "verdict_python_scorer", "latest_written", "passes_stamp",
 ]
 
 
