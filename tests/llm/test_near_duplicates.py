@@ -1,6 +1,7 @@
 """N-gram join, line dedup, fingerprints and substring dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected_components
 from rankforge.llm.fingerprints import edited_fingerprints, near_duplicate_classes
@@ -299,3 +301,31 @@ def test_longest_run(agree):
     n = len(agree)
     best = max((j - i for i in range(n) for j in range(i + 1, n + 1) if 9 * sum(agree[i:j]) >= 8 * (j - i)), default=0)
     assert end - start == best
+
+
+def test_line_recall_at_the_threshold(spark):
+    """Planted pairs of lines at a similarity of 0.80 to 0.88, hardly above what links."""
+    from rankforge.llm.line_dedup import line_links
+
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+
+    def shingles(s):
+        return {s[i : i + 8] for i in range(max(1, len(s) - 7))}
+
+    pairs = []
+    while len(pairs) < 1500:
+        a = "".join(rng.choices(letters, k=rng.randint(70, 180)))
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            b[rng.randrange(len(b))] = rng.choice("0123456789")
+        b = "".join(b)
+        x, y = shingles(a), shingles(b)
+        if 0.80 <= len(x & y) / len(x | y) <= 0.88:
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(i, a + "\n" + b) for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    lines = spark.createDataFrame([(i, s) for i, p in enumerate(pairs) for s in p], "pair long, line string")
+    told = lines.select("pair", F.xxhash64("line").alias("node")).join(line_links(docs), "node")
+    found = told.groupBy("pair", "component").count().filter("count = 2").count()
+    assert found >= 0.985 * len(pairs)
+    assert told.groupBy("component").agg(F.countDistinct("pair").alias("n")).filter("n > 1").count() == 0
