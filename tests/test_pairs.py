@@ -59,6 +59,15 @@ def test_random_pairs_are_distinct_known_and_exact_in_number(spark):
         P.random_pairs(items, 436)
 
 
+def test_random_draws_are_no_broadcast_and_no_single_task(spark):
+    items = spark.range(3000).select(F.col("id").cast("string").alias("response_id"))
+    out = P.draw_pairs(items, 2, 150_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_lo" in plan and "SortMergeJoin [_hi" in plan
+    assert "REPARTITION_BY_NUM" in plan
+    assert out.count() == out.select("round", "response1_id", "response2_id").distinct().count() == 300_000
+
+
 def test_row_index_is_dense_and_restarts(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 3).alias("g"))
     got = row_index(df.repartition(5), ["k"], ["g"]).collect()
