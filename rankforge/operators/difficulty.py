@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.operators.quantiles import attach_quantiles, exact_quantiles
+from rankforge.operators.quantiles import QUARTILES, attach_quantiles, exact_quantiles
 
 CATEGORIES = ("Easy", "Medium-Easy", "Medium-Hard", "Hard")
 STRATEGIES = ("progressive", "gradual", "mixed")
@@ -20,19 +20,29 @@ def add_difficulty(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     if by is None:
         by = ["split"] if "split" in pairs.columns else []
     df = pairs.withColumn("norm_diff", F.abs(F.col("norm_response1") - F.col("norm_response2")))
-    df = df.withColumn("difficulty_score", F.lit(1.0) - F.col("norm_diff"))
-    df = attach_quantiles(df, "norm_diff", by)
-    d = F.when(~F.isnan("norm_diff"), F.col("norm_diff"))
-    level = F.when(d >= F.col("q75"), 1).when(d >= F.col("q50"), 2).when(d >= F.col("q25"), 3)
-    df = df.withColumn("difficulty_level", level.otherwise(4).cast("int"))
-    category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("difficulty_level"))
-    df = df.withColumn("difficulty_category", category)
+    df = attach_quantiles(df.withColumn("difficulty_score", F.lit(1.0) - F.col("norm_diff")), "norm_diff", by)
+    df = grade(df, {c: F.col(c) for c in QUARTILES})
     key = F.concat(
         F.col("difficulty_category"), F.lit("_"), F.col("item"), F.lit("_"), F.col("task")
     )
     return df.withColumn("stratify_key", key).drop("q25", "q50", "q75")
 
 
+def grade(df: DataFrame, cuts: dict[str, Column]) -> DataFrame:
+    """Difficulty score, level and category of ``norm_diff`` against its quartiles."""
+    df = df.withColumn("difficulty_score", F.lit(1.0) - F.col("norm_diff"))
+    d = F.when(~F.isnan("norm_diff"), F.col("norm_diff"))
+    level = F.when(d >= cuts["q75"], 1).when(d >= cuts["q50"], 2).when(d >= cuts["q25"], 3)
+    df = df.withColumn("difficulty_level", level.otherwise(4).cast("int"))
+    category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("difficulty_level"))
+    return df.withColumn("difficulty_category", category)
+
+
+def count_of(weight: str | None) -> Column:
+    """How many pairs: rows, or the sum of the column that says for how many a row stands."""
+    return F.count("*") if weight is None else F.sum(weight)
+
+
 def add_phases(pairs: DataFrame, strategy: str = "progressive") -> DataFrame:
     """Curriculum phase per pair, or sampling weights per phase for ``mixed``."""
     level, score = F.col("difficulty_level"), F.col("difficulty_score")
@@ -66,22 +76,26 @@ def share_of_total(counts: DataFrame, count: str = "n", by: list[str] | None = N
     return counts.withColumn("pct", F.col(count) / total * 100)
 
 
-def difficulty_report(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Count, share of total and share of Equal winners per category."""
+def difficulty_report(pairs: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Count, share of total and share of Equal winners per category.
+
+    ``weight`` names the column with the number of pairs a row stands for (default: one).
+    """
     by = list(by or [])
+    each = F.lit(1) if weight is None else F.col(weight)
+    equal = F.sum(F.when(F.col("winner") == "Equal", each).otherwise(0)).cast("double")
     counts = pairs.groupBy(*by, "difficulty_category").agg(
-        F.count("*").alias("n"),
-        (F.avg((F.col("winner") == "Equal").cast("double")) * 100).alias("equal_pct"),
+        count_of(weight).alias("n"), (equal / count_of(weight) * 100).alias("equal_pct"),
     )
     return share_of_total(counts, by=by)
 
 
-def phase_report(pairs: DataFrame) -> DataFrame:
-    return share_of_total(pairs.groupBy("curriculum_phase").agg(F.count("*").alias("n")))
+def phase_report(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    return share_of_total(pairs.groupBy("curriculum_phase").agg(count_of(weight).alias("n")))
 
 
-def level_report(pairs: DataFrame) -> DataFrame:
-    return share_of_total(pairs.groupBy("difficulty_level").agg(F.count("*").alias("n")))
+def level_report(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    return share_of_total(pairs.groupBy("difficulty_level").agg(count_of(weight).alias("n")))
 
 
 def winner_report(pairs: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.operators import pairs as P
-from rankforge.operators.difficulty import add_difficulty, add_phases, curriculum_stats
+from rankforge.operators.difficulty import add_difficulty, add_phases, curriculum_stats, difficulty_report
 from rankforge.operators.ordering import lowest_by_hash, row_index
+from rankforge.operators.pair_counts import PairCounts
 from rankforge.operators.quantiles import exact_quantiles
 from rankforge.functions.hashing import key_hash
+from rankforge.plans import queries
 
 
 def responses(spark, n=40):
@@ -153,3 +155,46 @@ def test_statistics_report(spark):
     n = pairs.count()
     assert out["total"].first().n == n and sum(r.n for r in out["difficulty"].collect()) == n
     assert set(out) == {"total", "difficulty", "norm_diff", "phases"} and out["norm_diff"].count() == 1
+
+
+@pytest.mark.parametrize("block_values", [100_000, 3])
+def test_counted_pairs_grade_like_written_pairs(spark, block_values):
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in rng.integers(0, 40, 90) / 39.0] + [None, None, float("nan"), float("nan"), 0.3, 0.1 + 0.2]
+    rows = [(str(i), f"i{i % 3}", "t", None if i % 17 == 0 else "p", "r", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "ID string, item string, task string, prompt string, response string, label double")
+    graded = add_difficulty(P.generate_pairs(df), by=[])
+    counts = PairCounts(df, by=["item"], block_values=block_values)
+    table = counts.graded()
+    classes = ["item", "difficulty_category", "difficulty_level"]
+    for strategy in ("progressive", "gradual"):
+        own = add_phases(graded, strategy).groupBy(*classes, "curriculum_phase", (F.col("winner") == "Equal").alias("e"))
+        got = add_phases(table, strategy).groupBy(*classes, "curriculum_phase", F.col("winner").isNotNull().alias("e"))
+        assert sorted(map(tuple, own.count().collect())) == sorted(map(tuple, got.agg(F.sum("n")).collect()))
+    report = {r.difficulty_category: (r.n, r.pct, r.equal_pct) for r in difficulty_report(graded).collect()}
+    assert {r.difficulty_category: (r.n, r.pct, r.equal_pct) for r in difficulty_report(table, weight="n").collect()} == report
+    known = df.filter(~F.isnan("label"))
+    apart = add_difficulty(P.generate_pairs(known), by=[])
+    assert PairCounts(known, block_values=block_values).mean() == pytest.approx(apart.select(F.avg("norm_diff")).first()[0])
+
+
+def test_counted_quantiles_narrow_to_one_value(spark, monkeypatch):
+    monkeypatch.setattr("rankforge.operators.pair_counts._LISTED", 2)
+    df = spark.range(300).select(
+        F.lit("i").alias("item"), F.lit("t").alias("task"), F.lit("p").alias("prompt"),
+        F.pow(F.col("id") % 97 / 96.0, 3.0).alias("label"),
+    )
+    v = np.array([r.label for r in df.collect()])
+    d = np.abs(v[:, None] - v[None, :])[np.triu_indices(300, 1)]
+    got = PairCounts(df).quantiles({"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.77, "e": 1.0})
+    assert list(got.values()) == pytest.approx(list(np.quantile(d, [0.0, 0.01, 0.5, 0.77, 1.0])), abs=1e-15)
+
+
+@pytest.mark.parametrize("name", ["difficulty_report", "norm_diff_stats", "level_filter", "epoch_schedule"])
+def test_reports_write_no_pair(spark, sf, name, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("pairs were written out")
+
+    monkeypatch.setattr("rankforge.plans.testbed.generate_pairs", refuse)
+    monkeypatch.setattr("rankforge.operators.pairs.generate_pairs", refuse)
+    assert queries.registry()[name](spark, sf).count() > 0
