@@ -190,7 +190,7 @@ def test_counted_quantiles_narrow_to_one_value(spark, monkeypatch):
     assert list(got.values()) == pytest.approx(list(np.quantile(d, [0.0, 0.01, 0.5, 0.77, 1.0])), abs=1e-15)
 
 
-@pytest.mark.parametrize("name", ["difficulty_report", "norm_diff_stats", "level_filter", "epoch_schedule"])
+@pytest.mark.parametrize("name", ["difficulty_report", "norm_diff_stats", "level_filter", "epoch_schedule", "holdout_difficulty"])
 def test_reports_write_no_pair(spark, sf, name, monkeypatch):
     def refuse(*args, **kwargs):
         raise AssertionError("pairs were written out")
