@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +28,37 @@ def read_csv(
     With a schema, columns are matched to the header by name and those absent from the
     file are left out; without one all columns are strings. A column list is pruned
     in the scan. ``rows`` stops after the first rows of the file (of a folder: of its files
-    in the order Spark lists them).
+    in the order of their names; no file behind the last row is read).
     """
     raw = spark.read.options(**_CSV).csv(path)
+    reader = spark.read.options(**_CSV)
     if schema is not None:
         known = {f.name: f.dataType for f in schema.fields}
         header = [T.StructField(c, known.get(c, T.StringType())) for c in raw.columns]
-        raw = spark.read.options(**_CSV, enforceSchema=False).schema(T.StructType(header)).csv(path)
+        reader = reader.options(enforceSchema=False).schema(T.StructType(header))
+        raw = reader.csv(path)
     if required:
         require_columns(raw, required)
     if rows is not None:
-        raw = raw.limit(rows)
+        raw = _first_rows(raw, rows, lambda name: reader.csv(name).select(*raw.columns))
     return raw.select(*columns) if columns else raw
 
 
+def _first_rows(raw: DataFrame, rows: int, read_one) -> DataFrame:
+    """The first rows of a table's files: the files stand in the order of their names."""
+    files = sorted(unquote(f) for f in raw.inputFiles())
+    if len(files) <= 1:
+        return raw.limit(rows)
+    out, left = raw.limit(0), rows
+    for name in files:
+        # a file with texts over several lines is one task, so its limit takes its first rows
+        part = read_one(name).limit(left)
+        out, left = out.unionByName(part), left - part.count()
+        if left <= 0:
+            break
+    return out
+
+
 def read_parquet(
     spark: SparkSession, path: str, columns: list[str] | None = None,
     required: list[str] | None = None,

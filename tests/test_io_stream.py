@@ -186,3 +186,24 @@ def test_refreshed_summary_reads_sums_only(spark, tmp_path):
     got = {r.g: r for r in metrics_of_sums(rating_sums(odd, ["g"]), ["g"]).collect()}
     assert got["flat"].pearson_r is None and got["flat"].r_squared == 0.0 and got["same"].r_squared == 1.0
     assert got["level"].pearson_r is None and got["one"].mae is None and "none" not in got
+
+
+def test_first_rows_of_a_folder_come_from_its_first_files(spark, tmp_path):
+    path = str(tmp_path / "ordered csv")
+    df = spark.range(1000).select(F.col("id").alias("k"), F.repeat(F.lit("x\n"), (F.col("id") / 100).cast("int")).alias("t"))
+    IO.write_csv(df.repartitionByRange(8, "k").sortWithinPartitions("k"), path)
+    for n in (0, 100, 700):
+        back = IO.read_csv(spark, path, df.schema, columns=["k"], rows=n)
+        assert [r.k for r in back.collect()] == list(range(n))
+    assert len(IO.read_csv(spark, path, df.schema, rows=300).inputFiles()) < 8
+
+
+def test_no_single_task_writes_the_ordered_csv(spark, sf, monkeypatch):
+    from rankforge.plans import queries
+
+    seen = []
+    write = IO.write_csv
+    monkeypatch.setattr(queries.IO, "write_csv", lambda df, path: (seen.append(df), write(df, path)))
+    queries.csv_first_rows(spark, sf).count()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
