@@ -102,3 +102,26 @@ def test_a_recurring_id_keeps_its_own_text(spark):
     score = {r.response: r.label for r in df.collect()}
     pairs = build_pair_dataset(df, response_ratios=(0.6, 0.2)).pairs.collect()
     assert pairs and all(score[r.response1] == r.norm_response1 and score[r.response2] == r.norm_response2 for r in pairs)
+
+
+def test_leakage_of_groups_equals_that_of_written_pairs(spark):
+    from rankforge.operators import leakage as L
+    from rankforge.operators.pairs import generate_pairs
+
+    rows = [
+        (None if i % 19 == 0 else "" if i % 23 == 0 else str(i * 7 % 31), f"i{i % 2}", "t", None if i % 13 == 0 else f"p{i % 9}",
+         f"r{i % 5}", float(i % 4), ("train", "val", "test")[i * i % 7 % 3])
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(
+        rows, "ID string, item string, task string, prompt string, response string, label double, split string"
+    )
+    keys = ["item", "task", "prompt", "split"]
+    pairs = generate_pairs(df, keys, orientation="label")
+    want = L.remove_leakage(df, pairs).select(pairs.columns).collect()
+    got = generate_pairs(L.unblocked(df), keys, orientation="label").select(pairs.columns).collect()
+    assert want and sorted(map(str, got)) == sorted(map(str, want)) and len(want) < pairs.count()
+    report = L.group_leakage_report(df, keys)
+    assert report.first().asDict() == L.leakage_report(df, pairs).first().asDict()
+    plan = L.unblocked(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1
