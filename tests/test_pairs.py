@@ -198,3 +198,20 @@ def test_reports_write_no_pair(spark, sf, name, monkeypatch):
     monkeypatch.setattr("rankforge.plans.testbed.generate_pairs", refuse)
     monkeypatch.setattr("rankforge.operators.pairs.generate_pairs", refuse)
     assert queries.registry()[name](spark, sf).count() > 0
+
+
+def test_items_of_pairs_without_the_pairs(spark):
+    """The item table from the rows alone: twins, NULL and recurring ids, single rows, NULL keys."""
+    rows = [
+        ("1", "x", "t", "p", "a", 0.1), ("2", "x", "t", "p", "b", 0.2), ("1", "x", "t", "q", "c", 0.3),
+        ("3", "x", "t", "q", "d", None), ("9", "x", "t", "q", "z", 0.9), ("9", "x", "t", "r", "y", 0.8),
+        ("7", "x", "t", "r", "w", 0.7), (None, "x", "t", "p", None, 0.5), (None, "y", "t", "p", "e", float("nan")),
+        ("4", "y", "t", "p", "f", 0.6), ("4", "y", "t", "p", "f", 0.6), ("5", "y", "t", "s", "g", 0.4),
+        ("5", "y", "t", "u", "h", 0.4), ("5", "y", "t", "u", "h", 0.4), ("6", None, "t", "p", "i", 0.4), ("8", "z", "t", "p", "j", 0.1),
+    ]
+    df = spark.createDataFrame(rows, "ID string, item string, task string, prompt string, response string, label double")
+    for orientation in ("hash", F.col("ID").cast("bigint")):
+        want = P.first_occurrence_items(P.generate_pairs(df, orientation=orientation), ["item"])
+        got = P.paired_items(df, orientation=orientation)
+        assert got.columns == want.columns and got.count() == 9
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
