@@ -48,15 +48,24 @@ def stream_metrics(
 ) -> StreamingQuery:
     """Running classification metrics: state is one row of counters per group.
 
-    Every micro-batch replaces the report below ``sink``.
+    Every micro-batch replaces the report below ``sink``. The counters stand in versions
+    beside the checkpoint, one a batch, so a batch costs one aggregation and a repeated batch
+    gives the same version.
     """
-    counts = confusion_counts(detail, by, **names)
-    cells = [c for c in counts.columns if c not in by]
+    spark = detail.sparkSession
+    state = f"{checkpoint.rstrip('/')}-counters"
 
-    def publish(frame: DataFrame, _batch: int) -> None:
-        frame.select(*by, *cells).coalesce(1).write.mode("overwrite").parquet(sink)
+    def publish(frame: DataFrame, batch: int) -> None:
+        total = confusion_counts(frame, by, **names)
+        cells = [c for c in total.columns if c not in by]
+        if batch:
+            before = spark.read.schema(total.schema).parquet(f"{state}/version={batch - 1}")
+            total = before.unionByName(total).groupBy(*by).agg(*[F.sum(c).alias(c) for c in cells])
+        total.coalesce(1).write.mode("overwrite").parquet(f"{state}/version={batch}")
+        now = spark.read.schema(total.schema).parquet(f"{state}/version={batch}")
+        now.select(*by, *cells).coalesce(1).write.mode("overwrite").parquet(sink)
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(publish)
+    writer = detail.writeStream.foreachBatch(publish)
     return _drain(
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
@@ -65,31 +74,32 @@ def stream_metrics(
 def stream_votes(
     passes: DataFrame, sink: str, checkpoint: str, key: str = "source_row_index"
 ) -> StreamingQuery:
-    """Vote counts per sample as pass rows arrive; only changed samples are written.
+    """Vote counts per sample as pass rows arrive; ``latest_votes`` adds them up.
 
-    Each micro-batch goes to its own folder, so a repeated batch overwrites itself.
+    Each micro-batch writes the counts of its own rows to its own folder, so a repeated batch
+    overwrites itself, and a batch costs what its rows cost: no sample is kept between batches.
     """
     drawn = F.col("pass_type") == "stochastic"
-    votes = passes.groupBy(key).agg(
-        F.min("true_winner").alias("true_winner"),
-        *[F.count_if(drawn & (F.col("pred_winner") == w)).alias(f"votes_{w}") for w in LABELS],
-    )
 
     def publish(frame: DataFrame, batch: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+        votes = frame.groupBy(key).agg(
+            F.min("true_winner").alias("true_winner"),
+            *[F.count_if(drawn & (F.col("pred_winner") == w)).alias(f"votes_{w}") for w in LABELS],
+        )
+        votes.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    writer = votes.writeStream.outputMode("update").foreachBatch(publish)
+    writer = passes.writeStream.foreachBatch(publish)
     return _drain(
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def latest_votes(spark: SparkSession, sink: str, key: str = "source_row_index") -> DataFrame:
-    """The newest counts per sample."""
+    """The counts per sample so far."""
     all_batches = spark.read.parquet(sink)
-    rest = [c for c in all_batches.columns if c not in (key, "batch")]
-    newest = all_batches.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
-    return newest.select(key, "_v.*")
+    return all_batches.groupBy(key).agg(
+        F.min("true_winner").alias("true_winner"), *[F.sum(f"votes_{w}").alias(f"votes_{w}") for w in LABELS]
+    )
 
 
 def stream_running_metrics(
