@@ -137,3 +137,23 @@ def test_pass_table_stamps_its_run(spark):
     row = S.pass_table(df, 1).first()
     assert row.run_id.startswith("run_20") and row.timestamp_utc.endswith("+00:00")
     assert S.pass_table(df, 1, run_id="x", timestamp_utc="t").select("run_id", "timestamp_utc").first() == ("x", "t")
+
+
+def test_native_logits_are_made_once(spark):
+    """A filter on the confidence reads the logits; it does not hold their expressions once per use."""
+    rows = [("t", "p", "aa", "b", "1", "2", "A"), ("t", "p", "a", "a", "1", "3", "A"), ("t", "p", None, "a", "2", "3", "A")]
+    df = spark.createDataFrame(rows, PAIRS)
+
+    def scorer(pairs):
+        gap = F.levenshtein("response1", "response2").cast("double")
+        return [gap, -gap, F.lit(0.5)]
+
+    verdicts = M.verdict_table(df, scorer, native=True)
+    sure = verdicts.filter(F.col("confidence") >= 0.6).select("response1_id", "response2_id")
+    plan = sure._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") <= 2  # once per logit that reads it
+    assert {tuple(r) for r in sure.collect()} == {("1", "2")}
+    got = {(r.response1_id, r.response2_id): (r.winner, r.confidence) for r in verdicts.collect()}
+    assert got["2", "3"] == ("Equal", 0.0) and got["1", "3"][0] == "Equal"
+    again = M.add_logits(df.withColumn("logit_A", F.lit(9.0)), scorer, native=True)
+    assert sorted(again.columns) == sorted([*df.columns, *M.LOGITS])
