@@ -7,9 +7,9 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.functions.hashing import key_hash, uniform
+from rankforge.functions.hashing import key_hash
 from rankforge.functions.verdicts import (
-    argmax, decode_label, draw, encode_label, softmax, value_of,
+    argmax, decode_label, draw_by_hash, encode_label, hash_edge, softmax, value_of,
 )
 from rankforge.operators.columns import require_columns
 from rankforge.operators.score import LOGITS
@@ -28,7 +28,7 @@ def pass_table(
 
     Needs the logits, the true ``winner`` and a ``source_row_index``. Both probability
     triples are computed once per pair, before the expansion; every draw uses a uniform
-    keyed by (pair, pass, seed). Without them the UTC time of the call is the stamp, to
+    keyed by (pair, pass, seed), held against the triple as hex texts. Without them the UTC time of the call is the stamp, to
     the second, and the run id is made of it.
     """
     now = datetime.now(UTC).replace(microsecond=0)
@@ -45,12 +45,19 @@ def pass_table(
             "_greedy": F.array(*greedy), "_scaled": F.array(*scaled), "_top": argmax(logits),
             "_true": encode_label(F.col("winner")),
         }
+    ).withColumns(
+        {
+            "_edge_a": hash_edge(F.col("_scaled")[0]), "_edge_b": hash_edge(F.col("_scaled")[0] + F.col("_scaled")[1]),
+        }
     ).withColumn("pass_index", F.explode(F.sequence(F.lit(0), F.lit(n_passes))))
     first = F.col("pass_index") == 0
     base = base.withColumn("_p", F.when(first, F.col("_greedy")).otherwise(F.col("_scaled")))
     probs = [F.col("_p")[i] for i in range(3)]
-    u = uniform(key_hash("response1_id", "response2_id", "pass_index", seed=seed))
-    base = base.withColumn("pred_winner", F.when(first, F.col("_top")).otherwise(draw(u, probs)))
+    # the hash is a column, so that its two comparisons share it
+    drawn_hash = key_hash("response1_id", "response2_id", "pass_index", seed=seed)
+    base = base.withColumn("_h", F.when(~first, drawn_hash))
+    drawn = draw_by_hash(F.col("_h"), [F.col("_edge_a"), F.col("_edge_b")])
+    base = base.withColumn("pred_winner", F.when(first, F.col("_top")).otherwise(drawn))
     pred = F.col("pred_winner")
     return base.select(
         F.lit(run_id).alias("run_id"), F.lit(timestamp_utc).alias("timestamp_utc"),

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.functions.verdicts import approximate_probs, checkpoint_step, parse_verdict_json
+from rankforge.functions.hashing import uniform
+from rankforge.functions.verdicts import approximate_probs, checkpoint_step, draw, draw_by_hash, hash_edge, parse_verdict_json
 from rankforge.operators import evaluate as V
 from rankforge.operators import passes as S
 from rankforge.operators import score as M
@@ -157,3 +158,22 @@ def test_native_logits_are_made_once(spark):
     assert got["2", "3"] == ("Equal", 0.0) and got["1", "3"][0] == "Equal"
     again = M.add_logits(df.withColumn("logit_A", F.lit(9.0)), scorer, native=True)
     assert sorted(again.columns) == sorted([*df.columns, *M.LOGITS])
+
+
+def test_draws_by_text_are_the_draws_by_number(spark):
+    """A draw that compares hex texts picks what the number of the hash picks, at every edge."""
+    low = 1.0 / 2**32
+    shares = [0.0, low, 0.25, 0.25 + low / 2, 1 - 2 * low, 1 - low, 1 - low / 2, 1.0, 1.0 + 1e-12, float("nan"), None]
+    digits = ["00000000", "00000001", "3fffffff", "40000000", "40000001", "fffffffe", "ffffffff"]
+    rows = [(d + "0" * 24, a, b) for d in digits for a in shares for b in shares]
+    df = spark.createDataFrame(rows, "h string, a double, b double")
+    by_number = draw(uniform(F.col("h")), [F.col("a"), F.col("b") - F.col("a")])
+    both = F.col("a") + (F.col("b") - F.col("a"))
+    by_text = draw_by_hash(F.col("h"), [hash_edge(F.col("a")), hash_edge(both)])
+    # negative shares do not occur in a triple
+    got = df.filter("b is null or a is null or isnan(a) or b >= a").select(by_number.alias("n"), by_text.alias("t"))
+    assert got.count() > 300 and got.filter("n <> t or n is null or t is null").count() == 0
+    scored = spark.createDataFrame([("1", "2", "s", "A", 1.0, 0.0, 0.0)],
+        "response1_id string, response2_id string, source_row_index string, winner string, logit_A double, logit_B double, logit_Equal double")
+    plan = S.majority_vote(S.pass_table(scored, 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan  # no hash is parsed per draw
