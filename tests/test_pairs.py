@@ -86,6 +86,25 @@ def test_lowest_by_hash_takes_exact_quota_from_a_hot_group(spark):
     assert got == {r.id for r in ranked}
 
 
+def test_lowest_by_hash_reads_its_rows_twice(spark):
+    """Rows that cost much are made for the counts and for the draw, and no more often."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000).withColumn("g", F.col("id") % 2).mapInArrow(counted, "id long, g long")
+    quotas = spark.createDataFrame([(0, 700), (1, 9000)], "g long, q bigint")
+    drawn = lowest_by_hash(df, ["g"], quotas, "q", key_hash("id", seed=1), F.col("id")).collect()
+    # a group of fewer rows than its quota is whole
+    assert sum(r.g == 0 for r in drawn) == 700 and sum(r.g == 1 for r in drawn) == 2500
+    first = df.filter("g = 0").orderBy(key_hash("id", seed=1)).limit(700)
+    assert read.value <= 10_000
+    assert {r.id for r in drawn if r.g == 0} == {r.id for r in first.collect()}
+
+
 def test_quantiles_equal_numpy_for_ties_skew_and_tiny_groups(spark):
     rng = np.random.default_rng(0)
     data = [("big", float(v)) for v in rng.normal(size=3000)]
