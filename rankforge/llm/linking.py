@@ -16,19 +16,21 @@ from pyspark.sql import functions as F
 class Rule:
     """What two elements share at least if they link; ``percent`` None asks for one key.
 
-    With a Jaccard similarity of percent / 100 two sets of n_a and n_b elements share
-    o = percent * (n_a + n_b) / (100 + percent) of them. The keys of a set are its first
-    w in one order of all elements. At most n - o of them are not shared, so the first
-    w - (n - o) shared elements of either set are keys of both.
+    With a Jaccard similarity of percent / 100 two sets of n_a and n_b elements differ in
+    (100 - percent) * (n_a + n_b) / (100 + percent) elements at most. The keys of a set are
+    digests of its cells: all sets are cut alike by element into cells, w of which hold
+    one. Every element that differs spoils one cell, and the others are equal in both.
     """
 
     percent: int | None = None
 
+    def differ(self, n_a: Column, n_b: Column) -> Column:
+        return F.floor((100 - self.percent) * (n_a + n_b) / F.lit(100.0 + self.percent) + 1e-9)
+
     def need(self, n_a: Column, w_a: Column, n_b: Column, w_b: Column) -> Column:
         if self.percent is None:
             return F.lit(1)
-        overlap = F.ceil(self.percent * (n_a + n_b) / F.lit(100.0 + self.percent) - 1e-9)
-        return F.greatest(F.lit(1), F.least(w_a - n_a, w_b - n_b) + overlap)
+        return F.greatest(F.lit(1), F.greatest(w_a, w_b) - self.differ(n_a, n_b))
 
     def sizes(self, n_a: Column, n_b: Column) -> Column:
         if self.percent is None:
@@ -37,8 +39,11 @@ class Rule:
 
 
 def with_shared(post: DataFrame) -> DataFrame:
-    """``post`` and ``m``: how many keys of the element a second element carries."""
-    return post.join(post.groupBy("gid").agg(F.count("*").alias("m")), "gid")
+    """``post`` and ``m``: how many keys of the element a second element carries.
+
+    An element may have keys in several sets of them that differ in ``w``.
+    """
+    return post.join(post.groupBy("gid", "w").agg(F.count("*").alias("m")), ["gid", "w"])
 
 
 def leader_pairs(post: DataFrame, rule: Rule) -> DataFrame:
@@ -63,21 +68,25 @@ def remaining_pairs(held: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): all pairs that share the keys they need and are not yet united.
 
     ``held`` is (h, id, n, w, m, comp). Components, not members, meet under a key first,
-    by the bounds of their members, and only different ones are expanded; so a large
-    united group costs one row here.
+    by the bounds of their members, and only different ones that meet under enough keys
+    are expanded; so a large united group costs one row here.
     """
-    bounds = [F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.col("w") - F.col("n")).alias("r0"), F.max("m").alias("m1")]
+    bounds = [F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("w").alias("w0"), F.max("m").alias("m1")]
     spots = held.groupBy("h", "comp").agg(*bounds)
 
     def of(table: DataFrame, x: str) -> DataFrame:
         return table.select("h", *[F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "h"])
 
     met = of(spots, "a").join(of(spots, "b"), "h").filter(F.col("comp_a") < F.col("comp_b"))
+    both = ["comp_a", "comp_b"]
     if rule.percent is not None:
-        low = F.least("r0_a", "r0_b") + F.ceil(rule.percent * (F.col("n0_a") + F.col("n0_b")) / F.lit(100.0 + rule.percent) - 1e-9)
+        low = F.greatest("w0_a", "w0_b") - rule.differ(F.col("n1_a"), F.col("n1_b"))
         sized = (100 * F.col("n1_a") >= rule.percent * F.col("n0_b")) & (100 * F.col("n1_b") >= rule.percent * F.col("n0_a"))
-        met = met.filter(sized & (F.least("m1_a", "m1_b") >= low))
-    met = met.select("h", "comp_a", "comp_b")
+        met = met.withColumn("low", F.greatest(F.lit(1), low)).filter(sized & (F.least("m1_a", "m1_b") >= F.col("low")))
+        # members that share enough keys let their components meet under as many, each of a lower bound
+        often = met.groupBy(*both).agg(F.count("*").alias("keys"), F.min("low").alias("least")).filter("keys >= least")
+        met = met.join(often.select(*both, "keys"), both).filter("low <= keys")
+    met = met.select("h", *both)
     wide = met.join(of(held, "a"), ["h", "comp_a"]).join(of(held, "b"), ["h", "comp_b"])
     need = rule.need(F.col("n_a"), F.col("w_a"), F.col("n_b"), F.col("w_b"))
     wide = wide.filter(rule.sizes(F.col("n_a"), F.col("n_b")) & (F.least("m_a", "m_b") >= need))

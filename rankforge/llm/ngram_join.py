@@ -8,20 +8,20 @@ word shingles. The plan, without a step that emits all pairs of a group:
    (all but the required overlap, and one) and half as many more, in any one order of
    shingles. A set whose window by hash holds fewer shingles of other documents than a
    partner of any size needs cannot have one; the rest, usually few, fetch their shingles.
-3. Among these, windows are taken anew with rare shingles first, so that common passages
-   do not make candidates. Any order is exact, so the ranked shingles may be bounded.
-4. Sets of the same window and size form a group. Members of a group are verified
-   against one of them, groups that share window shingles through a leader of the
-   shingle; links found so are united. Then every pair of sets that share enough, fit in
-   size and still lie in different components is expanded and verified. Pairs already
-   united need no verification, as only reachability is asked for.
+3. These are cut into cells by hash, more cells than the shingles two linked sets can
+   differ in, so that some cells of linked sets are equal, whole. A cell is as rare as its
+   rarest shingle: passages and words that many documents have do not make candidates.
+4. Sets that share cells are verified against a leader of the cell; links found so are
+   united. Then every pair of sets that share enough cells, fit in size and still lie in
+   different components is expanded and verified. Pairs already united need no
+   verification, as only reachability is asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected_components
 from rankforge.llm.linking import Rule, leader_pairs, remaining_pairs, with_shared
-from rankforge.llm.textops import list_array, shingle_hashes, text_runs, word_hashes
+from rankforge.llm.textops import list_array, mix64, shingle_hashes, text_runs, word_hashes
 from rankforge.session import drop_scratch, write_scratch
 
-#: Shingles of more documents than this are ordered by how many they have (speed only).
-COMMON_DOCUMENTS = 4
-#: At most so many shingles, the most frequent, are: 9 bytes each in every task (speed only).
-COMMON_SHINGLES = 1_000_000
 #: Partners of at most this size are gone through one by one for the least they share.
 ALL_SIZES = 5_000
+#: The largest size of each class; a pair is sought by the cells of its smaller set's class.
+SIZES = [1]
+while SIZES[-1] < 1 << 40:
+    SIZES.append(max(SIZES[-1] + 1, SIZES[-1] * 3 // 2))
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -70,35 +70,33 @@ def _window(n: int, percent: int) -> tuple[int, int]:
     return width(n), max(1, int(need.min()) - slack)
 
 
-@dataclass
-class Common:
-    """Sorted hashes of common shingles and the power of two of their document counts."""
-
-    hashes: np.ndarray
-    power: np.ndarray
+@lru_cache(maxsize=100_000)
+def _classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, shingles that a pair of it can differ in) where a set of n may be one of a pair."""
+    found, c = [], bisect_left(SIZES, n)
+    while not found or (c >= 0 and 100 * SIZES[c] >= percent * n):
+        found.append((c, SIZES[c] * (100 - percent) // percent))
+        c -= 1
+    return found
 
-    def order(self, shingles: np.ndarray) -> np.ndarray:
-        """Sorted shingles by power (0 if not common), then by hash: rare ones first."""
-        if not len(self.hashes):
-            return shingles
-        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-        power = np.where(self.hashes[at] == shingles, self.power[at], 0)
-        return shingles[np.argsort(power, kind="stable")]
 
+def _cells(shingles: np.ndarray, c: int, differ: int) -> tuple[int, np.ndarray]:
+    """(cells that hold a shingle, keys) of sorted shingles in class ``c``.
 
-def common_shingles(counts: DataFrame) -> Common:
-    """The most frequent of (h, c): all above the power of two that leaves few enough."""
-    powers = counts.filter(F.col("c") > COMMON_DOCUMENTS).withColumn("p", F.length(F.bin("c")))
-    least, held = 99, 0
-    for row in powers.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect():
-        held += row["n"]
-        if held > COMMON_SHINGLES:
-            break
-        least = row["p"]
-    found = powers.filter(F.col("p") >= least).select("h", F.col("p").cast("tinyint").alias("p")).toArrow()
-    hashes = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return Common(hashes[order], found.column("p").to_numpy()[order])
+    Of differ + 1 + spare cells, spare + 1 are equal in both sets of a pair at least. Empty
+    cells have keys only where a set has more of them than spare; if one set of a pair has
+    not, one of the equal cells holds a shingle.
+    """
+    spare = differ // 4
+    count = differ + 1 + spare
+    cell = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    code = mix64(np.array([c + 1], dtype=np.uint64))
+    keys = mix64(np.add.reduceat(mix64(shingles), starts) ^ code)
+    if count - len(starts) > spare:
+        empty = np.setdiff1d(np.arange(count, dtype=np.uint64), cell[starts], assume_unique=True)
+        keys = np.concatenate([keys, mix64(mix64(empty + np.uint64(1)) + code)])
+    return len(starts), keys
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -122,19 +120,22 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
             )
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: Common) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row per set and class of sizes: its cells; the first row of a set has its shingles."""
     for batch in batches:
-        for first, end, data, offsets in text_runs(batch.column("text")):
-            sets = _sets(data, offsets, width)
-            heads = [common.order(s)[: _window(len(s), percent)[0]] for s in sets]
+        ids = batch.column("set_id").to_pylist()
+        for first, _, data, offsets in text_runs(batch.column("text")):
+            rows = []
+            for i, own in enumerate(_sets(data, offsets, width), first):
+                for at, (c, differ) in enumerate(_classes(len(own), percent)):
+                    rows.append((ids[i], len(own), *_cells(own, c, differ), None if at else own.view(np.int64)))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "set_id": batch.column("set_id").slice(first, end - first),
-                    "n": pa.array([len(s) for s in sets], type=pa.int64()),
-                    "w": pa.array([len(h) for h in heads], type=pa.int64()),
-                    "digest": pa.array([hashlib.md5(h.tobytes()).digest() for h in heads], type=pa.binary()),
-                    "window": _lists(heads),
-                    "tokens": _lists(sets),
+                    "set_id": pa.array([r[0] for r in rows], type=pa.int64()),
+                    "n": pa.array([r[1] for r in rows], type=pa.int64()),
+                    "w": pa.array([r[2] for r in rows], type=pa.int64()),
+                    "cells": _lists([r[3] for r in rows]),
+                    "tokens": pa.array([r[4] for r in rows], type=pa.list_(pa.int64())),
                 }
             )
 
@@ -199,10 +200,9 @@ def _owners(docs: DataFrame, width: int, percent: int) -> DataFrame:
     described, wide_path = write_scratch(numbered.mapInArrow(partial(_describe, width=width, percent=percent), shape), "described")
     sets, _ = write_scratch(described.filter("n > 0").groupBy("key").agg(F.min("row").alias("set_id")), "sets")
     post = described.select("row", "need", F.explode("window").alias("h"))
-    several, several_path = write_scratch(post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "several")
-    common = common_shingles(several)
+    several, several_path = write_scratch(post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "several")
 
-    met = post.join(several.select("h"), "h", "left_semi").groupBy("row", "need").agg(F.count("*").alias("c"))
+    met = post.join(several, "h", "left_semi").groupBy("row", "need").agg(F.count("*").alias("c"))
     hopeful = met.filter("c >= need").select(F.col("row").alias("set_id")).join(sets, "set_id", "left_semi")
     hopeful, _ = write_scratch(hopeful, "hopeful")
     described, _ = write_scratch(described.drop("window"), "owners")
@@ -211,35 +211,26 @@ def _owners(docs: DataFrame, width: int, percent: int) -> DataFrame:
     wanted = described.select("digest", F.col("row").alias("set_id")).join(hopeful, "set_id")
     # alike rows of one (doc_id, text) fall to the one set they share
     fetched = texts.drop("doc_id").join(wanted, "digest").dropDuplicates(["digest"])
-    shape = "set_id bigint, n bigint, w bigint, digest binary, window array<bigint>, tokens array<bigint>"
-    how = partial(_fetch, width=width, percent=percent, common=common)
-    tokens, _ = write_scratch(fetched.select("set_id", "text").mapInArrow(how, shape), "tokens")
-
-    groups = tokens.groupBy("n", "digest").agg(F.min("set_id").alias("gid"))
-    sized = tokens.select("set_id", "n", "digest")
-    members, _ = write_scratch(sized.join(groups, ["n", "digest"]).drop("digest"), "members")
-    heads = tokens.select("set_id", "n", "w", "window").join(members.filter("gid = set_id").select("set_id"), "set_id", "left_semi")
-    post = heads.select(F.col("set_id").alias("gid"), "n", "w", F.explode("window").alias("h"))
-    # counted over all members: the keys of a group of several are shared too
-    held = tokens.select(F.explode("window").alias("h"))
-    busy = held.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    shape = "set_id bigint, n bigint, w bigint, cells array<bigint>, tokens array<bigint>"
+    how = partial(_fetch, width=width, percent=percent)
+    fetched, cells_path = write_scratch(fetched.select("set_id", "text").mapInArrow(how, shape), "cells")
+
+    post = fetched.select(F.col("set_id").alias("gid"), "n", "w", F.explode("cells").alias("h"))
+    busy = post.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     post, path = write_scratch(post.join(busy, "h", "left_semi"), "postings")
-    post, _ = write_scratch(with_shared(post), "shared-postings")
+    post, post_path = write_scratch(with_shared(post), "shared-postings")
     drop_scratch(spark, path)
 
     rule = Rule(percent)
-    join = _Join(tokens.select("set_id", "tokens"), percent)
-    inner = members.filter("gid != set_id").select(F.col("gid").alias("a"), F.col("set_id").alias("b"))
-    join.verify(inner.union(leader_pairs(post, rule)))
-    comp, _ = write_scratch(join.components().withColumnRenamed("node", "id"), "components")
-    own = members.select("gid", F.col("set_id").alias("id")).join(comp, "id", "left")
-    own = own.withColumn("comp", F.coalesce("component", "id")).select("gid", "id", "comp")
-    across = post.join(own, "gid").select("h", "id", "n", "w", "m", "comp")
-    # members of one group share its whole window: they meet once, under the id of the group
-    one = F.lit(1)
-    within = own.select(F.col("gid").alias("h"), "id", one.alias("n"), one.alias("w"), one.alias("m"), "comp")
-    join.verify(remaining_pairs(across, rule).union(remaining_pairs(within, Rule())).distinct())
+    join = _Join(fetched.filter("tokens IS NOT NULL").select("set_id", "tokens"), percent)
+    join.verify(leader_pairs(post, rule))
+    comp, path = write_scratch(join.components().withColumnRenamed("node", "gid"), "components")
+    held = post.join(comp, "gid", "left")
+    held = held.select("h", F.col("gid").alias("id"), "n", "w", "m", F.coalesce("component", "gid").alias("comp"))
+    join.verify(remaining_pairs(held, rule))
     comp = join.components()
+    for done in (cells_path, post_path, path):
+        drop_scratch(spark, done)
 
     owner = described.select("doc_id", "digest", "n", "key").join(sets, "key", "left")
     owner = owner.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from rankforge.llm.components import connected_components
 from rankforge.llm.fingerprints import edited_fingerprints, near_duplicate_classes
 from rankforge.llm.line_dedup import dedup_lines
-from rankforge.llm.ngram_join import keep_representatives, ngram_jaccard_components
+from rankforge.llm.ngram_join import _cells, _classes, keep_representatives, ngram_jaccard_components
 from rankforge.llm.substring_dedup import _longest, compact_windows, repeated_passages
+from rankforge.session import CLEANUP, write_scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -111,6 +113,41 @@ def test_ngram_join_odd(odd, nothing):
     assert keep_representatives(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_cells_of_pairs(percent):
+    """Sets at the threshold share a cell of the smaller one's class, however small; a common passage gives few."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 120), 500, 3000]:
+        for m in {n, 100 * n // percent}:
+            common = -(-percent * (n + m) // (100 + percent))
+            if common > min(n, m):
+                continue
+            fresh = np.unique(rng.integers(0, 1 << 63, 2 * (n + m), dtype=np.uint64) * np.uint64(2))
+            fresh = rng.permutation(fresh)[: n + m - common]
+            a, b = np.sort(fresh[:n]), np.sort(np.concatenate([fresh[:common], fresh[n:]]))
+            of_a, of_b = _classes(n, percent), dict(_classes(m, percent))
+            c, differ = of_a[0]
+            assert c in of_b
+            (w_a, one), (w_b, two) = _cells(a, c, differ), _cells(b, c, differ)
+            need = max(1, max(w_a, w_b) - (100 - percent) * (n + m) // (100 + percent))
+            assert len(np.intersect1d(one, two)) >= need
+    passage = rng.integers(0, 1 << 63, 150, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 350, dtype=np.uint64) * np.uint64(2)])) for _ in range(40)]
+    keys = [set(_cells(s, *_classes(len(s), 85)[0])[1].tolist()) for s in sets]
+    assert sum(len(a & b) for a, b in combinations(keys, 2)) < 3 * 40 * 39 / 2  # of 150 shingles each
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, asked = held.getAllFiles().size(), spark.conf.get(CLEANUP, None)
+    table, _ = write_scratch(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while held.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert held.getAllFiles().size() <= before
+    assert table.count() == 7 and spark.conf.get(CLEANUP, None) == asked
+
+
 def test_one_representative_of_recurring_ids(spark):
     """A near copy goes although its doc_id has another, unlinked text; near copies of one doc_id leave one."""
     words = " ".join(f"r{i}" for i in range(60))
