@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected_components
 from rankforge.llm.fingerprints import edited_fingerprints, near_duplicate_classes
-from rankforge.llm.line_dedup import dedup_lines
+from rankforge.llm.line_dedup import _verified, dedup_lines
 from rankforge.llm.ngram_join import _cells, _classes, keep_representatives, ngram_jaccard_components
 from rankforge.llm.substring_dedup import _longest, compact_windows, repeated_passages
 from rankforge.session import CLEANUP, write_scratch
@@ -170,6 +170,17 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_lines_not_their_shingles_reach_the_verification(spark):
+    rng = random.Random(3)
+    lines = ["short", "12345678"] + ["".join(rng.choice("abé𝄞 ") for _ in range(60)) for _ in range(6)]
+    lines += [t[:-1] + "!" for t in lines] + [t + " and more" for t in lines]
+    held = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
+    pairs = list(combinations(range(len(lines)), 2))
+    got = _verified(spark.createDataFrame(pairs, "a bigint, b bigint"), held, 8, 80).collect()
+    sets = {i: frozenset(t[j : j + 8] for j in range(max(1, len(t) - 7))) for i, t in enumerate(lines)}
+    assert {(r.a, r.b) for r in got} == set(alike(sets, 80)) and got
+
+
 def test_line_dedup(documents, texts):
     occurrences, sets = [], {}
     for i, t in sorted(texts.items()):
